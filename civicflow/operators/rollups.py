@@ -13,10 +13,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rnd
-
 from ..functions.calendar import year_month
-from ..functions.geo import cell_id, cell_origin, in_box
+from ..functions.geo import cell_id, in_box
+from ..functions.numeric import rnd
 from . import filters
 from .selection import exact_median
 

@@ -65,6 +65,8 @@ def exact_median(values: DataFrame, keys: list[str], value_col: str) -> DataFram
     Returns keys, median (double, same unit as ``value_col``). Groups with
     no non-null value are absent.
     """
+    if not keys:   # one global group
+        return exact_median(values.withColumn("_all", F.lit(0)), ["_all"], value_col).drop("_all")
     nonnull = values.where(F.col(value_col).isNotNull())
     counts = nonnull.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
     lo = ((F.col("_cnt") - 1) / 2).cast("long") + 1

@@ -13,11 +13,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rnd
-
 from ..constants import WEEKDAY_NAMES
 from ..functions.calendar import year_month
-from ..functions.numeric import pct, pct_change, ratio
+from ..functions.numeric import pct, pct_change, ratio, rnd
 from ..plans import routing
 from . import filters
 

@@ -124,6 +124,9 @@ def _order(names: list[str]) -> list[str]:
     return seen
 
 
-def with_views(body: str, *names: str) -> str:
+def with_views(body: str, *names: str, extra: str | None = None) -> str:
+    """``WITH <views in dependency order>[, <extra CTEs>] <body>``."""
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in _order(list(names)))
+    if extra:
+        ctes = f"{ctes},\n{extra.strip()}"
     return f"WITH {ctes}\n{body}"

@@ -56,7 +56,7 @@ def a03_grid_agg(spark, sf_dir):
 
 
 @query("a04_hourly_agg", W("""
-SELECT hour(opened) AS hour, isodow(opened) - 1 AS day_of_week, category, count(*) AS count
+SELECT CAST(hour(opened) AS INTEGER) AS hour, CAST(isodow(opened) - 1 AS INTEGER) AS day_of_week, category, count(*) AS count
 FROM rs GROUP BY ALL""", "rs"))
 def a04_hourly_agg(spark, sf_dir):
     return rollups.hourly_agg(Ctx(spark, sf_dir).short)
@@ -166,7 +166,7 @@ _DOW_SQL = """
 SELECT dim.day_of_week, dim.day_name, coalesce(d.count, 0) AS count,
        coalesce(round(CAST(coalesce(d.count, 0) AS DOUBLE) / sum(coalesce(d.count, 0)) OVER () * 100.0, 1), 0.0)
          AS percentage
-FROM {dim} dim LEFT JOIN (SELECT isodow(opened) - 1 AS day_of_week, count(*) AS count FROM {v} WHERE {rng} GROUP BY 1) d
+FROM {dim} dim LEFT JOIN (SELECT CAST(isodow(opened) - 1 AS INTEGER) AS day_of_week, count(*) AS count FROM {v} WHERE {rng} GROUP BY 1) d
   ON dim.day_of_week = d.day_of_week"""
 
 
@@ -184,7 +184,7 @@ def a15_day_of_week_raw(spark, sf_dir):
 
 @query("a16_hourly_profile", W(f"""
 SELECT hour, count, row_number() OVER (ORDER BY count DESC, hour) = 1 AS is_peak
-FROM (SELECT hour(opened) AS hour, count(*) AS count FROM rs WHERE {RAW_RANGE_F} GROUP BY 1)""", "rs"))
+FROM (SELECT CAST(hour(opened) AS INTEGER) AS hour, count(*) AS count FROM rs WHERE {RAW_RANGE_F} GROUP BY 1)""", "rs"))
 def a16_hourly_profile(spark, sf_dir):
     return volume.hourly_profile(Ctx(spark, sf_dir).short, FS, FE)
 
@@ -193,7 +193,7 @@ def a16_hourly_profile(spark, sf_dir):
 SELECT hour, count, round(CAST(count AS DOUBLE) / sum(count) OVER () * 100.0, 1) AS share,
        round(CAST(sum(CASE WHEN hour BETWEEN 8 AND 11 THEN count ELSE 0 END) OVER () AS DOUBLE)
              / sum(count) OVER () * 100.0, 1) AS window_share
-FROM (SELECT hour(opened) AS hour, count(*) AS count FROM rs GROUP BY 1)""", "rs"))
+FROM (SELECT CAST(hour(opened) AS INTEGER) AS hour, count(*) AS count FROM rs GROUP BY 1)""", "rs"))
 def a30_peak_window_share(spark, sf_dir):
     return volume.peak_window_share(Ctx(spark, sf_dir).short, 8, 11)
 
@@ -275,13 +275,13 @@ SELECT category, hour AS peak_hour, n AS peak_count, evening_share FROM (
          row_number() OVER (PARTITION BY category ORDER BY n DESC, hour) AS rn,
          round(CAST(sum(CASE WHEN hour >= 18 THEN n ELSE 0 END) OVER (PARTITION BY category) AS DOUBLE)
                / sum(n) OVER (PARTITION BY category) * 100.0, 1) AS evening_share
-  FROM (SELECT category, hour(opened) AS hour, count(*) AS n FROM rs GROUP BY ALL)) WHERE rn = 1""", "rs"))
+  FROM (SELECT category, CAST(hour(opened) AS INTEGER) AS hour, count(*) AS n FROM rs GROUP BY ALL)) WHERE rn = 1""", "rs"))
 def a32_category_peak_hours(spark, sf_dir):
     return volume.category_peak_hours(Ctx(spark, sf_dir).short)
 
 
 @query("a39_weekday_baseline", W("""
-SELECT isodow(date) - 1 AS day_of_week, round(avg(count), 1) AS avg_daily, count(*) AS n_days
+SELECT CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, round(avg(count), 1) AS avg_daily, count(*) AS n_days
 FROM (SELECT CAST(opened AS DATE) AS date, count(*) AS count FROM rl GROUP BY 1) GROUP BY 1""", "rl"))
 def a39_weekday_baseline(spark, sf_dir):
     return volume.weekday_baseline(Ctx(spark, sf_dir).long)

@@ -50,6 +50,15 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
+SPARK_TO_DUCK = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "DateType": "DATE", "TimestampNTZType": "TIMESTAMP", "BooleanType": "BOOLEAN",
+                 "TimestampType": "TIMESTAMP WITH TIME ZONE", "ShortType": "SMALLINT", "FloatType": "FLOAT"}
+
+
+def spark_types(sdf):
+    return {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in sdf.schema}
+
+
 def digest(rows):
     h = hashlib.sha256()
     for r in rows:
@@ -94,12 +103,17 @@ def main(argv):
         try:
             res = con.execute(sqls[name])
             dcols = [d[0] for d in res.description]
+            dtypes = {d[0]: str(d[1]) for d in res.description}
             dcols, drows = rows_of(dcols, res.fetchall())
         except Exception as e:  # noqa: BLE001
             bad += 1
             print(f"FAIL  {name}: duckdb error {str(e)[:400]}")
             continue
         ok = scols == dcols and len(srows) == len(drows) and digest(srows) == digest(drows)
+        st = spark_types(sdf)
+        tdiff = {c: (st.get(c), dtypes.get(c)) for c in dtypes if st.get(c) != dtypes.get(c)}
+        if ok and tdiff:
+            print(f"TYPE  {name}: {tdiff}")
         if ok:
             print(f"OK    {name}: {len(srows)} rows {ts:.1f}s")
         else:
