@@ -7,12 +7,13 @@ found by a radix selection over 16-bit digits:
 
 * level 1 counts rows per (group, top digit) -- a partial aggregate, so a hot
   group is combined map-side;
-* a window over the <= 65,536 digit counts of one group (bounded) finds the
-  digit holding rank k and the rank left inside it;
+* a window over the <= 2^22 digit counts of one group (bounded by the digit
+  width, not by the data) finds the digit holding rank k and the rank left
+  inside it;
 * the next level only looks at rows whose higher digits equal the chosen
   prefix (an equi-join with the small target table).
 
-Four levels fix all 64 bits, so the answer is exact. Every step is a
+Three levels (22 + 22 + 20 bits) fix all 64 bits, so the answer is exact. Every step is a
 distributed join/aggregate/window; nothing is collected to the driver.
 """
 
@@ -23,8 +24,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGIT_BITS = 16
-SHIFTS = (48, 32, 16, 0)
+# (shift, width) per level, most significant digit first; widths sum to 64.
+LEVELS = ((42, 22), (20, 22), (0, 20))
 
 
 def _tk(k: str) -> str:
@@ -41,12 +42,11 @@ def kth_smallest(values: DataFrame, keys: list[str], value_col: str, targets: Da
     tkeys = [_tk(k) for k in keys]
     cur = targets.select(*[F.col(k).alias(_tk(k)) for k in keys], "kid", F.col("k").alias("_krem"),
                          F.lit(0).cast("long").alias("_prefix"))
-    mask = (1 << DIGIT_BITS) - 1
-    for level, shift in enumerate(SHIFTS):
-        digit = F.shiftright(F.col("_v"), shift).bitwiseAND(F.lit(mask))
+    for level, (shift, width) in enumerate(LEVELS):
+        digit = F.shiftright(F.col("_v"), shift).bitwiseAND(F.lit((1 << width) - 1))
         cond = [F.col(k).eqNullSafe(F.col(_tk(k))) for k in keys]
         if level > 0:
-            cond.append(F.shiftright(F.col("_v"), shift + DIGIT_BITS) == F.col("_prefix"))
+            cond.append(F.shiftright(F.col("_v"), shift + width) == F.col("_prefix"))
         joined = vals.join(cur, reduce(lambda a, b: a & b, cond), "inner").select(
             *tkeys, "kid", "_krem", "_prefix", digit.alias("_d"))
         hist = joined.groupBy(*tkeys, "kid", "_krem", "_prefix", "_d").agg(F.count(F.lit(1)).alias("_n"))
@@ -55,7 +55,7 @@ def kth_smallest(values: DataFrame, keys: list[str], value_col: str, targets: Da
         cur = (hist.where((F.col("_cum") - F.col("_n") < F.col("_krem")) & (F.col("_krem") <= F.col("_cum")))
                .select(*tkeys, "kid",
                        (F.col("_krem") - (F.col("_cum") - F.col("_n"))).alias("_krem"),
-                       F.shiftleft(F.col("_prefix"), DIGIT_BITS).bitwiseOR(F.col("_d")).alias("_prefix")))
+                       F.shiftleft(F.col("_prefix"), width).bitwiseOR(F.col("_d")).alias("_prefix")))
     return cur.select(*[F.col(_tk(k)).alias(k) for k in keys], "kid", F.col("_prefix").alias("value"))
 
 

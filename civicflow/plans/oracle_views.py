@@ -24,6 +24,31 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "rs": (["requests_short"], """
     SELECT *, date_diff('microsecond', opened, closed) / 3.6e9 AS resolution_hours,
            date_diff('microsecond', opened, closed) AS res_us FROM requests_short"""),
+    "portal": ([], """
+    SELECT CAST(event_id AS VARCHAR) AS service_request_id,
+           strftime(ts, '%Y-%m-%d %H:%M:%S') AS requested_datetime,
+           CASE WHEN event_id % 10 = 0 THEN NULL
+                ELSE strftime(ts + to_seconds(CAST(round(value * 3600) AS BIGINT)), '%Y-%m-%d %H:%M:%S') END
+             AS closed_date,
+           CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS service_name,
+           CASE WHEN event_id % 10 = 0 THEN 'Open' ELSE 'Closed' END AS status_description,
+           CAST(event_id % 1000 AS VARCHAR) || ' Main St' AS address,
+           CASE WHEN user_id % 13 = 0 THEN NULL WHEN event_id % 19 = 0 THEN 'abc'
+                ELSE CAST(user_id % 11 + 1 AS VARCHAR) END AS supervisor_district,
+           CASE WHEN event_id % 23 = 0 THEN NULL
+                ELSE 37.4::DOUBLE + ((event_id * 7919) % 7000) / 10000.0::DOUBLE END AS p_lat,
+           CASE WHEN event_id % 23 = 0 THEN NULL
+                ELSE -123.1::DOUBLE + ((event_id * 104729) % 12000) / 10000.0::DOUBLE END AS p_lon
+    FROM events"""),
+    "portal_clean": (["portal"], """
+    SELECT service_request_id, status_description, address,
+           CAST(requested_datetime AS TIMESTAMP) AS opened, TRY_CAST(closed_date AS TIMESTAMP) AS closed,
+           coalesce(service_name, 'Unknown') AS category,
+           CAST(TRY_CAST(supervisor_district AS DOUBLE) AS INTEGER) AS district,
+           p_lat AS latitude, p_lon AS longitude,
+           date_diff('microsecond', CAST(requested_datetime AS TIMESTAMP), TRY_CAST(closed_date AS TIMESTAMP)) / 3.6e9
+             AS resolution_hours
+    FROM portal"""),
     "first_ship": ([], "SELECT l_orderkey, min(l_shipdate) AS first_ship FROM lineitem GROUP BY l_orderkey"),
     "requests_long": (["first_ship"], """
     SELECT CAST(o_orderkey AS VARCHAR) AS case_id,

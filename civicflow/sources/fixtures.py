@@ -140,3 +140,29 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 def districts(spark: SparkSession) -> DataFrame:
     """The 11-row district dimension (size fixed by construction)."""
     return spark.createDataFrame(sorted(DISTRICT_NAMES.items()), "district int, name string")
+
+
+def portal_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw portal-shaped request records derived from ``events`` (strings,
+    GeoJSON point, junk district values) to exercise the normalisers."""
+    ev = read_table(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp_ntz")
+    closed = F.timestamp_add("SECOND", F.round(F.col("value") * 3600).cast("int"), ts)
+    lat = F.lit(37.4) + (F.col("event_id") * 7919 % 7000) / F.lit(10000.0)
+    lon = F.lit(-123.1) + (F.col("event_id") * 104729 % 12000) / F.lit(10000.0)
+    district = (F.when(F.col("user_id") % 13 == 0, F.lit(None).cast("string"))
+                .when(F.col("event_id") % 19 == 0, F.lit("abc"))
+                .otherwise((F.col("user_id") % 11 + 1).cast("string")))
+    point = F.when(F.col("event_id") % 23 == 0, F.lit(None)).otherwise(
+        F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")))
+    return ev.select(
+        F.col("event_id").cast("string").alias("service_request_id"),
+        F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("requested_datetime"),
+        F.when(F.col("event_id") % 10 == 0, F.lit(None).cast("string"))
+        .otherwise(F.date_format(closed, "yyyy-MM-dd HH:mm:ss")).alias("closed_date"),
+        F.when(F.col("event_id") % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("event_type"))
+        .alias("service_name"),
+        F.when(F.col("event_id") % 10 == 0, F.lit("Open")).otherwise(F.lit("Closed")).alias("status_description"),
+        F.concat((F.col("event_id") % 1000).cast("string"), F.lit(" Main St")).alias("address"),
+        district.alias("supervisor_district"),
+        point.alias("point"))

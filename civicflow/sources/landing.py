@@ -114,10 +114,12 @@ def weather_from_arrays(raw: DataFrame) -> DataFrame:
 
 
 def portal_records(df: DataFrame, start: str, end: str, limit: int | None = None,
-                   date_col: str = "requested_datetime") -> DataFrame:
-    """S-03: records with ``start <= date <= end 23:59:59``, newest first, optionally limited."""
+                   date_col: str = "requested_datetime", tiebreak: str | None = None) -> DataFrame:
+    """S-03: records with ``start <= date <= end 23:59:59``, newest first, optionally limited
+    (``orderBy.limit`` -> TakeOrderedAndProject; ``tiebreak`` makes the cut deterministic)."""
     ts = F.col(date_col).cast("string").try_cast("timestamp_ntz")
-    out = filters.filter_date_range(df.withColumn("_ts", ts), start, end, "_ts").orderBy(F.desc("_ts"))
+    order = [F.desc("_ts")] + ([F.desc(tiebreak)] if tiebreak else [])
+    out = filters.filter_date_range(df.withColumn("_ts", ts), start, end, "_ts").orderBy(*order)
     if limit is not None:
         out = out.limit(limit)
     return out.drop("_ts")

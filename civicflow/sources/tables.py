@@ -8,6 +8,7 @@ downstream are pushed into the scan by Catalyst (``ReadSchema`` /
 from __future__ import annotations
 
 import os
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -20,11 +21,23 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+# One lazy scan plan per (session, path, schema): DataFrames are immutable, so
+# reusing the plan skips repeated file listing / footer schema inference.
+_SCANS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, schema: StructType | None = None) -> DataFrame:
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    key = (path, schema.json() if schema is not None else None)
+    per_session = _SCANS.setdefault(spark, {})
+    df = per_session.get(key)
+    if df is None:
+        reader = spark.read
+        if schema is not None:
+            reader = reader.schema(schema)
+        df = reader.parquet(path)
+        per_session[key] = df
+    return df
 
 
 def read_tables(spark: SparkSession, base_dir: str, names, schema_by_name=None) -> dict[str, DataFrame]:
