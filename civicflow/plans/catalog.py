@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_core, q_more, q_side  # noqa: F401
+    from . import q_core, q_model, q_more, q_side  # noqa: F401
