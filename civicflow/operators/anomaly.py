@@ -42,11 +42,16 @@ def anomalies(req: DataFrame, events_by_date: DataFrame | None = None,
              .join(F.broadcast(top_cats), "category", "left_semi")        # <= top rows
              .groupBy("date", "category").agg(F.count(F.lit(1)).alias("count")))
     dense = densify(daily, top_cats, "category", history_start, max_date)
+    # z from exact integer window sums: z = (n*x - S) / sqrt(n*Q - S^2) with
+    # S = sum, Q = sum of squares. Counts are integers, so S, Q and the
+    # numerator are exact; a textbook z of exactly 2.0 stays exactly 2.0.
     w = Window.partitionBy("category").orderBy("date").rowsBetween(-window_days, -1)
-    stats = dense.withColumns({"avg": F.avg("count").over(w), "std": F.stddev_pop("count").over(w),
+    stats = dense.withColumns({"s": F.sum("count").over(w), "q": F.sum(F.col("count") * F.col("count")).over(w),
                                "n": F.count(F.lit(1)).over(w)})
-    flagged = (stats.where((F.col("date") >= recent_start) & (F.col("n") >= 7) & (F.col("std") != 0))
-               .withColumn("dev", (F.col("count") - F.col("avg")) / F.col("std"))
+    spread = F.col("n") * F.col("q") - F.col("s") * F.col("s")
+    flagged = (stats.where((F.col("date") >= recent_start) & (F.col("n") >= 7) & (spread != 0))
+               .withColumns({"avg": F.col("s") / F.col("n"),
+                             "dev": (F.col("n") * F.col("count") - F.col("s")) / F.sqrt(spread.cast("double"))})
                .where(F.col("dev") > z))
     out = flagged.select("date", "category", F.col("count").cast("long").alias("actual_count"),
                          rnd("avg", 1).alias("expected_count"), rnd("dev", 2).alias("deviation_factor"))

@@ -71,8 +71,10 @@ def correlation(req: DataFrame, other_daily: DataFrame, value_col: str = "incide
                 keys: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """A-25: correlation (4 dp, null below 2 matched days), days_matched, avg_311, avg_incidents (1 dp)."""
     pairs = daily_pairs(req, other_daily, value_col, keys, start, end)
+    a, b = F.col("total_requests").cast("double"), F.col(value_col).cast("double")
     agg = pairs.groupBy(*(keys or [])).agg(
-        F.corr(F.col("total_requests").cast("double"), F.col(value_col).cast("double")).alias("r"),
+        # Pearson r = cov / (sd_a * sd_b); try_divide -> null for a constant series (ANSI-safe)
+        F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("r"),
         F.count(F.lit(1)).alias("days_matched"),
         F.avg("total_requests").alias("a"), F.avg(value_col).alias("b"))
     return agg.select(*(keys or []), F.when(F.col("days_matched") >= 2, rnd("r", 4)).alias("correlation"),

@@ -36,7 +36,8 @@ def resolution_by_category(req: DataFrame, min_count: int = 10) -> DataFrame:
 
 def resolution_overall(req: DataFrame) -> DataFrame:
     """A-20 header: overall_avg_hours, overall_median_hours over all valid rows."""
-    df = _valid(req).withColumn("_all", F.lit(0))
+    df = _valid(req)
+    df = df.withColumn("_all", F.col("res_us").isNotNull())     # data-derived single key (see exact_median)
     s = _stats(df, ["_all"])
     return s.select(rnd("avg_h", 2).alias("overall_avg_hours"), rnd("med_h", 2).alias("overall_median_hours"),
                     F.col("n").alias("sample_size"))

@@ -35,12 +35,12 @@ def _tk(k: str) -> str:
 def kth_smallest(values: DataFrame, keys: list[str], value_col: str, targets: DataFrame) -> DataFrame:
     """k-th smallest ``value_col`` (long, >= 0) per group.
 
-    ``targets`` has the group ``keys`` plus ``kid`` (which statistic) and
-    ``k`` (1-based rank). Returns keys, kid, value.
+    ``targets`` has the group ``keys`` plus ``_kid`` (which statistic) and
+    ``_k`` (1-based rank). Returns keys, _kid, value.
     """
     vals = values.select(*keys, F.col(value_col).alias("_v"))
     tkeys = [_tk(k) for k in keys]
-    cur = targets.select(*[F.col(k).alias(_tk(k)) for k in keys], "kid", F.col("k").alias("_krem"),
+    cur = targets.select(*[F.col(k).alias(_tk(k)) for k in keys], "_kid", F.col("_k").alias("_krem"),
                          F.lit(0).cast("long").alias("_prefix"))
     for level, (shift, width) in enumerate(LEVELS):
         digit = F.shiftright(F.col("_v"), shift).bitwiseAND(F.lit((1 << width) - 1))
@@ -48,15 +48,15 @@ def kth_smallest(values: DataFrame, keys: list[str], value_col: str, targets: Da
         if level > 0:
             cond.append(F.shiftright(F.col("_v"), shift + width) == F.col("_prefix"))
         joined = vals.join(cur, reduce(lambda a, b: a & b, cond), "inner").select(
-            *tkeys, "kid", "_krem", "_prefix", digit.alias("_d"))
-        hist = joined.groupBy(*tkeys, "kid", "_krem", "_prefix", "_d").agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(*tkeys, "kid").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+            *tkeys, "_kid", "_krem", "_prefix", digit.alias("_d"))
+        hist = joined.groupBy(*tkeys, "_kid", "_krem", "_prefix", "_d").agg(F.count(F.lit(1)).alias("_n"))
+        w = Window.partitionBy(*tkeys, "_kid").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("_cum", F.sum("_n").over(w))
         cur = (hist.where((F.col("_cum") - F.col("_n") < F.col("_krem")) & (F.col("_krem") <= F.col("_cum")))
-               .select(*tkeys, "kid",
+               .select(*tkeys, "_kid",
                        (F.col("_krem") - (F.col("_cum") - F.col("_n"))).alias("_krem"),
                        F.shiftleft(F.col("_prefix"), width).bitwiseOR(F.col("_d")).alias("_prefix")))
-    return cur.select(*[F.col(_tk(k)).alias(k) for k in keys], "kid", F.col("_prefix").alias("value"))
+    return cur.select(*[F.col(_tk(k)).alias(k) for k in keys], "_kid", F.col("_prefix").alias("value"))
 
 
 def exact_median(values: DataFrame, keys: list[str], value_col: str) -> DataFrame:
@@ -65,14 +65,34 @@ def exact_median(values: DataFrame, keys: list[str], value_col: str) -> DataFram
     Returns keys, median (double, same unit as ``value_col``). Groups with
     no non-null value are absent.
     """
-    if not keys:   # one global group
-        return exact_median(values.withColumn("_all", F.lit(0)), ["_all"], value_col).drop("_all")
+    if not keys:
+        # one global group; the key is derived from the data (not a literal the
+        # optimizer would fold away), so every level stays a hash equi-join
+        return exact_median(values.withColumn("_all", F.col(value_col).isNotNull()), ["_all"], value_col).drop("_all")
     nonnull = values.where(F.col(value_col).isNotNull())
     counts = nonnull.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
     lo = ((F.col("_cnt") - 1) / 2).cast("long") + 1
     hi = (F.col("_cnt") / 2).cast("long") + 1
     targets = counts.select(*keys, F.explode(F.array(
-        F.struct(F.lit(0).alias("kid"), lo.alias("k")),
-        F.struct(F.lit(1).alias("kid"), hi.alias("k")))).alias("t")).select(*keys, "t.kid", "t.k")
+        F.struct(F.lit(0).alias("_kid"), lo.alias("_k")),
+        F.struct(F.lit(1).alias("_kid"), hi.alias("_k")))).alias("_t")).select(*keys, "_t._kid", "_t._k")
     picked = kth_smallest(nonnull, keys, value_col, targets)
-    return picked.groupBy(*keys).agg(F.avg(F.col("value").cast("double")).alias("median"))
+    # mean of the two middle values in exact decimal, rounded to double once
+    return picked.groupBy(*keys).agg(F.avg(F.col("value").cast("decimal(38,0)")).cast("double").alias("median"))
+
+
+def exact_percentiles(values: DataFrame, keys: list[str], value_col: str, ps: list[float]) -> DataFrame:
+    """Nearest-rank percentiles (the ``ceil(p * n)``-th smallest) per group.
+
+    Returns keys plus one column ``p<100p>`` per requested percentile
+    (e.g. ``p95``), in the unit of ``value_col`` (non-negative long).
+    """
+    nonnull = values.where(F.col(value_col).isNotNull())
+    counts = nonnull.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    ranks = [F.struct(F.lit(i).alias("_kid"),
+                      F.greatest(F.ceil(F.col("_cnt") * F.lit(float(p))), F.lit(1)).cast("long").alias("_k"))
+             for i, p in enumerate(ps)]
+    targets = counts.select(*keys, F.explode(F.array(*ranks)).alias("_t")).select(*keys, "_t._kid", "_t._k")
+    picked = kth_smallest(nonnull, keys, value_col, targets)
+    aggs = [F.max(F.when(F.col("_kid") == i, F.col("value"))).alias(f"p{round(p * 100):d}") for i, p in enumerate(ps)]
+    return picked.groupBy(*keys).agg(*aggs)

@@ -327,9 +327,10 @@ grid AS (SELECT t.category,
                                             INTERVAL 1 DAY)) AS DATE) AS date
          FROM top t, mx),
 dense AS (SELECT g.category, g.date, coalesce(d.count, 0) AS count FROM grid g LEFT JOIN daily d USING (category, date)),
-st AS (SELECT category, date, count, avg(count) OVER w AS a, stddev_pop(count) OVER w AS s, count(*) OVER w AS n
+st AS (SELECT category, date, count, sum(count) OVER w AS s, sum(count * count) OVER w AS q, count(*) OVER w AS n
        FROM dense WINDOW w AS (PARTITION BY category ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
-fl AS (SELECT st.*, (count - a) / s AS dev FROM st, mx WHERE date >= max_date - 6 AND n >= 7 AND s <> 0)"""))
+fl AS (SELECT st.*, s / n AS a, (n * count - s) / sqrt(CAST(n * q - s * s AS DOUBLE)) AS dev
+       FROM st, mx WHERE date >= max_date - 6 AND n >= 7 AND n * q - s * s <> 0)"""))
 def w04_anomalies(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return anomaly.anomalies(c.short, c.events_by_date)
@@ -353,9 +354,10 @@ grid AS (SELECT t.category,
                                             INTERVAL 1 DAY)) AS DATE) AS date
          FROM top t, mx),
 dense AS (SELECT g.category, g.date, coalesce(d.count, 0) AS count FROM grid g LEFT JOIN daily d USING (category, date)),
-st AS (SELECT category, date, count, avg(count) OVER w AS a, stddev_pop(count) OVER w AS s, count(*) OVER w AS n
+st AS (SELECT category, date, count, sum(count) OVER w AS s, sum(count * count) OVER w AS q, count(*) OVER w AS n
        FROM dense WINDOW w AS (PARTITION BY category ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
-fl AS (SELECT st.*, (count - a) / s AS dev FROM st, mx WHERE date >= max_date - 6 AND n >= 7 AND s <> 0)"""))
+fl AS (SELECT st.*, s / n AS a, (n * count - s) / sqrt(CAST(n * q - s * s AS DOUBLE)) AS dev
+       FROM st, mx WHERE date >= max_date - 6 AND n >= 7 AND n * q - s * s <> 0)"""))
 def w04_anomalies_long(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return anomaly.anomalies(c.long, c.events_by_date)

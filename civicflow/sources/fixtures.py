@@ -31,7 +31,11 @@ def _resolution(df: DataFrame) -> DataFrame:
 
 def requests_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     """30 days of sub-day requests from ``events`` (hourly/geo/resolution/stream questions)."""
-    ev = read_table(spark, sf_dir, "events")
+    return requests_from_events(read_table(spark, sf_dir, "events"))
+
+
+def requests_from_events(ev: DataFrame) -> DataFrame:
+    """The ``requests_short`` mapping over any ``events`` frame, batch or streaming."""
     opened = F.col("ts").cast("timestamp_ntz")
     closed = F.when(F.col("event_id") % 10 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(
         F.timestamp_add("SECOND", F.round(F.col("value") * 3600).cast("int"), opened))
