@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import pct, ratio, rnd
 from . import filters
+from ..session import materialize
 from .rollups import resolution_micros
 from .selection import exact_median
 
 US_PER_HOUR = 3.6e9
 
 
-def _valid(req: DataFrame) -> DataFrame:
-    return resolution_micros(filters.valid_resolution(req))
+def _valid(req: DataFrame, keys: list[str]) -> DataFrame:
+    """Valid rows projected to (keys, res_us, resolution_hours), materialised
+    once for the mean pass and the three median passes."""
+    df = materialize(resolution_micros(filters.valid_resolution(req)).select(*keys, "res_us"))
+    return df.withColumn("resolution_hours", F.col("res_us") / F.lit(US_PER_HOUR))
 
 
 def _stats(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,14 +33,14 @@ def _stats(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def resolution_by_category(req: DataFrame, min_count: int = 10) -> DataFrame:
     """A-20: category, avg_hours, median_hours (2 dp), sample_size; >= min_count rows; avg desc."""
-    s = _stats(_valid(req), ["category"]).where(F.col("n") >= min_count)
+    s = _stats(_valid(req, ["category"]), ["category"]).where(F.col("n") >= min_count)
     return s.select("category", rnd("avg_h", 2).alias("avg_hours"), rnd("med_h", 2).alias("median_hours"),
                     F.col("n").alias("sample_size")).orderBy(F.desc("avg_hours"), "category")
 
 
 def resolution_overall(req: DataFrame) -> DataFrame:
     """A-20 header: overall_avg_hours, overall_median_hours over all valid rows."""
-    df = _valid(req)
+    df = _valid(req, [])
     df = df.withColumn("_all", F.col("res_us").isNotNull())     # data-derived single key (see exact_median)
     s = _stats(df, ["_all"])
     return s.select(rnd("avg_h", 2).alias("overall_avg_hours"), rnd("med_h", 2).alias("overall_median_hours"),
@@ -53,7 +57,7 @@ def resolution_by_hour(req: DataFrame, min_count: int = 5) -> DataFrame:
 
 def mean_vs_median(req: DataFrame) -> DataFrame:
     """A-36: category, avg_hours, median_hours, skew_ratio = avg / median (2 dp)."""
-    s = _stats(_valid(req), ["category"])
+    s = _stats(_valid(req, ["category"]), ["category"])
     return s.select("category", rnd("avg_h", 2).alias("avg_hours"), rnd("med_h", 2).alias("median_hours"),
                     rnd(ratio("avg_h", "med_h"), 2).alias("skew_ratio"))
 

@@ -66,3 +66,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut lineage before a multi-pass operator: write ``df`` once to the
+    shared checkpoint folder (reliable ``checkpoint``, never a local one) and
+    read it back. Later passes re-read this small projection instead of
+    recomputing upstream joins, and a lost executor never recomputes them."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.numeric import rnd
 from ..operators.selection import exact_percentiles
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 
 ERROR_RATE_THRESHOLD = 0.05     # alert when > 5 % of requests in a window are errors
 SUSTAINED_WINDOWS = 5           # ... for 5 consecutive 60 s windows (300 s)
@@ -106,7 +106,7 @@ def latency_percentiles(rows: DataFrame, width: str = "60 seconds") -> DataFrame
     Latency is scaled to integer hundredths for the skew-safe radix selection."""
     r = rows.select(F.window("ts", width).start.cast("timestamp_ntz").alias("window_start"),
                     F.round(F.col("latency_ms") * 100).cast("long").alias("lat_c"))
-    p = exact_percentiles(r.where(F.col("lat_c") >= 0), ["window_start"], "lat_c", [0.5, 0.95, 0.99])
+    p = exact_percentiles(materialize(r.where(F.col("lat_c") >= 0)), ["window_start"], "lat_c", [0.5, 0.95, 0.99])
     return p.select("window_start", *[(F.col(c) / F.lit(100.0)).alias(f"{c}_ms") for c in ("p50", "p95", "p99")])
 
 
