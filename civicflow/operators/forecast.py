@@ -35,15 +35,27 @@ def with_calendar(df: DataFrame, date_col: str = "date") -> DataFrame:
                            "is_weekend": (F.weekday(d) >= 5).cast("int"), "quarter": F.quarter(d)})
 
 
+def dense_volumes(req: DataFrame) -> DataFrame:
+    """Daily volumes with every calendar day between a category's first and
+    last day present (0-filled). Each category row generates its own calendar
+    (``explode(sequence)``), bounded by the days in its span."""
+    v = daily_volumes(req)
+    span = v.groupBy("category").agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
+    grid = span.select("category", F.explode(F.sequence("d0", "d1")).alias("date"))
+    return grid.join(v, ["category", "date"], "left").withColumn(
+        "volume", F.coalesce(F.col("volume"), F.lit(0).cast("long")))
+
+
 def volume_features(req: DataFrame, lags=LAGS, windows=ROLLING, exclude_current: bool = False,
-                    dropna: bool = True) -> DataFrame:
-    """M-01: daily volume + calendar (P-03) + W-01 lags (by row) + W-02 rolling means.
+                    dropna: bool = True, densify: bool = False) -> DataFrame:
+    """M-01: daily volume + calendar (P-03) + W-01 lags + W-02 rolling means.
 
-    Lags count rows (days with data), like the reference; rolling means use
-    ``min_periods=1`` and include the current day unless ``exclude_current``.
-    W-03: rows with a missing lag are dropped when ``dropna``.
+    Lags count rows (days with data), like the reference, unless ``densify``
+    (then days without rows are 0 and lags are calendar days). Rolling means
+    use ``min_periods=1`` and include the current day unless
+    ``exclude_current``. W-03: rows with a missing lag are dropped when ``dropna``.
     """
-    v = with_calendar(daily_volumes(req))
+    v = with_calendar(dense_volumes(req) if densify else daily_volumes(req))
     w = Window.partitionBy("category").orderBy("date")
     cols = {f"lag_{n}d": F.lag("volume", n).over(w).cast("double") for n in lags}
     for n in windows:

@@ -71,6 +71,19 @@ def m01_volume_features(spark, sf_dir):
     return forecast.volume_features(Ctx(spark, sf_dir).long)
 
 
+_DENSE = _FEAT.replace("""v AS (SELECT CAST(opened AS DATE) AS date, category, count(*) AS volume FROM rl GROUP BY ALL)""",
+                        """v0 AS (SELECT CAST(opened AS DATE) AS date, category, count(*) AS volume FROM rl GROUP BY ALL),
+span AS (SELECT category, min(date) AS d0, max(date) AS d1 FROM v0 GROUP BY category),
+grid AS (SELECT category, CAST(unnest(generate_series(CAST(d0 AS TIMESTAMP), CAST(d1 AS TIMESTAMP),
+                                                      INTERVAL 1 DAY)) AS DATE) AS date FROM span),
+v AS (SELECT g.date, g.category, coalesce(v0.volume, 0) AS volume FROM grid g LEFT JOIN v0 USING (category, date))""")
+
+
+@query("m01_volume_features_dense", W("SELECT * FROM ff", "rl", extra=_DENSE))
+def m01_volume_features_dense(spark, sf_dir):
+    return forecast.volume_features(Ctx(spark, sf_dir).long, densify=True)
+
+
 @query("w05_time_split", W("""
 SELECT category, date, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY date)
                               <= floor(count(*) OVER (PARTITION BY category) * 0.8::DOUBLE)

@@ -47,3 +47,27 @@ def test_warehouse_append_allows_new_columns(spark, scratch):
     sinks.warehouse_append(req.limit(50).withColumn("neighborhood", F.lit("x")), path)
     back = sinks.read_warehouse(spark, path)
     assert "neighborhood" in back.columns and back.count() == 100
+
+
+def test_predictions_table_partitioned_write(spark, scratch):
+    from civicflow.operators import forecast
+    from civicflow.plans.context import Ctx
+    c = Ctx(spark, SMALL)
+    model, effects = forecast.fit_trend_weekday(forecast.daily_volumes(c.long))
+    fc = forecast.forecast(model, effects, dt.date(2001, 8, 2), 7)
+    preds = forecast.predictions_table(fc, "trend_weekday", "v1", dt.datetime(2001, 8, 1))
+    path = os.path.join(scratch, "predictions")
+    sinks.write_parquet(preds, path, partition_by=["prediction_date"])
+    back = spark.read.parquet(path)
+    assert back.select("prediction_date").distinct().count() == 7
+    assert back.count() == preds.count() == 7 * model.count()
+    assert back.where("predicted_volume < 0 OR lower_bound > predicted_volume").count() == 0
+
+
+def test_sanitize_and_table_loader(spark):
+    from civicflow.operators import normalize
+    from civicflow.sources.tables import read_tables
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),)], "x double")
+    assert [r["x"] for r in normalize.sanitize(df).collect()] == [1.0, None, None]
+    got = read_tables(spark, SMALL, ["events", "orders", "no_such_table"])
+    assert set(got) == {"events", "orders"}
