@@ -22,8 +22,38 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # coalesce small shuffle partitions to the advisory size rather than to the
+    # default parallelism (Spark's advice for busy clusters: fewer tiny tasks)
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def scale_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Sizing for a large run (e.g. 100 TB on ~1000 executors).
+
+    Initial shuffle partitions ~ input / 256 MB (at least 2x the cores), so a
+    post-scan shuffle partition fits comfortably in executor memory; AQE then
+    coalesces what the aggregates shrank and splits skewed partitions. Scan
+    splits of 256 MB keep file-open overhead low on large columnar files.
+    """
+    parts = max(2 * total_cores, -(-int(input_bytes) // TARGET_PARTITION_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(TARGET_PARTITION_BYTES),
+    }
+
+
+def configure_for_scale(spark: SparkSession, input_bytes: int, total_cores: int) -> SparkSession:
+    for k, v in scale_conf(input_bytes, total_cores).items():
+        spark.conf.set(k, v)
+    return spark
+
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "civicflow") -> SparkSession:

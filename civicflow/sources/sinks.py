@@ -36,8 +36,12 @@ def export_csv(req: DataFrame, path: str, start: str | None = None, end: str | N
 
 def clustered(df: DataFrame, date_col: str, cluster_by: list[str]) -> DataFrame:
     """S-09: rows grouped by day partition and sorted by the cluster keys
-    inside each file, so row-group statistics prune on the cluster keys."""
-    return df.repartition(date_col).sortWithinPartitions(date_col, *cluster_by)
+    inside each file, so row-group statistics prune on the cluster keys.
+
+    ``REBALANCE`` (not ``repartition``) lets AQE split a hot day into several
+    evenly sized tasks/files and merge small days, so a day holding a third of
+    all rows never lands in one task."""
+    return df.hint("rebalance", date_col).sortWithinPartitions(date_col, *cluster_by)
 
 
 def warehouse_append(df: DataFrame, path: str, cluster_by: tuple[str, ...] = ("category",)) -> None:
@@ -55,8 +59,8 @@ def read_warehouse(spark: SparkSession, path: str) -> DataFrame:
 def refresh_partitions(df: DataFrame, path: str, date_col: str = "date", compression: str = "gzip") -> None:
     """S-10: incremental refresh -- overwrite only the day partitions present
     in ``df`` (dynamic partition overwrite); older days are kept."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression)
-     .partitionBy(date_col).parquet(path))
+    (df.hint("rebalance", date_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("compression", compression).partitionBy(date_col).parquet(path))
 
 
 def rollup_metadata(tables: dict[str, DataFrame], daily: DataFrame) -> DataFrame:
@@ -104,7 +108,8 @@ def build_rollups(spark: SparkSession, raw: DataFrame, out_dir: str, recent_days
     cleaning), then write every rollup as gzip Parquet plus metadata JSON."""
     clean_path = f"{out_dir}/requests_clean"
     clean = normalize.normalize_requests(raw).withColumn("opened_date", F.to_date("opened"))
-    clean.write.mode("overwrite").option("compression", "gzip").partitionBy("opened_date").parquet(clean_path)
+    (clustered(clean, "opened_date", ["category"])
+     .write.mode("overwrite").option("compression", "gzip").partitionBy("opened_date").parquet(clean_path))
     req = spark.read.parquet(clean_path)
     paths = {"requests_clean": clean_path}
     built = {}
