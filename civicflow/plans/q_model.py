@@ -168,3 +168,15 @@ def m02_gbt_validation_metrics(spark, sf_dir):
     """Rows-only check: a boosted-tree fit has no SQL equivalent."""
     _, pred = forecast.train_gbt(forecast.volume_features(Ctx(spark, sf_dir).long))
     return forecast.regression_metrics(pred, ["category"])
+
+
+@query("m08_predictions_table", W("""
+SELECT sha256(concat_ws('|', category, strftime(prediction_date, '%Y-%m-%d'), 'trend_weekday', 'v1'))
+         AS prediction_id,
+       TIMESTAMP '2001-08-01 00:00:00' AS generated_at, category, prediction_date, predicted_volume, lower_bound,
+       upper_bound, 'trend_weekday' AS model_used, 'v1' AS model_version, CAST(NULL AS DOUBLE) AS confidence
+FROM fco""", "rl", extra=_fc_sql(FC_START, 30)))
+def m08_predictions_table(spark, sf_dir):
+    model, effects = _model(Ctx(spark, sf_dir))
+    fc = forecast.forecast(model, effects, FC_START, 30)
+    return forecast.predictions_table(fc, "trend_weekday", "v1", dt.datetime(2001, 8, 1))

@@ -158,3 +158,57 @@ def s05_weather_arrays(spark, sf_dir):
                              F.transform("d", lambda x: x["temp_min_c"]).alias("temperature_2m_min"),
                              F.transform("d", lambda x: x["precip_mm"]).alias("precipitation_sum")).alias("daily")))
     return landing.weather_from_arrays(docs)
+
+
+@query("s04_side_sources", W("""
+SELECT 'events' AS source, event_date AS date, name FROM ev_src
+UNION ALL SELECT 'closures', closure_date, name FROM cl_src
+UNION ALL SELECT 'permits', date, name FROM pm_src""", "ev_src", "cl_src", "pm_src"))
+def s04_side_sources(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return (c.events.select(F.lit("events").alias("source"), F.col("event_date").alias("date"), "name")
+            .unionByName(c.closures.select(F.lit("closures").alias("source"), F.col("closure_date").alias("date"),
+                                           "name"))
+            .unionByName(c.permits.select(F.lit("permits").alias("source"), "date", "name")))
+
+
+@query("p03_calendar_features", W("""
+SELECT case_id, CAST(year(opened) AS INTEGER) AS year, CAST(month(opened) AS INTEGER) AS month,
+       CAST(day(opened) AS INTEGER) AS day, CAST(hour(opened) AS INTEGER) AS hour,
+       CAST(isodow(opened) - 1 AS INTEGER) AS day_of_week, CAST(weekofyear(opened) AS INTEGER) AS week_of_year,
+       CAST(quarter(opened) AS INTEGER) AS quarter, CASE WHEN isodow(opened) >= 6 THEN 1 ELSE 0 END AS is_weekend
+FROM rs""", "rs"))
+def p03_calendar_features(spark, sf_dir):
+    from ..functions.calendar import calendar_features
+    df = calendar_features(Ctx(spark, sf_dir).short.select("case_id", "opened"))
+    return df.drop("opened")
+
+
+@query("p05_rollup_date_filter", W("""
+SELECT CAST(opened AS DATE) AS date, category, district, count(*) AS count,
+       round(avg(resolution_hours), 2) AS avg_resolution_hours
+FROM rl WHERE CAST(opened AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-01-31' GROUP BY ALL""", "rl"))
+def p05_rollup_date_filter(spark, sf_dir):
+    return filters.filter_rollup_dates(Ctx(spark, sf_dir).daily_long, "1997-01-01", "1997-01-31")
+
+
+@query("p17_load_projection", W("""
+SELECT c.opened, c.closed, c.category, TRY_CAST(p.supervisor_district AS DOUBLE) AS supervisor_district,
+       c.latitude, c.longitude, c.resolution_hours,
+       CAST(year(c.opened) AS INTEGER) AS year, CAST(month(c.opened) AS INTEGER) AS month,
+       CAST(day(c.opened) AS INTEGER) AS day, CAST(hour(c.opened) AS INTEGER) AS hour,
+       CAST(isodow(c.opened) - 1 AS INTEGER) AS day_of_week, CAST(weekofyear(c.opened) AS INTEGER) AS week_of_year,
+       p.service_request_id AS case_id
+FROM portal p JOIN portal_clean c USING (service_request_id)""", "portal", "portal_clean"))
+def p17_load_projection(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    fetched = normalize.clean_fetched(_portal(c).withColumnRenamed("service_request_id", "caseid"))
+    return normalize.load_projection(fetched)
+
+
+@query("a13_top_districts", W("""
+SELECT district, count(*) AS count FROM rs WHERE district IS NOT NULL GROUP BY district
+ORDER BY count DESC, district LIMIT 10""", "rs"))
+def a13_top_districts(spark, sf_dir):
+    from ..operators import volume
+    return volume.top_k(Ctx(spark, sf_dir).short.where(F.col("district").isNotNull()), "district", 10)
