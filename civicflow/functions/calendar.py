@@ -6,6 +6,8 @@ Weekday convention is Monday = 0 (``weekday``), never ``dayofweek``
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +47,23 @@ def calendar_features(df: DataFrame, ts: str = "opened", prefix: str = "") -> Da
     })
 
 
+def ts_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a Python datetime/date, via its ISO text.
+
+    ``F.lit(datetime)`` would go through the Python process's local zone;
+    casting the wall-clock text is zone-independent."""
+    if isinstance(value, dt.datetime):
+        text = value.isoformat(sep=" ")
+    else:
+        text = f"{value.isoformat()} 00:00:00"
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def month_first(ym) -> Column:
     """'yyyy-MM' -> first day of that month."""
     return F.to_date(F.concat(col_of(ym), F.lit("-01")))
 
 
-def end_of_day(d) -> Column:
+def end_of_day(d: dt.date) -> Column:
     """Inclusive end bound used by the raw filter: d + 1 day - 1 second."""
-    return F.timestamp_add("SECOND", F.lit(-1), F.to_timestamp_ntz(F.date_add(F.to_date(F.lit(d)), 1)))
+    return ts_lit(dt.datetime.combine(d, dt.time()) + dt.timedelta(days=1, seconds=-1))

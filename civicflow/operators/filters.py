@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import RESOLUTION_MAX_HOURS
-from ..functions.calendar import month_first
+from ..functions.calendar import end_of_day, month_first, ts_lit
 
 
 def parse_day(s: str | None) -> dt.date | None:
@@ -30,10 +30,9 @@ def filter_date_range(df: DataFrame, start: str | None, end: str | None, col: st
     """P-04: ``opened >= start`` and ``opened <= end + 1 day - 1 second``."""
     sd, ed = parse_day(start), parse_day(end)
     if sd is not None:
-        df = df.where(F.col(col) >= F.lit(dt.datetime.combine(sd, dt.time())).cast("timestamp_ntz"))
+        df = df.where(F.col(col) >= ts_lit(sd))
     if ed is not None:
-        last = dt.datetime.combine(ed, dt.time()) + dt.timedelta(days=1) - dt.timedelta(seconds=1)
-        df = df.where(F.col(col) <= F.lit(last).cast("timestamp_ntz"))
+        df = df.where(F.col(col) <= end_of_day(ed))
     return df
 
 

@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import ts_lit
 from ..functions.numeric import rnd
 
 LAGS = (1, 7, 14, 30)
@@ -155,7 +156,7 @@ def predictions_table(fc: DataFrame, model_used: str, model_version: str, genera
     """M-08: rows of the predictions table (write with ``partitionBy('prediction_date')``)."""
     pid = F.sha2(F.concat_ws("|", F.col("category"), F.col("prediction_date").cast("string"),
                              F.lit(model_used), F.lit(model_version)), 256)
-    return fc.select(pid.alias("prediction_id"), F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"),
+    return fc.select(pid.alias("prediction_id"), ts_lit(generated_at).alias("generated_at"),
                      "category", "prediction_date", "predicted_volume", "lower_bound", "upper_bound",
                      F.lit(model_used).alias("model_used"), F.lit(model_version).alias("model_version"),
                      F.lit(None).cast("double").alias("confidence"))

@@ -16,10 +16,8 @@ def category_growth(req: DataFrame) -> DataFrame:
     The split point is the midpoint of [min(opened), max(opened)] of the whole
     table, found by one scalar subquery.
     """
-    span = req.select(F.min("opened").alias("lo"), F.max("opened").alias("hi"))
-    lo = span.select(F.unix_micros(F.col("lo").cast("timestamp"))).scalar()
-    hi = span.select(F.unix_micros(F.col("hi").cast("timestamp"))).scalar()
-    mid = ((lo + hi) / 2).cast("long")
+    us = F.unix_micros(F.col("opened").cast("timestamp"))
+    mid = req.select(((F.min(us) + F.max(us)) / 2).cast("long")).scalar()     # one scalar subquery
     late = F.unix_micros(F.col("opened").cast("timestamp")) >= mid
     c = req.groupBy("category").agg(F.sum((~late).cast("long")).alias("first_half"),
                                     F.sum(late.cast("long")).alias("second_half"))

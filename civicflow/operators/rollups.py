@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import year_month
+from ..functions.calendar import ts_lit, year_month
 from ..functions.geo import cell_id, in_box
 from ..functions.numeric import rnd
 from ..session import materialize
@@ -96,7 +96,7 @@ def recent_raw(req: DataFrame, days: int = 90) -> DataFrame:
 def recent_by_category(req: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """A-06: last ``days`` before ``as_of``: category, date, count, avg resolution; date desc, count desc."""
     since = dt.datetime.combine(as_of, dt.time()) - dt.timedelta(days=days)
-    df = req.where(F.col("opened") >= F.lit(since).cast("timestamp_ntz")).withColumn("date", F.to_date("opened"))
+    df = req.where(F.col("opened") >= ts_lit(since)).withColumn("date", F.to_date("opened"))
     out = df.groupBy("category", "date").agg(F.count(F.lit(1)).alias("request_count"),
                                              rnd(F.avg("resolution_hours"), 2).alias("avg_resolution_hours"))
     return out.orderBy(F.col("date").desc(), F.col("request_count").desc(), "category")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import WEEKDAY_NAMES
-from ..functions.calendar import year_month
+from ..functions.calendar import end_of_day, ts_lit, year_month
 from ..functions.numeric import pct, pct_change, ratio, rnd
 from ..plans import routing
 from . import filters
@@ -171,9 +171,7 @@ def compare_periods(raw: DataFrame, daily_rollup: DataFrame | None, base_start:
             df, weight = filters.filter_category(raw, category), F.lit(1)
             conds = {}
             for n, s, e in mine:
-                sd = dt.datetime.combine(filters.parse_day(s), dt.time())
-                ed = dt.datetime.combine(filters.parse_day(e), dt.time()) + dt.timedelta(days=1, seconds=-1)
-                conds[n] = F.col("opened").between(F.lit(sd).cast("timestamp_ntz"), F.lit(ed).cast("timestamp_ntz"))
+                conds[n] = F.col("opened").between(ts_lit(filters.parse_day(s)), end_of_day(filters.parse_day(e)))
         one = df.agg(*[F.coalesce(F.sum(F.when(c, weight)), F.lit(0)).cast("long").alias(n)
                        for n, c in conds.items()])
         # long form (period, total) so sources combine by union, not by join

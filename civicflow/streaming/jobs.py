@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.calendar import ts_lit
 from ..functions.numeric import rnd
 from ..operators.selection import exact_percentiles
 from ..session import checkpoint_dir, materialize
@@ -189,7 +190,7 @@ def freshness_gauge(tables: dict[str, DataFrame], as_of: dt.datetime, ts_col: st
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("seconds_since",
-                          F.timestamp_diff("SECOND", F.col("last_ts"), F.lit(as_of).cast("timestamp_ntz")))
+                          F.timestamp_diff("SECOND", F.col("last_ts"), ts_lit(as_of)))
 
 
 def labelled_counters(predictions: DataFrame) -> DataFrame:

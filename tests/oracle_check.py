@@ -81,8 +81,16 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     pats = argv[2:]
     import __spark_entry__ as E
-    from civicflow.session import get_session
-    spark = get_session("local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):
+        # what a driver might build: no civicflow settings, non-UTC JVM zone
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+                 .config("spark.driver.extraJavaOptions", "-Duser.timezone=America/Los_Angeles")
+                 .getOrCreate())
+    else:
+        from civicflow.session import get_session
+        spark = get_session("local[8]", 8)
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0
