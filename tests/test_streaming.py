@@ -52,3 +52,21 @@ def test_stateful_alert_stream_matches_batch(spark, scratch):
     for r in got:
         assert r["windows"] == jobs.SUSTAINED_WINDOWS
     assert len(got) >= len(starts) - 1
+
+
+def test_daily_rollup_upsert_stream_matches_batch(spark, scratch):
+    """update mode + foreachBatch merge over 4 micro-batches that each touch every day."""
+    events = read_table(spark, SMALL, "events")
+    landed = os.path.join(scratch, "landed")
+    events.repartition(4, (F.col("event_id") % 4)).write.parquet(landed)     # 4 files, each spans all days
+    stream_req = fixtures.requests_from_events(
+        jobs.event_stream(spark, landed, events.schema, max_files_per_trigger=1))
+    out = os.path.join(scratch, "daily_upsert")
+    q = jobs.start_daily_rollup_upsert(stream_req, out, name="t01_upsert_test", watermark="40 days")
+    q.awaitTermination(300)
+    assert q.lastProgress is not None
+    cols = ["date", "category", "district", "count", "resolution_n"]
+    got = sorted((tuple(r) for r in spark.read.parquet(out).select(*cols).collect()), key=repr)
+    want = sorted((tuple(r) for r in jobs.daily_windows(fixtures.requests_short(spark, SMALL)).select(*cols)
+                   .collect()), key=repr)
+    assert got == want
