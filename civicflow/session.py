@@ -92,7 +92,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="civicflow-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (e.g. on the cluster's "
+                               "distributed file system) for checkpoints and stream state")
+        path = tempfile.mkdtemp(prefix="civicflow-ckpt-")      # single-machine runs only (tests, bench)
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -85,11 +85,12 @@ def merge_daily_batch(batch: DataFrame, table_path: str) -> None:
     overwrite). Re-running an epoch after a failure rewrites the same values.
     """
     spark = batch.sparkSession
-    days = [r["date"] for r in batch.select("date").distinct().collect()]   # days inside the watermark span
-    if not days:
+    if batch.isEmpty():
         return
+    days = batch.select("date").distinct()      # days touched (inside the watermark span)
     try:
-        existing = spark.read.parquet(table_path).where(F.col("date").isin(days))
+        # semi join on the partition column: dynamic partition pruning reads only touched days
+        existing = spark.read.parquet(table_path).join(F.broadcast(days), "date", "left_semi")
         merged = (existing.join(batch, [existing[k].eqNullSafe(batch[k]) for k in DAILY_KEYS], "left_anti")
                   .unionByName(batch.select(*existing.columns)))
     except Exception:  # noqa: BLE001 -- first batch: no table yet
