@@ -7,13 +7,15 @@ found by a radix selection over 16-bit digits:
 
 * level 1 counts rows per (group, top digit) -- a partial aggregate, so a hot
   group is combined map-side;
-* a window over the <= 2^22 digit counts of one group (bounded by the digit
+* a window over the <= 2^23 digit counts of one group (bounded by the digit
   width, not by the data) finds the digit holding rank k and the rank left
   inside it;
 * the next level only looks at rows whose higher digits equal the chosen
   prefix (an equi-join with the small target table).
 
-Three levels (22 + 22 + 20 bits) fix all 64 bits, so the answer is exact. Every step is a
+The digits cover every bit of the largest value (read once with a scalar
+aggregate): values below 2^46 need two passes, any long at most three. Each
+digit has at most 23 bits, so a group's histogram never exceeds 2^23 rows. Every step is a
 distributed join/aggregate/window; nothing is collected to the driver.
 """
 
@@ -26,13 +28,35 @@ from pyspark.sql import functions as F
 
 # (shift, width) per level, most significant digit first; widths sum to 64.
 LEVELS = ((42, 22), (20, 22), (0, 20))
+MAX_DIGIT_BITS = 23
+
+
+def plan_levels(bits: int, max_width: int = MAX_DIGIT_BITS) -> tuple[tuple[int, int], ...]:
+    """Split the low ``bits`` bits into as few digits as possible, each at most
+    ``max_width`` bits (so a group's histogram never exceeds 2^max_width rows)."""
+    bits = max(1, min(int(bits), 64))
+    n = -(-bits // max_width)
+    width = -(-bits // n)
+    out, shift = [], bits
+    while shift > 0:
+        w = min(width, shift)
+        shift -= w
+        out.append((shift, w))
+    return tuple(out)
+
+
+def value_bits(values: DataFrame, value_col: str) -> int:
+    """Bit length of the largest value (one scalar aggregate); fixes the passes."""
+    hi = values.agg(F.max(value_col)).first()[0]
+    return 1 if hi is None else max(1, int(hi).bit_length())
 
 
 def _tk(k: str) -> str:
     return f"_t_{k}"
 
 
-def kth_smallest(values: DataFrame, keys: list[str], value_col: str, targets: DataFrame) -> DataFrame:
+def kth_smallest(values: DataFrame, keys: list[str], value_col: str, targets: DataFrame,
+                 levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
     """k-th smallest ``value_col`` (long, >= 0) per group.
 
     ``targets`` has the group ``keys`` plus ``_kid`` (which statistic) and
@@ -42,7 +66,7 @@ def kth_smallest(values: DataFrame, keys: list[str], value_col: str, targets: Da
     tkeys = [_tk(k) for k in keys]
     cur = targets.select(*[F.col(k).alias(_tk(k)) for k in keys], "_kid", F.col("_k").alias("_krem"),
                          F.lit(0).cast("long").alias("_prefix"))
-    for level, (shift, width) in enumerate(LEVELS):
+    for level, (shift, width) in enumerate(levels):
         digit = F.shiftright(F.col("_v"), shift).bitwiseAND(F.lit((1 << width) - 1))
         cond = [F.col(k).eqNullSafe(F.col(_tk(k))) for k in keys]
         if level > 0:
@@ -59,7 +83,7 @@ def kth_smallest(values: DataFrame, keys: list[str], value_col: str, targets: Da
     return cur.select(*[F.col(_tk(k)).alias(k) for k in keys], "_kid", F.col("_prefix").alias("value"))
 
 
-def exact_median(values: DataFrame, keys: list[str], value_col: str) -> DataFrame:
+def exact_median(values: DataFrame, keys: list[str], value_col: str, bits: int | None = None) -> DataFrame:
     """Median (mean of the two middle values for even counts) per group.
 
     Returns keys, median (double, same unit as ``value_col``). Groups with
@@ -68,7 +92,8 @@ def exact_median(values: DataFrame, keys: list[str], value_col: str) -> DataFram
     if not keys:
         # one global group; the key is derived from the data (not a literal the
         # optimizer would fold away), so every level stays a hash equi-join
-        return exact_median(values.withColumn("_all", F.col(value_col).isNotNull()), ["_all"], value_col).drop("_all")
+        return exact_median(values.withColumn("_all", F.col(value_col).isNotNull()), ["_all"], value_col,
+                            bits).drop("_all")
     nonnull = values.where(F.col(value_col).isNotNull())
     counts = nonnull.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
     lo = ((F.col("_cnt") - 1) / 2).cast("long") + 1
@@ -76,12 +101,14 @@ def exact_median(values: DataFrame, keys: list[str], value_col: str) -> DataFram
     targets = counts.select(*keys, F.explode(F.array(
         F.struct(F.lit(0).alias("_kid"), lo.alias("_k")),
         F.struct(F.lit(1).alias("_kid"), hi.alias("_k")))).alias("_t")).select(*keys, "_t._kid", "_t._k")
-    picked = kth_smallest(nonnull, keys, value_col, targets)
+    levels = plan_levels(bits if bits is not None else value_bits(nonnull, value_col))
+    picked = kth_smallest(nonnull, keys, value_col, targets, levels)
     # mean of the two middle values in exact decimal, rounded to double once
     return picked.groupBy(*keys).agg(F.avg(F.col("value").cast("decimal(38,0)")).cast("double").alias("median"))
 
 
-def exact_percentiles(values: DataFrame, keys: list[str], value_col: str, ps: list[float]) -> DataFrame:
+def exact_percentiles(values: DataFrame, keys: list[str], value_col: str, ps: list[float],
+                      bits: int | None = None) -> DataFrame:
     """Nearest-rank percentiles (the ``ceil(p * n)``-th smallest) per group.
 
     Returns keys plus one column ``p<100p>`` per requested percentile
@@ -93,6 +120,7 @@ def exact_percentiles(values: DataFrame, keys: list[str], value_col: str, ps: li
                       F.greatest(F.ceil(F.col("_cnt") * F.lit(float(p))), F.lit(1)).cast("long").alias("_k"))
              for i, p in enumerate(ps)]
     targets = counts.select(*keys, F.explode(F.array(*ranks)).alias("_t")).select(*keys, "_t._kid", "_t._k")
-    picked = kth_smallest(nonnull, keys, value_col, targets)
+    levels = plan_levels(bits if bits is not None else value_bits(nonnull, value_col))
+    picked = kth_smallest(nonnull, keys, value_col, targets, levels)
     aggs = [F.max(F.when(F.col("_kid") == i, F.col("value"))).alias(f"p{round(p * 100):d}") for i, p in enumerate(ps)]
     return picked.groupBy(*keys).agg(*aggs)

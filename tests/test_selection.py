@@ -44,3 +44,14 @@ def test_nearest_rank_percentiles(spark):
         for p, col in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")):
             rank = max(int(np.ceil(len(s) * p)), 1)
             assert got[k][col] == int(s[rank - 1]), (k, p)
+
+
+def test_plan_levels_cover_all_bits_with_bounded_digits():
+    from civicflow.operators.selection import MAX_DIGIT_BITS, plan_levels
+    for bits in (1, 5, 23, 24, 41, 45, 46, 47, 63, 64):
+        levels = plan_levels(bits)
+        assert sum(w for _, w in levels) == bits
+        assert all(w <= MAX_DIGIT_BITS for _, w in levels)
+        assert levels[-1][0] == 0 and all(levels[i][0] == levels[i + 1][0] + levels[i + 1][1]
+                                          for i in range(len(levels) - 1))
+    assert len(plan_levels(45)) == 2 and len(plan_levels(64)) == 3
