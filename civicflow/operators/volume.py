@@ -102,10 +102,17 @@ def day_of_week_profile(raw: DataFrame, daily_rollup: DataFrame | None = None, s
 
 
 # ---------------------------------------------------------------- A-16 / A-30
-def hourly_profile(req: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """A-16: hour, count, is_peak (highest count; ties -> lowest hour)."""
-    df = filters.filter_date_range(req, start, end)
-    by_h = df.groupBy(F.hour("opened").alias("hour")).agg(F.count(F.lit(1)).alias("count"))
+def hourly_profile(req: DataFrame, start: str | None = None, end: str | None = None,
+                   hourly_rollup: DataFrame | None = None) -> DataFrame:
+    """A-16: hour, count, is_peak (highest count; ties -> lowest hour).
+
+    The hour x weekday rollup has no date column, so it can answer only when
+    no date filter applies; otherwise raw rows are read."""
+    if hourly_rollup is not None and not start and not end:
+        by_h = hourly_rollup.groupBy("hour").agg(F.sum("count").cast("long").alias("count"))
+    else:
+        df = filters.filter_date_range(req, start, end)
+        by_h = df.groupBy(F.hour("opened").alias("hour")).agg(F.count(F.lit(1)).alias("count"))
     rank = F.row_number().over(Window.partitionBy().orderBy(F.desc("count"), "hour"))   # <= 24 rows
     return by_h.withColumn("is_peak", rank == 1).orderBy("hour")
 

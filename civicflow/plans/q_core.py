@@ -189,6 +189,14 @@ def a16_hourly_profile(spark, sf_dir):
     return volume.hourly_profile(Ctx(spark, sf_dir).short, FS, FE)
 
 
+@query("a16_hourly_profile_rollup", W("""
+SELECT hour, count, row_number() OVER (ORDER BY count DESC, hour) = 1 AS is_peak
+FROM (SELECT CAST(hour(opened) AS INTEGER) AS hour, count(*) AS count FROM rs GROUP BY 1)""", "rs"))
+def a16_hourly_profile_rollup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return volume.hourly_profile(c.short, hourly_rollup=rollups.hourly_agg(c.short))
+
+
 @query("a30_peak_window_share", W("""
 SELECT hour, count, round(CAST(count AS DOUBLE) / sum(count) OVER () * 100.0, 1) AS share,
        round(CAST(sum(CASE WHEN hour BETWEEN 8 AND 11 THEN count ELSE 0 END) OVER () AS DOUBLE)

@@ -84,6 +84,19 @@ def m01_volume_features_dense(spark, sf_dir):
     return forecast.volume_features(Ctx(spark, sf_dir).long, densify=True)
 
 
+_NO_LEAK = (_FEAT.replace("ROWS BETWEEN 6 PRECEDING AND CURRENT ROW", "ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING")
+            .replace("ROWS BETWEEN 13 PRECEDING AND CURRENT ROW", "ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING")
+            .replace("ROWS BETWEEN 29 PRECEDING AND CURRENT ROW", "ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING")
+            .replace("AND lag_30d IS NOT NULL)", """AND lag_30d IS NOT NULL
+         AND rolling_mean_7d IS NOT NULL AND rolling_mean_14d IS NOT NULL AND rolling_mean_30d IS NOT NULL)"""))
+
+
+@query("m01_volume_features_no_leak", W("SELECT * FROM ff", "rl", extra=_NO_LEAK))
+def m01_volume_features_no_leak(spark, sf_dir):
+    """Rolling means over the days *before* the current one."""
+    return forecast.volume_features(Ctx(spark, sf_dir).long, exclude_current=True)
+
+
 @query("w05_time_split", W("""
 SELECT category, date, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY date)
                               <= floor(count(*) OVER (PARTITION BY category) * 0.8::DOUBLE)
