@@ -123,3 +123,24 @@ def build_rollups(spark: SparkSession, raw: DataFrame, out_dir: str, recent_days
     meta.coalesce(1).write.mode("overwrite").json(f"{out_dir}/metadata.json")
     paths["metadata"] = f"{out_dir}/metadata.json"
     return paths
+
+
+def build_side_tables(spark: SparkSession, out_dir: str, events: DataFrame | None, closures: DataFrame | None,
+                      permits: DataFrame | None, crime: DataFrame | None, weather: DataFrame | None) -> dict[str, str]:
+    """Side-table rollups next to the request rollups: events_agg, events_by_date,
+    crime_agg, weather_agg (each one row per day or per day x district)."""
+    from ..operators import events as ev
+    tables = {}
+    if events is not None or closures is not None or permits is not None:
+        tables["events_agg"] = ev.events_agg(events, closures, permits)
+        tables["events_by_date"] = ev.events_by_date(events, closures, permits)
+    if crime is not None:
+        tables["crime_agg"] = ev.crime_agg(crime)
+    if weather is not None:
+        tables["weather_agg"] = weather
+    paths = {}
+    for name, df in tables.items():
+        path = f"{out_dir}/{name}.parquet"
+        write_parquet(df, path)
+        paths[name] = path
+    return paths
