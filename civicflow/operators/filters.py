@@ -26,13 +26,25 @@ def parse_day(s: str | None) -> dt.date | None:
         return None
 
 
+PARTITION_DATE = "opened_date"    # day partition column of the written clean table
+
+
 def filter_date_range(df: DataFrame, start: str | None, end: str | None, col: str = "opened") -> DataFrame:
-    """P-04: ``opened >= start`` and ``opened <= end + 1 day - 1 second``."""
+    """P-04: ``opened >= start`` and ``opened <= end + 1 day - 1 second``.
+
+    On the day-partitioned clean table the same bounds are also stated on the
+    partition column, so only the days in range are listed and read
+    (partition pruning); Catalyst cannot derive that from ``opened`` alone."""
     sd, ed = parse_day(start), parse_day(end)
+    prune = col == "opened" and PARTITION_DATE in df.columns
     if sd is not None:
         df = df.where(F.col(col) >= ts_lit(sd))
+        if prune:
+            df = df.where(F.col(PARTITION_DATE) >= F.lit(sd))
     if ed is not None:
         df = df.where(F.col(col) <= end_of_day(ed))
+        if prune:
+            df = df.where(F.col(PARTITION_DATE) <= F.lit(ed))
     return df
 
 

@@ -34,3 +34,18 @@ def test_facade_over_written_rollups(spark, scratch):
     assert svc.predict_trends("all", "7d", dt.date(2024, 2, 1)).count() == 5
     cmp = svc.compare_periods("2024-01-01", "2024-01-15", "2024-01-16", "2024-01-30").first()
     assert cmp["base_total"] > 0 and cmp["compare_total"] > 0
+
+
+def test_date_filter_prunes_day_partitions(spark, scratch):
+    import contextlib
+    import io
+    from civicflow.operators import filters
+    out = os.path.join(scratch, "agg")
+    paths = sinks.build_rollups(spark, fixtures.portal_requests(spark, SMALL), out)
+    clean = spark.read.parquet(paths["requests_clean"])
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        filters.filter_date_range(clean, "2024-01-03", "2024-01-05").explain("formatted")
+    import re
+    text = re.sub(r"#\d+", "", buf.getvalue())
+    assert "PartitionFilters: [isnotnull(opened_date), (opened_date >= 2024-01-03), (opened_date <= 2024-01-05)]" in text
