@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -102,9 +103,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage before a multi-pass operator: write ``df`` once to the
-    shared checkpoint folder (reliable ``checkpoint``, never a local one) and
-    read it back. Later passes re-read this small projection instead of
-    recomputing upstream joins, and a lost executor never recomputes them."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage before a multi-pass operator: write ``df`` once as a Parquet
+    table under the shared ``spark.checkpoint.dir`` and read it back.
+
+    Later passes re-read this small columnar projection (with column pruning)
+    instead of recomputing upstream joins, and a lost executor never
+    recomputes them. Unlike ``Dataset.checkpoint`` this computes the plan once
+    and stores compressed columns rather than serialised rows."""
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/materialized/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
