@@ -27,7 +27,8 @@ def _valid(req: DataFrame, keys: list[str]) -> DataFrame:
 
 def _stats(df: DataFrame, keys: list[str]) -> DataFrame:
     agg = df.groupBy(*keys).agg(F.avg("resolution_hours").alias("avg_h"), F.count(F.lit(1)).alias("n"))
-    med = exact_median(df, keys, "res_us").withColumn("med_h", F.col("median") / F.lit(US_PER_HOUR)).drop("median")
+    med = exact_median(df, keys, "res_us", counts=agg.select(*keys, F.col("n").alias("_cnt")))
+    med = med.withColumn("med_h", F.col("median") / F.lit(US_PER_HOUR)).drop("median")
     return agg.join(med, keys, "inner")
 
 

@@ -80,7 +80,8 @@ def resolution_agg(req: DataFrame, exact: bool = True) -> DataFrame:
     df = df.withColumn("resolution_hours", F.col("res_us") / F.lit(3.6e9))
     stats = df.groupBy(*keys).agg(F.avg("resolution_hours").alias("avg_h"), F.count(F.lit(1)).alias("count"))
     if exact:
-        med = exact_median(df, keys, "res_us").select(*keys, (F.col("median") / F.lit(3.6e9)).alias("med_h"))
+        med = exact_median(df, keys, "res_us", counts=stats.select(*keys, F.col("count").alias("_cnt"))).select(
+            *keys, (F.col("median") / F.lit(3.6e9)).alias("med_h"))
     else:
         med = df.groupBy(*keys).agg(F.percentile_approx("resolution_hours", 0.5, 10000).alias("med_h"))
     out = stats.join(med, keys, "inner")

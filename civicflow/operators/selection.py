@@ -83,19 +83,22 @@ def kth_smallest(values: DataFrame, keys: list[str], value_col: str, targets: Da
     return cur.select(*[F.col(_tk(k)).alias(k) for k in keys], "_kid", F.col("_prefix").alias("value"))
 
 
-def exact_median(values: DataFrame, keys: list[str], value_col: str, bits: int | None = None) -> DataFrame:
+def exact_median(values: DataFrame, keys: list[str], value_col: str, bits: int | None = None,
+                 counts: DataFrame | None = None) -> DataFrame:
     """Median (mean of the two middle values for even counts) per group.
 
     Returns keys, median (double, same unit as ``value_col``). Groups with
-    no non-null value are absent.
+    no non-null value are absent. ``counts`` (keys, ``_cnt`` = non-null values
+    per group) may be passed when the caller computes it anyway.
     """
     if not keys:
         # one global group; the key is derived from the data (not a literal the
         # optimizer would fold away), so every level stays a hash equi-join
         return exact_median(values.withColumn("_all", F.col(value_col).isNotNull()), ["_all"], value_col,
-                            bits).drop("_all")
+                            bits, counts).drop("_all")
     nonnull = values.where(F.col(value_col).isNotNull())
-    counts = nonnull.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    if counts is None:      # callers that already aggregate per group pass (keys, _cnt) to save a pass
+        counts = nonnull.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
     lo = ((F.col("_cnt") - 1) / 2).cast("long") + 1
     hi = (F.col("_cnt") / 2).cast("long") + 1
     targets = counts.select(*keys, F.explode(F.array(

@@ -52,6 +52,13 @@ def warehouse_append(df: DataFrame, path: str, cluster_by: tuple[str, ...] = ("c
     clustered(proj, "opened_date", keys).write.mode("append").partitionBy("opened_date").parquet(path)
 
 
+def write_predictions(predictions: DataFrame, path: str, mode: str = "append") -> None:
+    """M-08 / S-09: predictions table partitioned by ``prediction_date`` and
+    clustered by model and category inside each day."""
+    (clustered(predictions, "prediction_date", ["model_used", "category"])
+     .write.mode(mode).partitionBy("prediction_date").parquet(path))
+
+
 def read_warehouse(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 

@@ -57,7 +57,7 @@ def test_predictions_table_partitioned_write(spark, scratch):
     fc = forecast.forecast(model, effects, dt.date(2001, 8, 2), 7)
     preds = forecast.predictions_table(fc, "trend_weekday", "v1", dt.datetime(2001, 8, 1))
     path = os.path.join(scratch, "predictions")
-    sinks.write_parquet(preds, path, partition_by=["prediction_date"])
+    sinks.write_predictions(preds, path)
     back = spark.read.parquet(path)
     assert back.select("prediction_date").distinct().count() == 7
     assert back.count() == preds.count() == 7 * model.count()
@@ -71,3 +71,10 @@ def test_sanitize_and_table_loader(spark):
     assert [r["x"] for r in normalize.sanitize(df).collect()] == [1.0, None, None]
     got = read_tables(spark, SMALL, ["events", "orders", "no_such_table"])
     assert set(got) == {"events", "orders"}
+
+
+def test_scale_conf_sizes_partitions():
+    from civicflow.session import scale_conf
+    conf = scale_conf(100 * 1024 ** 4, 8000)                   # 100 TiB on 8000 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600   # 100 TiB / 256 MiB
+    assert scale_conf(1024, 16)["spark.sql.shuffle.partitions"] == "32"   # never below 2x cores
