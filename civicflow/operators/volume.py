@@ -94,8 +94,10 @@ def day_of_week_profile(raw: DataFrame, daily_rollup: DataFrame | None = None, s
     """A-15: always 7 rows Mon..Sun: count (0-filled), percentage (1 dp) of all rows."""
     daily = routing.daily_counts(raw, daily_rollup, start, end, as_of)
     by_dow = daily.groupBy(F.weekday("date").alias("day_of_week")).agg(F.sum("count").cast("long").alias("count"))
-    dim = F.broadcast(weekdays(raw.sparkSession))   # 7 rows by construction
-    out = dim.join(by_dow, "day_of_week", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+    # both sides have <= 7 rows by construction; the preserved side streams and
+    # the weekday counts are the broadcast build side of the left outer join
+    out = weekdays(raw.sparkSession).join(F.broadcast(by_dow), "day_of_week", "left").withColumn(
+        "count", F.coalesce("count", F.lit(0).cast("long")))
     total = F.sum("count").over(Window.partitionBy())   # over 7 rows
     return out.withColumn("percentage", F.coalesce(pct(F.col("count"), total, 1), F.lit(0.0))).orderBy(
         "day_of_week")
