@@ -86,7 +86,8 @@ def daily_timeseries(raw: DataFrame, daily_rollup: DataFrame | None, events_by_d
 # ---------------------------------------------------------------- A-15
 def weekdays(spark) -> DataFrame:
     """7-row weekday dimension (Monday = 0)."""
-    return spark.createDataFrame(list(enumerate(WEEKDAY_NAMES)), "day_of_week int, day_name string")
+    from ..sources.fixtures import literal_table
+    return literal_table(spark, list(enumerate(WEEKDAY_NAMES)), ["day_of_week", "day_name"])
 
 
 def day_of_week_profile(raw: DataFrame, daily_rollup: DataFrame | None = None, start: str | None = None,

@@ -141,9 +141,16 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("rain_day", (F.coalesce(F.col("precip_mm"), F.lit(0.0)) > 0.1).cast("int"))
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small constant table built JVM-side (``inline`` of literal structs on one
+    generated row), so no data is shipped from the Python driver."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def districts(spark: SparkSession) -> DataFrame:
     """The 11-row district dimension (size fixed by construction)."""
-    return spark.createDataFrame(sorted(DISTRICT_NAMES.items()), "district int, name string")
+    return literal_table(spark, sorted(DISTRICT_NAMES.items()), ["district", "name"])
 
 
 def portal_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
