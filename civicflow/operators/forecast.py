@@ -188,11 +188,14 @@ def with_external(features: DataFrame, weather: DataFrame | None = None, events_
 
 # ------------------------------------------------------------------ M-02
 def train_gbt(features: DataFrame, max_iter: int = 100, max_depth: int = 6, step: float = 0.1,
-              subsample: float = 0.8, seed: int = 42, feature_cols: list[str] | None = None):
-    """M-02: one gradient-boosted model over all categories (category index is a
-    feature), fitted on the W-05 'train' rows. Returns (PipelineModel, predictions
-    on the 'validation' rows).
-
+              subsample: float = 0.8, seed: int = 42, feature_cols: list[str] | None = None,
+              categories: DataFrame | None = None, min_rows: int = 100):
+    """M-02: one gradient-boosted model over the modelled categories (category
+    index is a feature), fitted on the W-05 'train' rows. Returns
+    (PipelineModel, predictions on the 'validation' rows).
+
+    Modelled categories: those in ``categories`` (e.g. the top 10 by requests,
+    at most k rows, broadcast) that have at least ``min_rows`` feature rows.
     One distributed fit scales with data; a model per category would be a
     driver loop over groups.
     """
@@ -201,6 +204,10 @@ def train_gbt(features: DataFrame, max_iter: int = 100, max_depth: int = 6, step
     from pyspark.ml.regression import GBTRegressor
 
     cols = feature_cols or feature_columns()
+    if categories is not None:
+        features = features.join(F.broadcast(categories.select("category")), "category", "left_semi")
+    rows = F.count(F.lit(1)).over(Window.partitionBy("category"))       # one row per category-day
+    features = features.withColumn("_rows", rows).where(F.col("_rows") >= min_rows).drop("_rows")
     split = time_split(features)
     train = split.where("split = 'train'")
     valid = split.where("split = 'validation'")

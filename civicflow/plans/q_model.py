@@ -179,7 +179,10 @@ def m10_external_features(spark, sf_dir):
 @query("m02_gbt_validation_metrics")
 def m02_gbt_validation_metrics(spark, sf_dir):
     """Rows-only check: a boosted-tree fit has no SQL equivalent."""
-    _, pred = forecast.train_gbt(forecast.volume_features(Ctx(spark, sf_dir).long))
+    from ..operators import volume
+    c = Ctx(spark, sf_dir)
+    top10 = volume.top_k(c.long, "category", 10)
+    _, pred = forecast.train_gbt(forecast.volume_features(c.long), categories=top10, min_rows=100)
     return forecast.regression_metrics(pred, ["category"])
 
 

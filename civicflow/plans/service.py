@@ -145,6 +145,8 @@ class RequestAnalytics:
         return forecast.fit_trend_weekday(forecast.daily_volumes(self.requests))
 
     def predict_volume(self, category: str, days: int = 7, start: dt.date | None = None) -> DataFrame:
+        if not 1 <= int(days) <= 30:
+            raise ValueError("days must be between 1 and 30")
         model, effects = self._model()
         start = start or self.as_of or dt.date.today()
         return forecast.forecast(model.where(F.col("category") == category), effects, start, days)

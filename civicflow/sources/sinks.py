@@ -70,6 +70,15 @@ def refresh_partitions(df: DataFrame, path: str, date_col: str = "date", compres
      .option("compression", compression).partitionBy(date_col).parquet(path))
 
 
+def refresh_recent(df: DataFrame, path: str, as_of, days: int = 31, date_col: str = "date") -> None:
+    """S-10 flag: re-land only the last ``days`` (<= 31) days before ``as_of`` and
+    overwrite just those day partitions; history stays."""
+    import datetime as _dt
+    days = max(1, min(int(days), 31))
+    since = as_of - _dt.timedelta(days=days)
+    refresh_partitions(df.where(F.col(date_col) >= F.lit(since)), path, date_col)
+
+
 def rollup_metadata(tables: dict[str, DataFrame], daily: DataFrame) -> DataFrame:
     """S-11: one row per rollup (name, rows) plus the date range and the
     number of request rows covered (from the daily rollup)."""

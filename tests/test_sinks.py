@@ -78,3 +78,14 @@ def test_scale_conf_sizes_partitions():
     conf = scale_conf(100 * 1024 ** 4, 8000)                   # 100 TiB on 8000 cores
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600   # 100 TiB / 256 MiB
     assert scale_conf(1024, 16)["spark.sql.shuffle.partitions"] == "32"   # never below 2x cores
+
+
+def test_refresh_recent_only_touches_last_days(spark, scratch):
+    path = os.path.join(scratch, "crime_recent")
+    d = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    first = spark.createDataFrame([(x, 1, 1) for x in d], "date date, district int, count long")
+    sinks.refresh_partitions(first, path)
+    second = spark.createDataFrame([(x, 1, 2) for x in d], "date date, district int, count long")
+    sinks.refresh_recent(second, path, as_of=dt.date(2024, 2, 10), days=10)
+    got = {r["date"]: r["count"] for r in spark.read.parquet(path).collect()}
+    assert got[dt.date(2024, 1, 1)] == 1 and got[dt.date(2024, 2, 9)] == 2 and len(got) == 40
