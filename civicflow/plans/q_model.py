@@ -34,7 +34,7 @@ ff AS (SELECT * FROM f WHERE lag_1d IS NOT NULL AND lag_7d IS NOT NULL AND lag_1
          AND lag_30d IS NOT NULL)"""
 
 _MODEL = _VOL + """,
-vt AS (SELECT *, CAST(date_diff('day', DATE '1970-01-01', date) AS DOUBLE) AS t FROM v),
+vt AS (SELECT *, CAST(date_diff('day', DATE '1970-01-01', date) AS DOUBLE) AS t FROM v WHERE {fit_filter}),
 tr AS (SELECT category, regr_slope(volume, t) AS slope, regr_intercept(volume, t) AS intercept, count(*) AS n_days
        FROM vt GROUP BY category),
 r AS (SELECT vt.*, tr.slope, tr.intercept, volume - (intercept + slope * t) AS resid,
@@ -45,9 +45,13 @@ sp AS (SELECT category, stddev_pop(resid - effect) AS resid_std FROM r JOIN e US
 m AS (SELECT * FROM tr LEFT JOIN sp USING (category))"""
 
 
-def _fc_sql(start: dt.date, days: int) -> str:
+def _model_sql(fit_before: dt.date | None = None) -> str:
+    return _MODEL.replace("{fit_filter}", f"date < DATE '{fit_before}'" if fit_before else "TRUE")
+
+
+def _fc_sql(start: dt.date, days: int, fit_before: dt.date | None = None) -> str:
     end = start + dt.timedelta(days=days - 1)
-    return _MODEL + f""",
+    return _model_sql(fit_before) + f""",
 cal AS (SELECT category, slope, intercept, resid_std,
                CAST(unnest(generate_series(TIMESTAMP '{start}', TIMESTAMP '{end}', INTERVAL 1 DAY)) AS DATE)
                  AS prediction_date FROM m),
@@ -62,8 +66,11 @@ fco AS (SELECT category, prediction_date, yhat,
                CAST(greatest(round(yhat + band, 0), 0.0) AS INTEGER) AS upper_bound FROM fc)"""
 
 
-def _model(c: Ctx):
-    return forecast.fit_trend_weekday(forecast.daily_volumes(c.long))
+def _model(c: Ctx, fit_before: dt.date | None = None):
+    v = forecast.daily_volumes(c.long)
+    if fit_before is not None:
+        v = v.where(F.col("date") < F.lit(fit_before))
+    return forecast.fit_trend_weekday(v)
 
 
 @query("m01_volume_features", W("SELECT * FROM ff", "rl", extra=_FEAT))
@@ -108,7 +115,7 @@ def w05_time_split(spark, sf_dir):
 
 @query("m04_trend_weekday_model", W("""
 SELECT category, round(slope, 8) AS slope, round(intercept, 4) AS intercept, n_days, round(resid_std, 4) AS resid_std
-FROM m""", "rl", extra=_MODEL))
+FROM m""", "rl", extra=_model_sql()))
 def m04_trend_weekday_model(spark, sf_dir):
     model, _ = _model(Ctx(spark, sf_dir))
     return model.select("category", rnd("slope", 8).alias("slope"), rnd("intercept", 4).alias("intercept"),
@@ -119,7 +126,7 @@ def m04_trend_weekday_model(spark, sf_dir):
 SELECT category, round(avg(abs(err)), 4) AS mae, round(sqrt(avg(err * err)), 4) AS rmse,
        round(1 - sum(err * err) / (var_pop(volume) * count(*)), 4) AS r2, count(*) AS n
 FROM (SELECT r.category, r.volume, CAST(r.volume AS DOUBLE) - (r.intercept + r.slope * r.t + e.effect) AS err
-      FROM r JOIN e USING (category, day_of_week)) GROUP BY category""", "rl", extra=_MODEL))
+      FROM r JOIN e USING (category, day_of_week)) GROUP BY category""", "rl", extra=_model_sql()))
 def m03_fit_metrics(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     model, effects = _model(c)
@@ -153,10 +160,11 @@ def m06_trend_summary(spark, sf_dir):
 @query("m09_backtest", W("""
 SELECT category, round(avg(abs(volume - predicted_volume) / volume) * 100.0, 2) AS mape, count(*) AS days
 FROM fco JOIN (SELECT category, date AS prediction_date, volume FROM v) a USING (category, prediction_date)
-WHERE volume > 0 GROUP BY category""", "rl", extra=_fc_sql(BT_START, 61)))
+WHERE volume > 0 GROUP BY category""", "rl", extra=_fc_sql(BT_START, 61, fit_before=BT_START)))
 def m09_backtest(spark, sf_dir):
+    """True hold-out: the model sees only days before the 61 scored days."""
     c = Ctx(spark, sf_dir)
-    model, effects = _model(c)
+    model, effects = _model(c, fit_before=BT_START)
     preds = forecast.forecast(model, effects, BT_START, 61)
     return forecast.backtest(preds, forecast.daily_volumes(c.long))
 
