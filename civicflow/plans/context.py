@@ -103,3 +103,9 @@ class Ctx:
     @cached_property
     def crime_agg(self) -> DataFrame:
         return ev.crime_agg(self.crime)
+
+    @cached_property
+    def trend_model(self) -> tuple[DataFrame, DataFrame]:
+        """M-04 fitted on every day of ``requests_long`` (lazy plans)."""
+        from ..operators import forecast
+        return forecast.fit_trend_weekday(forecast.daily_volumes(self.long))

@@ -67,6 +67,8 @@ fco AS (SELECT category, prediction_date, yhat,
 
 
 def _model(c: Ctx, fit_before: dt.date | None = None):
+    if fit_before is None:
+        return c.trend_model
     v = forecast.daily_volumes(c.long)
     if fit_before is not None:
         v = v.where(F.col("date") < F.lit(fit_before))
