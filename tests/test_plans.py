@@ -39,3 +39,69 @@ def test_event_names_top_k_is_map_side(spark):
 def test_scan_prunes_columns(spark):
     p = plan(QUERIES["a11_category_counts"](spark, SMALL))
     assert "ReadSchema: struct<event_type:string>" in p
+
+
+REDUCERS = ("HashAggregate", "ObjectHashAggregate", "SortAggregate", "TakeOrderedAndProject")
+BOUNDED_SOURCES = ("Range", "LocalTableScan")
+
+
+def _tree(plan_text: str):
+    """(depth, operator) per line of the physical plan tree."""
+    lines = plan_text.split("== Physical Plan ==")[1].strip("\n").splitlines()
+    nodes = []
+    for i, line in enumerate(lines):
+        idx = line.find("+- ")
+        if idx >= 0:
+            depth, body = idx // 3 + 1, line[idx + 3:]
+        elif i == 0:
+            depth, body = 0, line.strip()
+        else:
+            continue
+        op = body.split("(")[0].split(" ")[0].strip("*").strip()
+        nodes.append((depth, op, body))
+    return nodes
+
+
+def _paths_reach_raw_scan(nodes, start):
+    """True if some path below ``nodes[start]`` reaches a file scan with no reducer on the way."""
+    depth0 = nodes[start][0]
+    stack = []          # reducer seen on the path to each open depth
+    for d, op, body in nodes[start + 1:]:
+        if d <= depth0:
+            break
+        while stack and stack[-1][0] >= d:
+            stack.pop()
+        reduced = (stack[-1][1] if stack else False) or op in REDUCERS
+        stack.append((d, reduced))
+        if "Scan" in op and op not in BOUNDED_SOURCES and not any(b in body for b in BOUNDED_SOURCES):
+            if not reduced:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("m02")))
+def test_single_partition_exchanges_only_see_reduced_rows(spark, name):
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        QUERIES[name](spark, SMALL).explain("extended")
+    nodes = _tree(buf.getvalue())
+    for i, (_, op, body) in enumerate(nodes):
+        if op == "Exchange" and "SinglePartition" in body:
+            assert not _paths_reach_raw_scan(nodes, i), f"raw rows reach a single task: {body[:80]}"
+
+
+def test_single_partition_checker_catches_raw_rows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from civicflow.sources.tables import read_table
+    bad = read_table(spark, SMALL, "events").withColumn("rn", F.row_number().over(Window.orderBy("ts")))
+    good = read_table(spark, SMALL, "events").groupBy("event_type").count().withColumn(
+        "rn", F.row_number().over(Window.orderBy("count")))
+    for df, expect in ((bad, True), (good, False)):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain("extended")
+        nodes = _tree(buf.getvalue())
+        hits = [_paths_reach_raw_scan(nodes, i) for i, (_, op, body) in enumerate(nodes)
+                if op == "Exchange" and "SinglePartition" in body]
+        assert any(hits) is expect
