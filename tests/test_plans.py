@@ -62,7 +62,7 @@ def _tree(plan_text: str):
     return nodes
 
 
-def _paths_reach_raw_scan(nodes, start):
+def _paths_reach_raw_scan(nodes, start, reducers=REDUCERS):
     """True if some path below ``nodes[start]`` reaches a file scan with no reducer on the way."""
     depth0 = nodes[start][0]
     stack = []          # reducer seen on the path to each open depth
@@ -71,7 +71,7 @@ def _paths_reach_raw_scan(nodes, start):
             break
         while stack and stack[-1][0] >= d:
             stack.pop()
-        reduced = (stack[-1][1] if stack else False) or op in REDUCERS
+        reduced = (stack[-1][1] if stack else False) or op in reducers
         stack.append((d, reduced))
         if "Scan" in op and op not in BOUNDED_SOURCES and not any(b in body for b in BOUNDED_SOURCES):
             if not reduced:
@@ -105,3 +105,17 @@ def test_single_partition_checker_catches_raw_rows(spark):
         hits = [_paths_reach_raw_scan(nodes, i) for i, (_, op, body) in enumerate(nodes)
                 if op == "Exchange" and "SinglePartition" in body]
         assert any(hits) is expect
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("m02")))
+def test_windows_only_see_reduced_rows(spark, name):
+    """A window sorts each partition key in one task, so a hot key must reach it
+    already reduced (aggregate, top-k, or a map-side WindowGroupLimit)."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        QUERIES[name](spark, SMALL).explain("extended")
+    nodes = _tree(buf.getvalue())
+    for i, (_, op, body) in enumerate(nodes):
+        if op == "Window":
+            assert not _paths_reach_raw_scan(nodes, i, REDUCERS + ("WindowGroupLimit",)), \
+                f"window over raw rows: {body[:100]}"
