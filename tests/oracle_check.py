@@ -23,20 +23,23 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
+EXACT = bool(os.environ.get("EXACT_FLOATS"))
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             v = v.item()
         except Exception:
             pass
     if isinstance(v, float):
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):
