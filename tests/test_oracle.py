@@ -6,9 +6,12 @@ import os
 import pytest
 
 import __spark_entry__ as E
+import oracle_check
 from conftest import SMALL
 from oracle_check import SPARK_TO_DUCK, digest, duck, rows_of
 
+oracle_check.EXACT = True        # compare doubles bit for bit, no tolerance
+
 QUERIES = E.queries()
 SQLS = E.oracle_sql()
 SLOW = {"m02_gbt_validation_metrics"}
