@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ANOMALY_RECENT_DAYS, ANOMALY_TOP_CATEGORIES, ANOMALY_WINDOW_DAYS, ANOMALY_Z
+from ..functions.ordering import sort_small
 from ..functions.numeric import rnd
 
 
@@ -64,4 +65,4 @@ def anomalies(req: DataFrame, events_by_date: DataFrame | None = None,
         out = out.join(F.broadcast(ev), "date", "left")     # one row per date
     else:
         out = out.withColumn("possible_event_cause", F.lit(None).cast("string"))
-    return out.orderBy(F.desc("deviation_factor"), "date", "category")
+    return sort_small(out, F.desc("deviation_factor"), "date", "category")

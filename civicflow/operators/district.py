@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import sort_small
 from ..functions.numeric import pct, rnd
 from . import filters
 
@@ -23,8 +24,8 @@ def district_breakdown(req: DataFrame, districts: DataFrame) -> DataFrame:
     df = req.where(F.col("district").isNotNull())
     c = df.groupBy("district").agg(F.count(F.lit(1)).alias("count"))
     c = c.withColumn("percentage", pct(F.col("count"), F.sum("count").over(Window.partitionBy()), 2))  # <= #districts
-    return with_names(c, districts).select("district", "name", "count", "percentage").orderBy(
-        F.desc("count"), "district")
+    return sort_small(with_names(c, districts).select("district", "name", "count", "percentage"),
+                      F.desc("count"), "district")
 
 
 def district_concentration(req: DataFrame) -> DataFrame:

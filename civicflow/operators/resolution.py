@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import sort_small
 from ..functions.numeric import pct, ratio, rnd
 from . import filters
 from ..session import materialize
@@ -36,7 +37,7 @@ def resolution_by_category(req: DataFrame, min_count: int = 10) -> DataFrame:
     """A-20: category, avg_hours, median_hours (2 dp), sample_size; >= min_count rows; avg desc."""
     s = _stats(_valid(req, ["category"]), ["category"]).where(F.col("n") >= min_count)
     return s.select("category", rnd("avg_h", 2).alias("avg_hours"), rnd("med_h", 2).alias("median_hours"),
-                    F.col("n").alias("sample_size")).orderBy(F.desc("avg_hours"), "category")
+                    F.col("n").alias("sample_size")).transform(lambda d: sort_small(d, F.desc("avg_hours"), "category"))
 
 
 def resolution_overall(req: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def resolution_by_hour(req: DataFrame, min_count: int = 5) -> DataFrame:
     df = filters.valid_resolution(req)
     return (df.groupBy(F.hour("opened").alias("hour"))
             .agg(rnd(F.avg("resolution_hours"), 2).alias("avg_hours"), F.count(F.lit(1)).alias("count"))
-            .where(F.col("count") >= min_count).orderBy("hour"))
+            .where(F.col("count") >= min_count).transform(lambda d: sort_small(d, "hour")))
 
 
 def mean_vs_median(req: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import sort_small
 from ..functions.calendar import ts_lit, year_month
 from ..functions.geo import cell_id, in_box
 from ..functions.numeric import rnd
@@ -100,7 +101,7 @@ def recent_by_category(req: DataFrame, as_of: dt.date, days: int = 30) -> DataFr
     df = req.where(F.col("opened") >= ts_lit(since)).withColumn("date", F.to_date("opened"))
     out = df.groupBy("category", "date").agg(F.count(F.lit(1)).alias("request_count"),
                                              rnd(F.avg("resolution_hours"), 2).alias("avg_resolution_hours"))
-    return out.orderBy(F.col("date").desc(), F.col("request_count").desc(), "category")
+    return sort_small(out, F.col("date").desc(), F.col("request_count").desc(), "category")
 
 
 def daily_aggregates(req: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import WEEKDAY_NAMES
+from ..functions.ordering import sort_small
 from ..functions.calendar import end_of_day, ts_lit, year_month
 from ..functions.numeric import pct, pct_change, ratio, rnd
 from ..plans import routing
@@ -30,7 +31,7 @@ def per_date(dim: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- A-11 / W-11
 def category_counts(req: DataFrame) -> DataFrame:
     """A-11: category -> count (value_counts order: count desc, category)."""
-    return req.groupBy("category").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "category")
+    return sort_small(req.groupBy("category").agg(F.count(F.lit(1)).alias("count")), F.desc("count"), "category")
 
 
 def distinct_categories(req: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def daily_timeseries(raw: DataFrame, daily_rollup: DataFrame | None, events_by_d
     if weather is not None:
         daily = daily.join(per_date(weather.select("date", "precip_mm", "temp_max_c", "temp_min_c", "rain_day")),
                            "date", "left")
-    return daily.orderBy("date")
+    return sort_small(daily, "date")
 
 
 # ---------------------------------------------------------------- A-15
@@ -100,8 +101,8 @@ def day_of_week_profile(raw: DataFrame, daily_rollup: DataFrame | None = None, s
     out = weekdays(raw.sparkSession).join(F.broadcast(by_dow), "day_of_week", "left").withColumn(
         "count", F.coalesce("count", F.lit(0).cast("long")))
     total = F.sum("count").over(Window.partitionBy())   # over 7 rows
-    return out.withColumn("percentage", F.coalesce(pct(F.col("count"), total, 1), F.lit(0.0))).orderBy(
-        "day_of_week")
+    return sort_small(out.withColumn("percentage", F.coalesce(pct(F.col("count"), total, 1), F.lit(0.0))),
+                      "day_of_week")
 
 
 # ---------------------------------------------------------------- A-16 / A-30
@@ -117,7 +118,7 @@ def hourly_profile(req: DataFrame, start: str | None = None, end: str | None = N
         df = filters.filter_date_range(req, start, end)
         by_h = df.groupBy(F.hour("opened").alias("hour")).agg(F.count(F.lit(1)).alias("count"))
     rank = F.row_number().over(Window.partitionBy().orderBy(F.desc("count"), "hour"))   # <= 24 rows
-    return by_h.withColumn("is_peak", rank == 1).orderBy("hour")
+    return sort_small(by_h.withColumn("is_peak", rank == 1), "hour")
 
 
 def peak_window_share(req: DataFrame, from_hour: int = 8, to_hour: int = 11) -> DataFrame:
@@ -127,7 +128,8 @@ def peak_window_share(req: DataFrame, from_hour: int = 8, to_hour: int = 11) ->
     in_win = F.when(F.col("hour").between(from_hour, to_hour), F.col("count")).otherwise(0)
     return by_h.select("hour", "count",
                        pct(F.col("count"), F.sum("count").over(w), 1).alias("share"),
-                       pct(F.sum(in_win).over(w), F.sum("count").over(w), 1).alias("window_share")).orderBy("hour")
+                       pct(F.sum(in_win).over(w), F.sum("count").over(w), 1).alias("window_share")).transform(
+        lambda d: sort_small(d, "hour"))
 
 
 # ---------------------------------------------------------------- A-17 / A-33
@@ -135,7 +137,7 @@ def monthly_trend(raw: DataFrame, monthly_rollup: DataFrame | None = None, start
                   end: str | None = None, as_of: dt.date | None = None) -> DataFrame:
     """A-17: year_month, count, average (mean of the monthly counts, 0 dp)."""
     m = routing.monthly_counts(raw, monthly_rollup, start, end, as_of)
-    return m.withColumn("average", rnd(F.avg("count").over(Window.partitionBy()), 0)).orderBy("year_month")
+    return sort_small(m.withColumn("average", rnd(F.avg("count").over(Window.partitionBy()), 0)), "year_month")
 
 
 def month_growth(req: DataFrame) -> DataFrame:
@@ -143,7 +145,7 @@ def month_growth(req: DataFrame) -> DataFrame:
     m = req.groupBy(year_month("opened").alias("year_month")).agg(F.count(F.lit(1)).alias("count"))
     base = F.first("count").over(Window.partitionBy().orderBy("year_month")
                                  .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return m.withColumn("growth_pct", pct_change(F.col("count"), base, 1)).orderBy("year_month")
+    return sort_small(m.withColumn("growth_pct", pct_change(F.col("count"), base, 1)), "year_month")
 
 
 # ---------------------------------------------------------------- A-22
@@ -153,7 +155,7 @@ def category_timeseries(req: DataFrame, category: str) -> DataFrame:
     d = df.groupBy(F.to_date("opened").alias("date")).agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy()
     return d.withColumns({"total_days": F.count(F.lit(1)).over(w),
-                          "total_count": F.sum("count").over(w)}).orderBy("date")
+                          "total_count": F.sum("count").over(w)}).transform(lambda x: sort_small(x, "date"))
 
 
 # ---------------------------------------------------------------- A-23
@@ -234,7 +236,7 @@ def weekday_baseline(req: DataFrame) -> DataFrame:
     daily = req.groupBy(F.to_date("opened").alias("date")).agg(F.count(F.lit(1)).alias("count"))
     return (daily.groupBy(F.weekday("date").alias("day_of_week"))
             .agg(rnd(F.avg("count"), 1).alias("avg_daily"), F.count(F.lit(1)).alias("n_days"))
-            .orderBy("day_of_week"))
+            .transform(lambda d: sort_small(d, "day_of_week")))
 
 
 def week_over_week(req: DataFrame) -> DataFrame:

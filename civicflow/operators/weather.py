@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import sort_small
 from ..functions.numeric import pct_change, rnd
 from . import filters
 
@@ -37,11 +38,11 @@ def weather_impact(req: DataFrame, weather: DataFrame, top: int = 10) -> DataFra
     both = cats.unionByName(overall).where(F.col("dry") > 0)
     out = both.select("category", rnd("rainy", 0).alias("rainy_day_avg"), rnd("dry", 0).alias("dry_day_avg"),
                       (pct_change(F.col("rainy"), F.col("dry"), 1)).alias("impact_percent"))
-    return out.where(F.col("category").isNull() | F.col("impact_percent").isNotNull()).orderBy(
-        F.col("category").isNotNull(), F.desc(F.abs("impact_percent")), "category")
+    return sort_small(out.where(F.col("category").isNull() | F.col("impact_percent").isNotNull()),
+                      F.col("category").isNotNull(), F.desc(F.abs("impact_percent")), "category")
 
 
 def weather_lookup(weather: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """P-19: date, precip_mm, temp_max_c, temp_min_c, rain_day for a date range, sorted."""
     return filters.filter_rollup_dates(weather, start, end).select(
-        "date", "precip_mm", "temp_max_c", "temp_min_c", "rain_day").orderBy("date")
+        "date", "precip_mm", "temp_max_c", "temp_min_c", "rain_day").transform(lambda d: sort_small(d, "date"))
