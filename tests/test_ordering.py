@@ -6,28 +6,20 @@ from conftest import SMALL
 Q = E.queries()
 
 
-def _col(name, col):
-    return [r[col] for r in Q[name](spark_session(), SMALL).collect()]
+def test_result_orders(spark):
+    def col(name, c):
+        return [r[c] for r in Q[name](spark, SMALL).collect()]
 
-
-_SPARK = {}
-
-
-def spark_session():
-    return _SPARK["s"]
-
-
-def test_orders(spark):
-    _SPARK["s"] = spark
-    dates = _col("a14_daily_timeseries_rollup", "date")
+    dates = col("a14_daily_timeseries_rollup", "date")
     assert dates == sorted(dates) and len(dates) > 1
-    assert _col("a15_day_of_week_raw", "day_of_week") == list(range(7))
-    assert _col("a16_hourly_profile", "hour") == sorted(_col("a16_hourly_profile", "hour"))
-    avg = _col("a20_resolution_by_category", "avg_hours")
+    assert col("a15_day_of_week_raw", "day_of_week") == list(range(7))
+    hours = col("a16_hourly_profile", "hour")
+    assert hours == sorted(hours)
+    avg = col("a20_resolution_by_category", "avg_hours")
     assert avg == sorted(avg, reverse=True)
-    counts = _col("a19_district_breakdown_long", "count")
+    counts = col("a19_district_breakdown_long", "count")
     assert counts == sorted(counts, reverse=True)
-    months = _col("a17_monthly_trend_rollup", "year_month")
+    months = col("a17_monthly_trend_rollup", "year_month")
     assert months == sorted(months)
-    cats = Q["a11_category_counts"](spark, SMALL).collect()
-    assert [r["count"] for r in cats] == sorted((r["count"] for r in cats), reverse=True)
+    cat_counts = col("a11_category_counts", "count")
+    assert cat_counts == sorted(cat_counts, reverse=True)
