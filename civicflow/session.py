@@ -112,5 +112,5 @@ def materialize(df):
     and stores compressed columns rather than serialised rows."""
     base = checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/materialized/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
