@@ -23,9 +23,8 @@ def fold(id_col: str, parts: int) -> Column:
 
 
 def n_words(text_col: str) -> Column:
-    """Number of words of a text, 0 for null: the pieces between runs of white space."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"^{WHITE}+|{WHITE}+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, f"{WHITE}+"))).cast("long")
+    """Number of words of a text, 0 for null."""
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
 
 
 def slot(buckets: int, *cols: str) -> Column:

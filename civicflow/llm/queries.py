@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from civicflow.sources.tables import read_table
 
+from .common import fold
 from .exact_dedup import normalised, progressive_exact_dedup
+from .langid import fit_language_model, language_of
+from .mixing import mix_sources
+from .packing import pack_documents
 from .simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +48,28 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = simhash_groups(docs, shingle=3, max_bits=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(True))
+    model = fit_language_model(docs, ~held_out)
+    return docs.select("doc_id", held_out.alias("held_out"), language_of(model).alias("found")).select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
+@query("op2_mix_sources")
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), budget=1.5, cap=2)
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path=tokenizer_file())
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
