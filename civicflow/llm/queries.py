@@ -12,6 +12,7 @@ from civicflow.sources.tables import read_table
 from .common import fold
 from .exact_dedup import normalised, progressive_exact_dedup
 from .langid import fit_language_model, language_of
+from .line_dedup import drop_repeated_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .simhash import simhash_groups
@@ -73,3 +74,13 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its number of lines, the numbers of those deleted, and the digest of what is left."""
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    cut = drop_repeated_lines(docs, min_words=50)
+    return cut.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines",
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
