@@ -29,3 +29,17 @@ def n_words(text_col: str) -> Column:
 
 def slot(buckets: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(buckets))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str, *, most: int,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``text, label`` of about ``most`` labelled, ``usable`` rows at any corpus size (all, if
+    fewer), written once. Chosen by a hash of the id on both sides, so that neither
+    more labels nor more texts than the sample's reach the join. Null labels and
+    texts count as unlabelled and empty; a label given twice counts twice."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & usable)
+    share = min(1.0, most / max(1, known.count()))
+    low = F.pmod(F.xxhash64(F.lit(11), F.col(id_col).cast("long")), F.lit(1 << 30)) < int(share * (1 << 30))
+    chosen = known.where(low).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("label"))
+    texts = docs.where(low).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    return written(texts.join(chosen, "_id").select("text", "label"))

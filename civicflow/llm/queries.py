@@ -15,7 +15,9 @@ from .langid import fit_language_model, language_of
 from .line_dedup import drop_repeated_lines
 from .mixing import mix_sources
 from .packing import pack_documents
+from .quality import fit_quality, quality_score
 from .simhash import simhash_groups
+from .toxicity import fit_toxicity, toxicity_score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +86,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_repeated_lines(docs, min_words=50)
     return cut.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines",
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(True))
+    model = fit_toxicity(docs, labels, ~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity_score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(True))
+    model = fit_quality(docs, labels, ~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality_score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
