@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civicflow.sources.tables import read_table
 
+from .chat import digests, format_conversations, probe, read_back
 from .common import fold
 from .exact_dedup import normalised, progressive_exact_dedup
 from .langid import fit_language_model, language_of
@@ -17,6 +18,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import fit_quality, quality_score
 from .simhash import simhash_groups
+from .topk import top_inner_products
 from .toxicity import fit_toxicity, toxicity_score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +106,37 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(docs, labels, ~held_out)
     scored = docs.select("doc_id", held_out.alias("held_out"), quality_score(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op9_exact_topk", """
+WITH v AS (SELECT DISTINCT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len([1 FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+     s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+           FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query("op10_chat_format", r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+     e AS (SELECT *, role || chr(10) || text || chr(10) AS line,
+                  regexp_replace(regexp_replace(role, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g') AS r,
+                  regexp_replace(regexp_replace(text, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g') AS x
+           FROM t),
+     g AS (SELECT conv_id, count(*) AS n_turns, string_agg(line, '' ORDER BY turn NULLS FIRST, role, text) AS lines,
+                  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                           FILTER (WHERE role = 'assistant'), '') AS loss,
+                  CAST(3 + sum(length(r) + length(x) + 21) AS BIGINT) AS formatted_chars
+           FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars FROM g
+""")
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    formatted = format_conversations(turns.unionByName(probe(turns)))
+    return digests(read_back(formatted))
