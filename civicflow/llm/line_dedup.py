@@ -138,7 +138,6 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return windows.join(first, ["len", "a", "b"]).where(later).select(*DOC, "start", "len")
 
 
-@F.pandas_udf("text string, removed array<int>")
 def _cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, starts, lens in parts:
         out, gone = [], []
@@ -172,7 +171,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = written(runs).withColumnsRenamed({"_id": "_run_id", "_th": "_run_th"})
     own_id, own_th = _documents(docs, id_col, text_col)
     joined = docs.join(runs, own_id.eqNullSafe(F.col("_run_id")) & (own_th == F.col("_run_th")), "left")
-    touched = joined.where("_starts IS NOT NULL").withColumn("_cut", _cut(F.col(text_col), "_starts", "_lens"))
+    cut_lines = F.pandas_udf(_cut, "text string, removed array<int>")
+    touched = joined.where("_starts IS NOT NULL").withColumn("_cut", cut_lines(F.col(text_col), "_starts", "_lens"))
     columns = [F.col(c) for c in docs.columns]
     cut = [F.col("_cut.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     nothing = F.array().cast("array<int>")
