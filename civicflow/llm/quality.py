@@ -102,7 +102,7 @@ def dual_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, *, c:
 
 def logistic_curve(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Slope and shift of sigmoid(slope * margin + shift) by Newton steps, targets off 0 and 1 (Platt)."""
-    n1, n0 = y.sum(), len(y) - y.sum()
+    n1, n0 = (y > 0).sum(), (y <= 0).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     p = np.array([1.0, 0.0])
     x = np.stack([margin, np.ones_like(margin)])

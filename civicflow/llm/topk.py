@@ -56,7 +56,7 @@ class Pivots:
 def fit_pivots(sample: np.ndarray, longest: float, n_pivots: int, rings: int, rounds: int = 8, seed: int = 9) -> Pivots:
     """Pivots are cluster means of the sample, ring edges its distance quantiles."""
     p = Pivots(np.zeros((0, 0)), np.zeros((0, 0)), longest)
-    x = p.lifted(sample)
+    x = p.lifted(sample if len(sample) else np.zeros((1, sample.shape[1])))
     p.points = x[np.random.default_rng(seed).permutation(len(x))[:n_pivots]]
     for _ in range(rounds):
         own = p.distances(x).argmin(axis=1)
