@@ -67,19 +67,19 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     SELECT *, date_diff('microsecond', opened, closed) / 3.6e9 AS resolution_hours,
            date_diff('microsecond', opened, closed) AS res_us FROM requests_long"""),
     "ev_src": ([], """
-    SELECT CAST(l_shipdate AS DATE) AS event_date, p_name AS name, l_orderkey, l_linenumber, l_partkey
+    SELECT CAST(date_trunc('week', l_shipdate) AS DATE) + 5 AS event_date, p_name AS name, l_orderkey, l_linenumber, l_partkey
     FROM lineitem JOIN part ON l_partkey = p_partkey
-    WHERE l_returnflag = 'R' AND l_orderkey % 20 = 0"""),
+    WHERE l_returnflag = 'R'"""),
     "cl_src": ([], """
-    SELECT CAST(l_shipdate AS DATE) AS closure_date, p_name AS name, p_type AS street,
+    SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS closure_date, p_name AS name, p_type AS street,
            l_orderkey, l_linenumber, l_partkey
     FROM lineitem JOIN part ON l_partkey = p_partkey
-    WHERE l_returnflag = 'A' AND l_orderkey % 20 = 7"""),
+    WHERE l_returnflag = 'A'"""),
     "pm_src": ([], """
-    SELECT CAST(l_shipdate AS DATE) AS date, 'construction' AS event_type, left(p_brand, 80) AS name,
+    SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, 'construction' AS event_type, left(p_brand, 80) AS name,
            l_orderkey, l_linenumber, l_partkey
     FROM lineitem JOIN part ON l_partkey = p_partkey
-    WHERE l_returnflag = 'N' AND l_orderkey % 20 = 13"""),
+    WHERE l_returnflag = 'N'"""),
     "crime": ([], """
     SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey % 11 + 1 AS INTEGER) AS district FROM lineitem"""),
     "crime_agg": (["crime"], "SELECT date, district, count(*) AS count FROM crime GROUP BY date, district"),

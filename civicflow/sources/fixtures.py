@@ -84,37 +84,36 @@ def requests_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolution(df)
 
 
-def _lineitem_part(spark: SparkSession, sf_dir: str, flag: str, thin: int) -> DataFrame:
-    # Thinning by order key is part of the fixture definition (FIXTURES.md §2):
-    # without it almost every date would be an event day and the
-    # event/non-event comparison would have an empty side.
-    li = (read_table(spark, sf_dir, "lineitem")
-          .where((F.col("l_returnflag") == flag) & (F.col("l_orderkey") % 20 == thin)))
+def _lineitem_part(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
     part = read_table(spark, sf_dir, "part")
     return li.join(part, li.l_partkey == part.p_partkey, "inner")
 
 
 def event_src(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw community events: event_start_date, event_name, seq keys."""
-    return _lineitem_part(spark, sf_dir, "R", 0).select(
-        F.col("l_shipdate").alias("event_start_date"),
+    """Raw community events: event_start_date (the Saturday of the ship week), event_name, seq keys.
+
+    The three feeds keep every row and move its date, so that at any number of
+    rows there are both days with and days without events (FIXTURES.md §2)."""
+    return _lineitem_part(spark, sf_dir, "R").select(
+        F.date_add(F.date_trunc("week", "l_shipdate").cast("date"), 5).alias("event_start_date"),
         F.col("p_name").alias("event_name"),
         "l_orderkey", "l_linenumber", "l_partkey")
 
 
 def closure_src(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw street closures: start_date, case_name, street, seq keys."""
-    return _lineitem_part(spark, sf_dir, "A", 7).select(
-        F.col("l_shipdate").alias("start_date"),
+    """Raw street closures: start_date (the first of the ship month), case_name, street, seq keys."""
+    return _lineitem_part(spark, sf_dir, "A").select(
+        F.date_trunc("month", "l_shipdate").cast("date").alias("start_date"),
         F.col("p_name").alias("case_name"),
         F.col("p_type").alias("street"),
         "l_orderkey", "l_linenumber", "l_partkey")
 
 
 def permit_src(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw construction permits: date, name, seq keys."""
-    return _lineitem_part(spark, sf_dir, "N", 13).select(
-        F.col("l_shipdate").alias("date"),
+    """Raw construction permits: date (the Monday of the ship week), name, seq keys."""
+    return _lineitem_part(spark, sf_dir, "N").select(
+        F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
         F.col("p_brand").alias("name"),
         "l_orderkey", "l_linenumber", "l_partkey")
 
