@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import sort_small
 from ..functions.numeric import pct, ratio, rnd
+from ..constants import RESOLUTION_MAX_HOURS
 from . import filters
 from ..session import materialize
 from .rollups import resolution_micros
@@ -31,7 +32,7 @@ def _stats(df: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
         return df.groupBy(*keys).agg(F.avg("resolution_hours").alias("avg_h"), F.count(F.lit(1)).alias("n"),
                                      F.percentile_approx("resolution_hours", 0.5, 10000).alias("med_h"))
     agg = df.groupBy(*keys).agg(F.avg("resolution_hours").alias("avg_h"), F.count(F.lit(1)).alias("n"))
-    med = exact_median(df, keys, "res_us", counts=agg.select(*keys, F.col("n").alias("_cnt")))
+    med = exact_median(df, keys, "res_us", below=int(RESOLUTION_MAX_HOURS * US_PER_HOUR))     # valid rows only
     med = med.withColumn("med_h", F.col("median") / F.lit(US_PER_HOUR)).drop("median")
     return agg.join(med, keys, "inner")
 

@@ -1,129 +1,120 @@
-"""Exact order statistics (median) without holding a whole group in one task.
+"""Exact order statistics (median, percentiles) without holding a whole group in one task.
 
 Spark's ``median``/``percentile`` keep a value->count map per group and merge
 it in a single task, so one hot group (a third of all rows) would have to fit
-in one executor. Here the k-th smallest value of a non-negative long column is
-found by a radix selection over 16-bit digits:
-
-* level 1 counts rows per (group, top digit) -- a partial aggregate, so a hot
-  group is combined map-side;
-* a window over the <= 2^23 digit counts of one group (bounded by the digit
-  width, not by the data) finds the digit holding rank k and the rank left
-  inside it;
-* the next level only looks at rows whose higher digits equal the chosen
-  prefix (an equi-join with the small target table).
-
-The digits cover every bit of the largest value (read once with a scalar
-aggregate): values below 2^46 need two passes, any long at most three. Each
-digit has at most 23 bits, so a group's histogram never exceeds 2^23 rows. Every step is a
-distributed join/aggregate/window; nothing is collected to the driver.
+in one executor. Here every long is written as a few digits of a mixed radix
+that depend on the value alone and keep its order:
+
+* the first digit says between which two of 1024 steps per power of two the
+  value lies (sign, bit length and the next ten bits), so a few thousand
+  digits cover whatever range the data have, negative values included;
+* the others split what is left of that step, 16 to 18 bits at a time.
+
+Level 1 counts rows per (group, first digit): one partial aggregate with no
+join, and the number of rows of a group is the sum of its histogram, so all
+wanted ranks are read off it. Each later level looks only at rows in a digit
+that holds a wanted rank (an equi-join with a table of one row per such digit).
+A histogram has at most 2^18 rows per group whatever the data; nothing is
+collected to the driver and no job runs before the caller's.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# (shift, width) per level, most significant digit first; widths sum to 64.
-LEVELS = ((42, 22), (20, 22), (0, 20))
-MAX_DIGIT_BITS = 23
-
-
-def plan_levels(bits: int, max_width: int = MAX_DIGIT_BITS) -> tuple[tuple[int, int], ...]:
-    """Split the low ``bits`` bits into as few digits as possible, each at most
-    ``max_width`` bits (so a group's histogram never exceeds 2^max_width rows)."""
-    bits = max(1, min(int(bits), 64))
-    n = -(-bits // max_width)
-    width = -(-bits // n)
-    out, shift = [], bits
-    while shift > 0:
-        w = min(width, shift)
-        shift -= w
-        out.append((shift, w))
-    return tuple(out)
-
-
-def value_bits(values: DataFrame, value_col: str) -> int:
-    """Bit length of the largest value (one scalar aggregate); fixes the passes."""
-    hi = values.agg(F.max(value_col)).first()[0]
-    return 1 if hi is None else max(1, int(hi).bit_length())
-
-
-def _tk(k: str) -> str:
-    return f"_t_{k}"
-
-
-def kth_smallest(values: DataFrame, keys: list[str], value_col: str, targets: DataFrame,
-                 levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
-    """k-th smallest ``value_col`` (long, >= 0) per group.
-
-    ``targets`` has the group ``keys`` plus ``_kid`` (which statistic) and
-    ``_k`` (1-based rank). Returns keys, _kid, value.
+STEP_BITS = 10                       # steps per power of two in the first digit
+DIGIT_BITS = (16, 18, 18)            # the later digits; with the first they cover any long
+SHORT_BITS = 45                      # magnitudes below 2^45 need two of them
+
+
+def _digits(v: Column, levels: int) -> list[Column]:
+    """The digits of a long, most significant first."""
+    size = F.when(v < 0, -(v + 1)).otherwise(v)
+    rest_bits = F.greatest(F.length(F.bin(size)) - (STEP_BITS + 1), F.lit(0))
+    step = rest_bits * (1 << STEP_BITS) + F.call_function("shiftright", size, rest_bits)
+    rest = size - F.call_function("shiftleft", F.call_function("shiftright", size, rest_bits), rest_bits)
+    # mirrored below zero, so that a larger digit is a larger value there too
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), rest_bits) - 1
+    rest = F.when(v < 0, full - rest).otherwise(rest)
+    out, used = [F.when(v < 0, -step - 1).otherwise(step)], F.lit(0)
+    for bits in DIGIT_BITS[:levels - 1]:
+        left = F.greatest(rest_bits - used - bits, F.lit(0))
+        out.append(F.call_function("shiftright", rest, left))
+        rest = rest - F.call_function("shiftleft", F.call_function("shiftright", rest, left), left)
+        used = used + bits
+    return out
+
+
+def order_statistics(values: DataFrame, keys: list[str], value_col: str, ranks: Column, below: int | None = None) -> DataFrame:
+    """keys, ``kid``, ``value``: the wanted order statistics of the non-null longs of each group.
+
+    ``ranks`` is an array<struct<kid, k>> computed from ``_n``, the number of
+    values of the group: which statistic, and its 1-based rank. ``below``: a bound that
+    the caller knows for the values' magnitude saves a pass when under 2^45.
     """
-    vals = values.select(*keys, F.col(value_col).alias("_v"))
-    tkeys = [_tk(k) for k in keys]
-    cur = targets.select(*[F.col(k).alias(_tk(k)) for k in keys], "_kid", F.col("_k").alias("_krem"),
-                         F.lit(0).cast("long").alias("_prefix"))
-    for level, (shift, width) in enumerate(levels):
-        digit = F.shiftright(F.col("_v"), shift).bitwiseAND(F.lit((1 << width) - 1))
-        cond = [F.col(k).eqNullSafe(F.col(_tk(k))) for k in keys]
-        if level > 0:
-            cond.append(F.shiftright(F.col("_v"), shift + width) == F.col("_prefix"))
-        joined = vals.join(cur, reduce(lambda a, b: a & b, cond), "inner").select(
-            *tkeys, "_kid", "_krem", "_prefix", digit.alias("_d"))
-        hist = joined.groupBy(*tkeys, "_kid", "_krem", "_prefix", "_d").agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(*tkeys, "_kid").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("_cum", F.sum("_n").over(w))
-        cur = (hist.where((F.col("_cum") - F.col("_n") < F.col("_krem")) & (F.col("_krem") <= F.col("_cum")))
-               .select(*tkeys, "_kid",
-                       (F.col("_krem") - (F.col("_cum") - F.col("_n"))).alias("_krem"),
-                       F.shiftleft(F.col("_prefix"), width).bitwiseOR(F.col("_d")).alias("_prefix")))
-    return cur.select(*[F.col(_tk(k)).alias(k) for k in keys], "_kid", F.col("_prefix").alias("value"))
-
-
-def exact_median(values: DataFrame, keys: list[str], value_col: str, bits: int | None = None,
-                 counts: DataFrame | None = None) -> DataFrame:
+    levels = 3 if below is not None and below <= 1 << SHORT_BITS else 4
+    names = [f"_d{j}" for j in range(levels)]
+    groups = [f"_g{j}" for j in range(len(keys))]
+    v = F.col(value_col)
+    rows = values.where(v.isNotNull()).select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], v.alias("_v"),
+                                              *[d.alias(n) for d, n in zip(_digits(v, levels), names)])
+    targets = None
+    for j, name in enumerate(names):
+        own = groups + names[:j]
+        if targets is not None:
+            same = [F.col(c).eqNullSafe(F.col(f"_t{c}")) for c in groups] + [F.col(c) == F.col(f"_t{c}") for c in names[:j]]
+            spots = targets.select(*[F.col(c).alias(f"_t{c}") for c in own]).distinct()
+            hit = rows.join(spots, reduce(lambda a, b: a & b, same), "left_semi")
+        else:
+            hit = rows
+        last = [F.min("_v").alias("_v")] if j == levels - 1 else []     # one value per last digit
+        hist = hit.groupBy(*own, name).agg(F.count(F.lit(1)).alias("_c"), *last)
+        w = Window.partitionBy(*own).orderBy(name)
+        hist = hist.withColumn("_upto", F.sum("_c").over(w))
+        if targets is None:
+            total = F.sum("_c").over(Window.partitionBy(*own))
+            wanted = hist.withColumn("_n", total).select("*", F.explode(ranks).alias("_w")).select(
+                *hist.columns, F.col("_w.kid").alias("kid"), F.col("_w.k").alias("_k"))
+        else:
+            seek = targets.select(*[F.col(c).alias(f"_t{c}") for c in own], "kid", "_k")
+            same = [F.col(c).eqNullSafe(F.col(f"_t{c}")) for c in groups] + [F.col(c) == F.col(f"_t{c}") for c in names[:j]]
+            wanted = hist.join(seek, reduce(lambda a, b: a & b, same))
+        found = wanted.where((F.col("_upto") - F.col("_c") < F.col("_k")) & (F.col("_k") <= F.col("_upto")))
+        targets = found.select(*own, name, "kid", (F.col("_k") - (F.col("_upto") - F.col("_c"))).alias("_k"),
+                               *(["_v"] if last else []))
+    return targets.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], "kid", F.col("_v").alias("value"))
+
+
+def exact_median(values: DataFrame, keys: list[str], value_col: str, below: int | None = None) -> DataFrame:
     """Median (mean of the two middle values for even counts) per group.
 
     Returns keys, median (double, same unit as ``value_col``). Groups with
-    no non-null value are absent. ``counts`` (keys, ``_cnt`` = non-null values
-    per group) may be passed when the caller computes it anyway.
+    no non-null value are absent.
     """
     if not keys:
         # one global group; the key is derived from the data (not a literal the
         # optimizer would fold away), so every level stays a hash equi-join
-        return exact_median(values.withColumn("_all", F.col(value_col).isNotNull()), ["_all"], value_col,
-                            bits, counts).drop("_all")
-    nonnull = values.where(F.col(value_col).isNotNull())
-    if counts is None:      # callers that already aggregate per group pass (keys, _cnt) to save a pass
-        counts = nonnull.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    lo = ((F.col("_cnt") - 1) / 2).cast("long") + 1
-    hi = (F.col("_cnt") / 2).cast("long") + 1
-    targets = counts.select(*keys, F.explode(F.array(
-        F.struct(F.lit(0).alias("_kid"), lo.alias("_k")),
-        F.struct(F.lit(1).alias("_kid"), hi.alias("_k")))).alias("_t")).select(*keys, "_t._kid", "_t._k")
-    levels = plan_levels(bits if bits is not None else value_bits(nonnull, value_col))
-    picked = kth_smallest(nonnull, keys, value_col, targets, levels)
+        return exact_median(values.withColumn("_all", F.col(value_col).isNotNull()), ["_all"], value_col, below).drop("_all")
+    n = F.col("_n")
+    ranks = F.array(F.struct(F.lit(0).alias("kid"), (F.call_function("div", n - 1, F.lit(2)) + 1).alias("k")),
+                    F.struct(F.lit(1).alias("kid"), (F.call_function("div", n, F.lit(2)) + 1).alias("k")))
+    picked = order_statistics(values, keys, value_col, ranks, below)
     # mean of the two middle values in exact decimal, rounded to double once
     return picked.groupBy(*keys).agg(F.avg(F.col("value").cast("decimal(38,0)")).cast("double").alias("median"))
 
 
 def exact_percentiles(values: DataFrame, keys: list[str], value_col: str, ps: list[float],
-                      bits: int | None = None) -> DataFrame:
+                      below: int | None = None) -> DataFrame:
     """Nearest-rank percentiles (the ``ceil(p * n)``-th smallest) per group.
 
     Returns keys plus one column ``p<100p>`` per requested percentile
-    (e.g. ``p95``), in the unit of ``value_col`` (non-negative long).
+    (e.g. ``p95``), in the unit of ``value_col`` (long).
     """
-    nonnull = values.where(F.col(value_col).isNotNull())
-    counts = nonnull.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranks = [F.struct(F.lit(i).alias("_kid"),
-                      F.greatest(F.ceil(F.col("_cnt") * F.lit(float(p))), F.lit(1)).cast("long").alias("_k"))
-             for i, p in enumerate(ps)]
-    targets = counts.select(*keys, F.explode(F.array(*ranks)).alias("_t")).select(*keys, "_t._kid", "_t._k")
-    levels = plan_levels(bits if bits is not None else value_bits(nonnull, value_col))
-    picked = kth_smallest(nonnull, keys, value_col, targets, levels)
-    aggs = [F.max(F.when(F.col("_kid") == i, F.col("value"))).alias(f"p{round(p * 100):d}") for i, p in enumerate(ps)]
+    ranks = F.array(*[F.struct(F.lit(i).alias("kid"), F.greatest(F.ceil(F.col("_n") * F.lit(float(p))), F.lit(1))
+                               .cast("long").alias("k")) for i, p in enumerate(ps)])
+    picked = order_statistics(values, keys, value_col, ranks, below)
+    aggs = [F.max(F.when(F.col("kid") == i, F.col("value"))).alias(f"p{round(p * 100):d}") for i, p in enumerate(ps)]
     return picked.groupBy(*keys).agg(*aggs)

@@ -46,15 +46,34 @@ def test_nearest_rank_percentiles(spark):
             assert got[k][col] == int(s[rank - 1]), (k, p)
 
 
-def test_plan_levels_cover_all_bits_with_bounded_digits():
-    from civicflow.operators.selection import MAX_DIGIT_BITS, plan_levels
-    for bits in (1, 5, 23, 24, 41, 45, 46, 47, 63, 64):
-        levels = plan_levels(bits)
-        assert sum(w for _, w in levels) == bits
-        assert all(w <= MAX_DIGIT_BITS for _, w in levels)
-        assert levels[-1][0] == 0 and all(levels[i][0] == levels[i + 1][0] + levels[i + 1][1]
-                                          for i in range(len(levels) - 1))
-    assert len(plan_levels(45)) == 2 and len(plan_levels(64)) == 3
+def test_negative_and_extreme_values(spark):
+    rng = np.random.default_rng(3)
+    values = [int(v) for v in rng.integers(-2**62, 2**62, 400)] + [int(v) for v in rng.integers(-3000, 3000, 400)]
+    values += [-2**63, 2**63 - 1, 0, -1, 1, 2047, 2048, -2048, -2049] + [-(2**k) for k in range(60)] + [2**k - 1 for k in range(60)]
+    rows = [("all", v) for v in values] + [("neg", -abs(v) - 1) for v in values[:101] if v > -2**62] + [("one", -7)]
+    pdf = pd.DataFrame(rows, columns=["k", "v"])
+    sdf = spark.createDataFrame(rows, "k string, v long")
+    got = {r["k"]: r for r in exact_percentiles(sdf, ["k"], "v", [0.01, 0.25, 0.5, 0.75, 0.99]).collect()}
+    med = {r["k"]: r["median"] for r in exact_median(sdf, ["k"], "v").collect()}
+    for k, grp in pdf.groupby("k"):
+        s = sorted(int(x) for x in grp.v)
+        for p in (0.01, 0.25, 0.5, 0.75, 0.99):
+            assert got[k][f"p{round(p * 100):d}"] == s[max(int(np.ceil(len(s) * p)), 1) - 1], (k, p)
+        assert med[k] == float((s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2)
+
+
+def test_digits_keep_the_order(spark):
+    from civicflow.operators.selection import DIGIT_BITS, _digits
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(5)
+    values = sorted({int(v) >> int(s) for v, s in zip(rng.integers(-2**63, 2**63 - 1, 2000), rng.integers(0, 63, 2000))})
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for levels, known in ((4, values), (3, [v for v in values if abs(v) < 2**45])):
+        got = {r["v"]: tuple(r)[1:] for r in df.select("v", *[d.alias(f"d{j}") for j, d in enumerate(_digits(F.col("v"), levels))]).collect()}
+        digits = [got[v] for v in known]
+        assert digits == sorted(set(digits))
+        for j, bits in enumerate(DIGIT_BITS[:levels - 1]):
+            assert all(0 <= d[j + 1] < 1 << bits for d in digits)
 
 
 def test_approximate_median_option_is_close(spark):
