@@ -10,6 +10,7 @@ def sort_small(df: DataFrame, *cols) -> DataFrame:
     weekday, month, category or district -- inside a single partition.
 
     A global ``orderBy`` would first run a sampling job to range-partition a
-    few hundred rows. Only use this after an aggregate: ``coalesce(1)`` reaches
-    back to the last shuffle, whose output here is already aggregated."""
-    return df.coalesce(1).sortWithinPartitions(*cols)
+    few hundred rows. Only use this after an aggregate. ``repartition(1)`` puts
+    an exchange behind it, so the final aggregate stays distributed (with
+    ``coalesce(1)`` one task would merge the partial rows of every map task)."""
+    return df.repartition(1).sortWithinPartitions(*cols)

@@ -33,15 +33,16 @@ def anomalies(req: DataFrame, events_by_date: DataFrame | None = None,
               top: int = ANOMALY_TOP_CATEGORIES, recent_days: int = ANOMALY_RECENT_DAYS,
               window_days: int = ANOMALY_WINDOW_DAYS, z: float = ANOMALY_Z) -> DataFrame:
     """W-04: date, category, actual_count, expected_count, deviation_factor, possible_event_cause."""
-    df = req.where(F.col("opened").isNotNull()).withColumn("date", F.to_date("opened"))
-    max_date = df.select(F.max("date")).scalar()
+    # one aggregate over the facts serves the latest day, the top categories and the history
+    per_day = (req.where(F.col("opened").isNotNull()).groupBy("category", F.to_date("opened").alias("date"))
+               .agg(F.count(F.lit(1)).alias("count")))
+    max_date = per_day.select(F.max("date")).scalar()
     recent_start = F.date_sub(max_date, recent_days - 1)
     history_start = F.date_sub(recent_start, window_days)
-    top_cats = (df.groupBy("category").agg(F.count(F.lit(1)).alias("c"))
+    top_cats = (per_day.groupBy("category").agg(F.sum("count").alias("c"))
                 .orderBy(F.desc("c"), "category").limit(top).select("category"))
-    daily = (df.where(F.col("date") >= history_start)
-             .join(F.broadcast(top_cats), "category", "left_semi")        # <= top rows
-             .groupBy("date", "category").agg(F.count(F.lit(1)).alias("count")))
+    daily = (per_day.where(F.col("date") >= history_start)
+             .join(F.broadcast(top_cats), "category", "left_semi"))       # <= top rows
     dense = densify(daily, top_cats, "category", history_start, max_date)
     # z from exact integer window sums: z = (n*x - S) / sqrt(n*Q - S^2) with
     # S = sum, Q = sum of squares. Counts are integers, so S, Q and the
@@ -62,7 +63,7 @@ def anomalies(req: DataFrame, events_by_date: DataFrame | None = None,
             F.lit("Same-day events: "), F.array_join(F.slice(F.transform(names, lambda x: F.trim(x)), 1, 3), ", "),
             F.when(F.size(names) > 3, F.lit("...")).otherwise(F.lit(""))))
         ev = events_by_date.select("date", label.alias("possible_event_cause"))
-        out = out.join(F.broadcast(ev), "date", "left")     # one row per date
+        out = out.join(ev, "date", "left")
     else:
         out = out.withColumn("possible_event_cause", F.lit(None).cast("string"))
     return sort_small(out, F.desc("deviation_factor"), "date", "category")

@@ -25,8 +25,7 @@ def with_event_flag(daily: DataFrame, events_agg: DataFrame) -> DataFrame:
     """J-01: left join on date; has_events = any count > 0, unmatched -> false."""
     ev = events_agg.select("date", (F.coalesce("event_count", F.lit(0)) + F.coalesce("street_closure_count", F.lit(0))
                                     + F.coalesce("construction_count", F.lit(0)) > 0).alias("has_events"))
-    return daily.join(F.broadcast(ev), "date", "left").withColumn(
-        "has_events", F.coalesce("has_events", F.lit(False)))   # one row per date: bounded by the calendar
+    return daily.join(ev, "date", "left").withColumn("has_events", F.coalesce("has_events", F.lit(False)))
 
 
 def split_event_days(daily: DataFrame, events_agg: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,12 +50,10 @@ def event_lift(req: DataFrame, events_agg: DataFrame, start: str | None = None,
 
 def top_categories_on_event_days(req: DataFrame, events_agg: DataFrame, k: int = 10,
                                  start: str | None = None, end: str | None = None) -> DataFrame:
-    """A-27 / J-06: semi join on event dates, then top-k categories by rows."""
-    ev_days = events_agg.where((F.coalesce("event_count", F.lit(0)) + F.coalesce("street_closure_count", F.lit(0))
-                                + F.coalesce("construction_count", F.lit(0))) > 0).select("date")
-    df = filters.filter_date_range(req, start, end).withColumn("date", F.to_date("opened"))
-    on_days = df.join(F.broadcast(ev_days), "date", "left_semi")    # one row per date
-    c = on_days.groupBy("category").agg(F.count(F.lit(1)).alias("count"))
+    """A-27 / J-07: the event days' (date, category) counts, then the top-k categories by rows."""
+    daily = daily_requests(req, start, end, ["category"])
+    on_days, _ = split_event_days(daily, events_agg)
+    c = on_days.groupBy("category").agg(F.sum("total_requests").alias("count"))
     return c.orderBy(F.desc("count"), "category").limit(k)
 
 

@@ -82,12 +82,18 @@ def events_by_date(events: DataFrame | None, closures: DataFrame | None, permits
     """A-09: date, event_names (first ``per_date`` distinct names in source order, '|'-joined)."""
     cand = event_name_candidates(events, closures, permits)
     first = cand.groupBy("date", "name").agg(F.min("ord").alias("ord"))      # ordered de-dup, map-side
-    rn = F.row_number().over(Window.partitionBy("date").orderBy("ord"))
+    rn = F.row_number().over(Window.partitionBy("date").orderBy("ord", "name"))     # names settle equal places
     top = first.withColumn("rn", rn).where(F.col("rn") <= per_date)          # WindowGroupLimit
     names = F.transform(F.array_sort(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"])
     return top.groupBy("date").agg(F.array_join(names, "|").alias("event_names"))
 
 
+def names_list(by_date: DataFrame) -> DataFrame:
+    """P-18: date, names: the trimmed, non-empty names of each date of A-09."""
+    names = F.transform(F.split("event_names", r"\|"), lambda x: F.trim(x))
+    return by_date.select("date", F.filter(names, lambda x: x != "").alias("names"))
+
+
 def crime_agg(crime: DataFrame, by_district: bool = True) -> DataFrame:
     """A-10: date, district, count (district null for a citywide feed)."""
     df = crime.where(F.col("date").isNotNull())

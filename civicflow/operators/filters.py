@@ -16,14 +16,29 @@ from ..constants import RESOLUTION_MAX_HOURS
 from ..functions.calendar import end_of_day, month_first, ts_lit
 
 
-def parse_day(s: str | None) -> dt.date | None:
-    """Driver-side parse of a YYYY-MM-DD bound; unparsable -> None (ignored)."""
+# Usual written forms of a day bound besides ISO 8601.
+DAY_FORMS = ("%Y/%m/%d", "%Y.%m.%d", "%m/%d/%Y", "%m-%d-%Y", "%d %b %Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y",
+             "%b %d %Y", "%B %d %Y")
+
+
+def parse_day(s: str | dt.date | None) -> dt.date | None:
+    """Driver-side parse of a day bound: None and "" are no bound; text that is
+    no date raises, as dropping the bound would widen the answer unseen."""
     if s is None or s == "":
         return None
+    if isinstance(s, dt.date):
+        return s.date() if isinstance(s, dt.datetime) else s
+    text = str(s).strip()
     try:
-        return dt.datetime.fromisoformat(str(s)).date()
+        return dt.datetime.fromisoformat(text).date()
     except ValueError:
-        return None
+        pass
+    for form in DAY_FORMS:
+        try:
+            return dt.datetime.strptime(text, form).date()
+        except ValueError:
+            continue
+    raise ValueError(f"not a date: {s!r}")
 
 
 PARTITION_DATE = "opened_date"    # day partition column of the written clean table
@@ -77,10 +92,11 @@ def days_in_range(start: str | None, end: str | None, as_of: dt.date | None = No
     """
     if not start and not end:
         return None
-    sd = parse_day(start) if start else dt.date(2000, 1, 1)
-    ed = parse_day(end) if end else (as_of or dt.date.today())
-    if sd is None or ed is None:
-        return None
+    try:
+        sd = parse_day(start) if start else dt.date(2000, 1, 1)
+        ed = parse_day(end) if end else (as_of or dt.date.today())
+    except ValueError:
+        return None         # no length; the filter that the bound goes to refuses it
     return max(0, (ed - sd).days)
 
 
@@ -108,5 +124,11 @@ def recent_slice(df: DataFrame, days: int = 90, col: str = "opened") -> DataFram
     ``max`` is a scalar subquery (one partial aggregate, its single value
     inlined into the filter), so no row ever meets another table.
     """
-    latest = df.select(F.max(col)).scalar()
+    if col == "opened" and PARTITION_DATE in df.columns:
+        # the latest day is read off the partition column, and the slice is pruned by it
+        last_day = df.select(F.max(PARTITION_DATE)).scalar()
+        latest = df.where(F.col(PARTITION_DATE) == last_day).select(F.max(col)).scalar()
+        df = df.where(F.col(PARTITION_DATE) >= F.date_sub(last_day, days))
+    else:
+        latest = df.select(F.max(col)).scalar()
     return df.where(F.col(col) >= F.timestamp_add("DAY", F.lit(-days), latest))

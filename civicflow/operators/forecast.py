@@ -118,6 +118,34 @@ def fit_trend_weekday(volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return model, effects
 
 
+def yearly_effects(volumes: DataFrame, model: DataFrame, effects: DataFrame) -> DataFrame:
+    """M-04, yearly term: per category and month of the year the mean of what trend and
+    weekday leave over (``month_effect``)."""
+    left = fitted(volumes, model, effects).withColumn("_left", F.col("volume") - F.col("prediction"))
+    return left.groupBy("category", F.month("date").alias("month")).agg(F.avg("_left").alias("month_effect"))
+
+
+def fitted(volumes: DataFrame, model: DataFrame, effects: DataFrame, yearly: DataFrame | None = None) -> DataFrame:
+    """``volumes`` with the model's ``prediction`` for the same days."""
+    t = day_number(F.col("date")).cast("double")
+    rows = volumes.withColumn("day_of_week", F.weekday("date")).join(model, "category").join(
+        effects, ["category", "day_of_week"], "left")
+    value = F.col("intercept") + F.col("slope") * t + F.coalesce(F.col("effect"), F.lit(0.0))
+    if yearly is not None:
+        rows = rows.withColumn("month", F.month("date")).join(yearly, ["category", "month"], "left")
+        value = value + F.coalesce(F.col("month_effect"), F.lit(0.0))
+    return rows.select(*volumes.columns, value.alias("prediction"))
+
+
+def holdout_metrics(volumes: DataFrame, yearly: bool = False) -> DataFrame:
+    """M-03: the trend model fitted on each category's first 80 % of days (W-05), scored on the rest."""
+    split = time_split(volumes)
+    train = split.where("split = 'train'").drop("split")
+    model, effects = fit_trend_weekday(train)
+    extra = yearly_effects(train, model, effects) if yearly else None
+    return regression_metrics(fitted(split.where("split = 'validation'"), model, effects, extra), ["category"])
+
+
 def forecast(model: DataFrame, effects: DataFrame, start: dt.date, days: int) -> DataFrame:
     """M-05: per category and day in [start, start + days): yhat, predicted_volume,
     lower/upper bounds (rounded, clamped at 0)."""
@@ -172,14 +200,14 @@ def backtest(predictions: DataFrame, volumes: DataFrame) -> DataFrame:
 
 def with_external(features: DataFrame, weather: DataFrame | None = None, events_agg: DataFrame | None = None,
                   crime_daily: DataFrame | None = None) -> DataFrame:
-    """M-10: join day-keyed side features (each one row per date: bounded by the calendar)."""
+    """M-10: join day-keyed side features (one row per date)."""
     out = features
     if weather is not None:
-        out = out.join(F.broadcast(weather.select("date", "precip_mm", "rain_day")), "date", "left")
+        out = out.join(weather.select("date", "precip_mm", "rain_day"), "date", "left")
     if events_agg is not None:
-        out = out.join(F.broadcast(events_agg), "date", "left")
+        out = out.join(events_agg, "date", "left")
     if crime_daily is not None:
-        out = out.join(F.broadcast(crime_daily.select("date", "incident_count")), "date", "left")
+        out = out.join(crime_daily.select("date", "incident_count"), "date", "left")
     fills = {c: 0 for c in ("rain_day", "event_count", "street_closure_count", "construction_count",
                             "incident_count") if c in out.columns}
     fills.update({"precip_mm": 0.0} if "precip_mm" in out.columns else {})
@@ -195,7 +223,7 @@ def train_gbt(features: DataFrame, max_iter: int = 100, max_depth: int = 6, step
     (PipelineModel, predictions on the 'validation' rows).
 
     Modelled categories: those in ``categories`` (e.g. the top 10 by requests,
-    at most k rows, broadcast) that have at least ``min_rows`` feature rows.
+    at most k rows) that have at least ``min_rows`` feature rows.
     One distributed fit scales with data; a model per category would be a
     driver loop over groups.
     """
@@ -205,7 +233,7 @@ def train_gbt(features: DataFrame, max_iter: int = 100, max_depth: int = 6, step
 
     cols = feature_cols or feature_columns()
     if categories is not None:
-        features = features.join(F.broadcast(categories.select("category")), "category", "left_semi")
+        features = features.join(categories.select("category"), "category", "left_semi")
     rows = F.count(F.lit(1)).over(Window.partitionBy("category"))       # one row per category-day
     features = features.withColumn("_rows", rows).where(F.col("_rows") >= min_rows).drop("_rows")
     split = time_split(features)
@@ -219,3 +247,66 @@ def train_gbt(features: DataFrame, max_iter: int = 100, max_depth: int = 6, step
     model = Pipeline(stages=stages).fit(train.withColumn("volume", F.col("volume").cast("double")))
     pred = model.transform(valid.withColumn("volume", F.col("volume").cast("double")))
     return model, pred.drop("features")
+
+
+def model_metadata(model_name: str, features: DataFrame, predictions: DataFrame, trained_at: dt.datetime,
+                   frac: float = 0.8) -> DataFrame:
+    """M-02: one row per modelled category: rows and days of both parts, metrics on the last part."""
+    split = time_split(features.join(predictions.select("category").distinct(), "category", "left_semi"), frac)
+    valid = F.col("split") == "validation"
+    parts = split.groupBy("category").agg(
+        F.sum((~valid).cast("long")).alias("train_rows"), F.sum(valid.cast("long")).alias("validation_rows"),
+        F.min(F.when(valid, F.col("date"))).alias("split_date"), F.max("date").alias("last_date"))
+    return parts.join(regression_metrics(predictions, ["category"]).drop("n"), "category").select(
+        F.lit(model_name).alias("model"), ts_lit(trained_at).alias("trained_at"), "*")
+
+
+def save_gbt(model, path: str, metadata: DataFrame) -> None:
+    """M-02: the fitted pipeline and its metadata table, side by side."""
+    model.write().overwrite().save(f"{path}/model")
+    metadata.write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def load_gbt(spark, path: str):
+    """(fitted pipeline, metadata) as ``save_gbt`` wrote them."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/metadata")
+
+
+def forecast_gbt(model, volumes: DataFrame, metadata: DataFrame, start: dt.date, days: int) -> DataFrame:
+    """M-05 with the trained trees: the columns of ``forecast``.
+
+    A future day's lag is the volume that many days earlier; where that day is
+    itself in the future or has no rows, the latest earlier observed day of the
+    same weekday stands in (at most ten weeks back). Rolling means are those of the last
+    observed days. Bounds are +-1.28 of the validation RMSE."""
+    known = volumes.join(metadata.select("category", "rmse"), "category")
+    last = known.groupBy("category", "rmse").agg(F.max("date").alias("last"))
+    # the last days of each category as (day, volume), at most ~100 entries
+    reach = max(LAGS) + 70
+    recent = (known.join(last.select("category", "last"), "category").where(F.col("date") > F.date_sub("last", reach))
+              .groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("date", "volume"))).alias("seen"),
+                                       F.array_sort(F.collect_list(F.struct("date", "volume"))).alias("run")))
+    end = start + dt.timedelta(days=days - 1)
+    grid = last.join(recent, "category").select(
+        "*", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"))
+
+    def lag(n: int):
+        return F.coalesce(*[F.try_element_at("seen", F.date_sub("date", n + 7 * k)) for k in range(10)],
+                          F.element_at("run", -1)["volume"]).cast("double")
+
+    def mean(n: int):
+        tail = F.slice("run", F.greatest(F.size("run") - n + 1, F.lit(1)), n)
+        return F.aggregate(tail, F.lit(0.0), lambda a, x: a + x["volume"]) / F.size(tail)
+
+    rows = with_calendar(grid).withColumns({f"lag_{n}d": lag(n) for n in LAGS} | {f"rolling_mean_{n}d": mean(n) for n in ROLLING})
+    out = model.transform(rows)
+    band = F.lit(BAND_Z) * F.coalesce(F.col("rmse"), F.lit(0.0))
+
+    def clamp(x):
+        return F.greatest(F.round(x, 0), F.lit(0.0)).cast("int")
+
+    yhat = F.col("prediction")
+    return out.select("category", F.col("date").alias("prediction_date"), yhat.alias("yhat"), clamp(yhat).alias("predicted_volume"),
+                      clamp(yhat - band).alias("lower_bound"), clamp(yhat + band).alias("upper_bound"))

@@ -44,12 +44,12 @@ def map_heatmap(grid: DataFrame, start: str | None = None, end: str | None = Non
                 k: int = 10) -> DataFrame:
     """A-29: top-k categories by number of grid rows; cells with counts, per-category total, all-category total."""
     g = filters.filter_category(filters.filter_rollup_months(grid, start, end), category)
-    total = g.select(F.sum("count")).scalar()                 # all categories, not only the top k
-    top = _ranked_top(g.groupBy("category").agg(F.count(F.lit(1)).alias("n")), k)
-    cells = g.join(F.broadcast(top.select("category", "rank", "color")), "category", "inner")   # k rows
+    per_cat = g.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("count").cast("long").alias("category_count"))
+    every = F.sum("category_count").over(Window.partitionBy()).cast("long")     # one row per category
+    top = _ranked_top(per_cat.withColumn("total_points", every), k)
+    cells = g.join(F.broadcast(top.drop("n")), "category", "inner")             # k rows
     return cells.select("category", "rank", "color", "lat_cell", "lon_cell", "year_month", "count",
-                        F.sum("count").over(Window.partitionBy("category")).cast("long").alias("category_count"),
-                        total.cast("long").alias("total_points"))
+                        "category_count", "total_points")
 
 
 def hotspots(grid: DataFrame, start: str | None = None, end: str | None = None, top_n: int = 10,
@@ -64,7 +64,9 @@ def hotspots(grid: DataFrame, start: str | None = None, end: str | None = None,
     cells = (by_cat.groupBy("lat_id", "lon_id", "lat_cell", "lon_cell").agg(F.sum("n").cast("long").alias("volume"))
              .orderBy(F.desc("volume"), "lat_id", "lon_id").limit(top_n))
     rn = F.row_number().over(Window.partitionBy("lat_id", "lon_id").orderBy(F.desc("n"), "category"))
-    tops = by_cat.withColumn("rn", rn).where(F.col("rn") <= per_cell)
+    # only the chosen cells' categories are ranked (at most top_n cells)
+    own = by_cat.join(F.broadcast(cells.select("lat_id", "lon_id")), ["lat_id", "lon_id"], "left_semi")
+    tops = own.withColumn("rn", rn).where(F.col("rn") <= per_cell)
     names = F.transform(F.array_sort(F.collect_list(F.struct("rn", "category"))), lambda x: x["category"])
     top_cats = tops.groupBy("lat_id", "lon_id").agg(F.array_join(names, "|").alias("top_categories"))
     rank = F.row_number().over(Window.partitionBy().orderBy(F.desc("volume"), "lat_id", "lon_id"))  # top_n rows

@@ -8,17 +8,20 @@ Unparsable values become null (``try_cast``) instead of failing the job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import calendar_features
 from ..functions.numeric import clean_double
 
-# --- fixed values: coordinate column pairs tried in order -------------------
+# --- fixed values: column names tried in order, and the columns of a load ----
 COORD_PAIRS = [("lat", "long"), ("lat", "lon")]
+ID_COLUMNS = ["case_id", "service_request_id", "caseid"]
+STATUS_COLUMNS = ["status", "status_description"]
 LOAD_COLUMNS = ["opened", "closed", "category", "supervisor_district", "neighborhood", "latitude", "longitude",
                 "resolution_hours", "year", "month", "day", "hour", "day_of_week", "week_of_year"]
+MOST_RECENT_ROWS = 1000
 
 
 def to_ts(df: DataFrame, name: str) -> Column:
@@ -78,9 +81,9 @@ def normalize_requests(df: DataFrame) -> DataFrame:
     else:
         df = df.withColumn("category", F.lit("Unknown"))
     if "supervisor_district" in cols:
-        df = df.withColumn("district", to_num(df, "supervisor_district").cast("int"))
+        df = df.withColumn("district", to_num(df, "supervisor_district").try_cast("int"))
     elif "district" in cols:
-        df = df.withColumn("district", to_num(df, "district").cast("int"))
+        df = df.withColumn("district", to_num(df, "district").try_cast("int"))
     else:
         df = df.withColumn("district", F.lit(None).cast("int"))
     if "closed" in cols:
@@ -128,25 +131,29 @@ def recent_rows(req: DataFrame, limit: int = 100) -> DataFrame:
     ``orderBy(...).limit`` plans as TakeOrderedAndProject: every task keeps its
     own newest ``limit`` rows, so at most ``limit`` x tasks rows move.
     """
-    limit = max(1, min(int(limit), 1000))
-    top = req.orderBy(F.desc("opened"), F.desc("case_id")).limit(limit)
+    if not 1 <= int(limit) <= MOST_RECENT_ROWS:
+        raise ValueError(f"limit must be between 1 and {MOST_RECENT_ROWS}")
+    id_col = next((c for c in ID_COLUMNS if c in req.columns), None)
+    status_col = next((c for c in STATUS_COLUMNS if c in req.columns), None)
+    top = req.orderBy(F.desc("opened"), *([F.desc(id_col)] if id_col else [])).limit(int(limit))
 
-    def text(name: str, default: str) -> Column:
+    def text(name: str | None, default: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in req.columns else F.lit(default)
 
     district_src = "district" if "district" in req.columns else "supervisor_district"
     return top.select(
-        text("case_id", "N/A").alias("id"), text("category", "Unknown").alias("category"),
-        text("status", "Unknown").alias("status"), "opened", "closed", text("address", "N/A").alias("address"),
-        F.col(district_src).cast("string").try_cast("double").cast("int").alias("district"),
+        text(id_col, "N/A").alias("id"), text("category", "Unknown").alias("category"),
+        text(status_col, "Unknown").alias("status"), "opened", "closed", text("address", "N/A").alias("address"),
+        F.col(district_src).cast("string").try_cast("double").try_cast("int").alias("district"),
         F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"))
 
 
 def load_projection(df: DataFrame) -> DataFrame:
     """P-17: the known warehouse columns present in ``df`` plus ``case_id``.
 
-    ``case_id`` falls back to ``caseid``, else to a content hash of the row --
-    deterministic under task retries, unlike a row index.
+    ``case_id`` falls back to ``caseid``, else to the SHA-256 of the row's content
+    and, among equal rows, a running number -- deterministic under task retries,
+    unlike a row index, and different for every row.
     """
     cols = set(df.columns)
     if "case_id" in cols:
@@ -154,7 +161,10 @@ def load_projection(df: DataFrame) -> DataFrame:
     elif "caseid" in cols:
         cid = F.col("caseid").cast("string")
     else:
-        cid = F.xxhash64(*[F.col(c) for c in df.columns]).cast("string")
+        row = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+        copy = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+        df = df.withColumn("_row", F.sha2(row, 256)).withColumn("_copy", copy)
+        cid = F.concat_ws("-", "_row", F.col("_copy").cast("string"))
     keep = [c for c in LOAD_COLUMNS if c in cols]
     out = df.select(*keep, cid.alias("case_id"))
     for t in ("opened", "closed"):

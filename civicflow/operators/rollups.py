@@ -81,8 +81,7 @@ def resolution_agg(req: DataFrame, exact: bool = True) -> DataFrame:
     df = df.withColumn("resolution_hours", F.col("res_us") / F.lit(3.6e9))
     stats = df.groupBy(*keys).agg(F.avg("resolution_hours").alias("avg_h"), F.count(F.lit(1)).alias("count"))
     if exact:
-        med = exact_median(df, keys, "res_us", counts=stats.select(*keys, F.col("count").alias("_cnt"))).select(
-            *keys, (F.col("median") / F.lit(3.6e9)).alias("med_h"))
+        med = exact_median(df, keys, "res_us").select(*keys, (F.col("median") / F.lit(3.6e9)).alias("med_h"))
     else:
         med = df.groupBy(*keys).agg(F.percentile_approx("resolution_hours", 0.5, 10000).alias("med_h"))
     out = stats.join(med, keys, "inner")
@@ -98,19 +97,25 @@ def recent_raw(req: DataFrame, days: int = 90) -> DataFrame:
 def recent_by_category(req: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """A-06: last ``days`` before ``as_of``: category, date, count, avg resolution; date desc, count desc."""
     since = dt.datetime.combine(as_of, dt.time()) - dt.timedelta(days=days)
-    df = req.where(F.col("opened") >= ts_lit(since)).withColumn("date", F.to_date("opened"))
+    df = req.where(F.col("opened") >= ts_lit(since))
+    if filters.PARTITION_DATE in req.columns:
+        df = df.where(F.col(filters.PARTITION_DATE) >= F.lit(since.date()))
+    df = df.withColumn("date", F.to_date("opened"))
     out = df.groupBy("category", "date").agg(F.count(F.lit(1)).alias("request_count"),
                                              rnd(F.avg("resolution_hours"), 2).alias("avg_resolution_hours"))
     return sort_small(out, F.col("date").desc(), F.col("request_count").desc(), "category")
 
 
 def daily_aggregates(req: DataFrame) -> DataFrame:
-    """A-07: (date, category) -> total_requests, avg_resolution_hours, neighborhood_count, weekend."""
+    """A-07: (date, category) -> total_requests, avg_resolution_hours, neighborhood_count, weekend.
+
+    Counts neighborhoods; a table without that column has districts counted instead."""
+    area = "neighborhood" if "neighborhood" in req.columns else "district"
     df = req.withColumn("date", F.to_date("opened"))
     return df.groupBy("date", "category").agg(
         F.count(F.lit(1)).alias("total_requests"),
         rnd(F.avg("resolution_hours"), 2).alias("avg_resolution_hours"),
-        F.count_distinct("district").alias("neighborhood_count"),
+        F.count_distinct(area).alias("neighborhood_count"),
     ).withColumn("weekend", F.weekday("date") >= 5)
 
 

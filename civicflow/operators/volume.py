@@ -9,8 +9,9 @@ Windows without a partition key only ever run on such pre-aggregated rows
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import WEEKDAY_NAMES
@@ -21,13 +22,6 @@ from ..plans import routing
 from . import filters
 
 
-def per_date(dim: DataFrame) -> DataFrame:
-    """Broadcast a date-keyed side table. It has one row per calendar day by
-    construction (it is grouped by date), so its size is bounded by the days
-    in the calendar (~365 per year), independent of fact volume."""
-    return F.broadcast(dim)
-
-
 # ---------------------------------------------------------------- A-11 / W-11
 def category_counts(req: DataFrame) -> DataFrame:
     """A-11: category -> count (value_counts order: count desc, category)."""
@@ -73,14 +67,13 @@ def fetch_summary(req: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- A-14
 def daily_timeseries(raw: DataFrame, daily_rollup: DataFrame | None, events_by_date: DataFrame | None,
                      weather: DataFrame | None, start: str | None = None, end: str | None = None,
-                     as_of: dt.date | None = None) -> DataFrame:
+                     as_of: dt.date | None = None, check_empty: bool = False) -> DataFrame:
     """A-14: date, count + same-day event names (pipe-joined) + weather for that day."""
-    daily = routing.daily_counts(raw, daily_rollup, start, end, as_of)
+    daily = routing.daily_counts(raw, daily_rollup, start, end, as_of, check_empty=check_empty)
     if events_by_date is not None:
-        daily = daily.join(per_date(events_by_date.select("date", "event_names")), "date", "left")
+        daily = daily.join(events_by_date.select("date", "event_names"), "date", "left")
     if weather is not None:
-        daily = daily.join(per_date(weather.select("date", "precip_mm", "temp_max_c", "temp_min_c", "rain_day")),
-                           "date", "left")
+        daily = daily.join(weather.select("date", "precip_mm", "temp_max_c", "temp_min_c", "rain_day"), "date", "left")
     return sort_small(daily, "date")
 
 
@@ -92,9 +85,10 @@ def weekdays(spark) -> DataFrame:
 
 
 def day_of_week_profile(raw: DataFrame, daily_rollup: DataFrame | None = None, start: str | None = None,
-                        end: str | None = None, as_of: dt.date | None = None) -> DataFrame:
+                        end: str | None = None, as_of: dt.date | None = None,
+                        check_empty: bool = False) -> DataFrame:
     """A-15: always 7 rows Mon..Sun: count (0-filled), percentage (1 dp) of all rows."""
-    daily = routing.daily_counts(raw, daily_rollup, start, end, as_of)
+    daily = routing.daily_counts(raw, daily_rollup, start, end, as_of, check_empty=check_empty)
     by_dow = daily.groupBy(F.weekday("date").alias("day_of_week")).agg(F.sum("count").cast("long").alias("count"))
     # both sides have <= 7 rows by construction; the preserved side streams and
     # the weekday counts are the broadcast build side of the left outer join
@@ -134,9 +128,12 @@ def peak_window_share(req: DataFrame, from_hour: int = 8, to_hour: int = 11) ->
 
 # ---------------------------------------------------------------- A-17 / A-33
 def monthly_trend(raw: DataFrame, monthly_rollup: DataFrame | None = None, start: str | None = None,
-                  end: str | None = None, as_of: dt.date | None = None) -> DataFrame:
-    """A-17: year_month, count, average (mean of the monthly counts, 0 dp)."""
-    m = routing.monthly_counts(raw, monthly_rollup, start, end, as_of)
+                  end: str | None = None, as_of: dt.date | None = None, check_empty: bool = False) -> DataFrame:
+    """A-17: year_month, count, average (mean of the monthly counts, 0 dp).
+
+    Answered from the rollup, a range that does not begin or end with a month
+    covers its first and last month whole (P-06)."""
+    m = routing.monthly_counts(raw, monthly_rollup, start, end, as_of, check_empty)
     return sort_small(m.withColumn("average", rnd(F.avg("count").over(Window.partitionBy()), 0)), "year_month")
 
 
@@ -183,7 +180,12 @@ def compare_periods(raw: DataFrame, daily_rollup: DataFrame | None, base_start:
             df, weight = filters.filter_category(raw, category), F.lit(1)
             conds = {}
             for n, s, e in mine:
-                conds[n] = F.col("opened").between(ts_lit(filters.parse_day(s)), end_of_day(filters.parse_day(e)))
+                sd, ed = filters.parse_day(s), filters.parse_day(e)
+                conds[n] = F.col("opened").between(ts_lit(sd), end_of_day(ed))
+                if filters.PARTITION_DATE in raw.columns:
+                    conds[n] = conds[n] & F.col(filters.PARTITION_DATE).between(F.lit(sd), F.lit(ed))
+        # the periods as a filter too: only their days reach the scan
+        df = df.where(reduce(lambda a, b: a | b, conds.values()))
         one = df.agg(*[F.coalesce(F.sum(F.when(c, weight)), F.lit(0)).cast("long").alias(n)
                        for n, c in conds.items()])
         # long form (period, total) so sources combine by union, not by join
@@ -200,9 +202,11 @@ def compare_periods(raw: DataFrame, daily_rollup: DataFrame | None, base_start:
 
 
 # ---------------------------------------------------------------- A-24
-def freshness(tables: dict[str, DataFrame]) -> DataFrame:
-    """A-24: dataset, last_date = max(date) per date-keyed table."""
-    parts = [df.agg(F.max(F.col("date").cast("date")).alias("last_date")).select(
+def freshness(tables: dict[str, DataFrame | None], spark: SparkSession | None = None) -> DataFrame:
+    """A-24: dataset, last_date = max(date) per date-keyed table; null for a table that is not there."""
+    spark = spark or next(df for df in tables.values() if df is not None).sparkSession
+    none = spark.range(1).select(F.lit(None).cast("date").alias("last_date"))
+    parts = [(none if df is None else df.agg(F.max(F.col("date").cast("date")).alias("last_date"))).select(
         F.lit(name).alias("dataset"), "last_date") for name, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:

@@ -7,7 +7,6 @@ rollups) on first use; nothing is computed until the caller's action.
 from __future__ import annotations
 
 import datetime as dt
-import weakref
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,29 +24,14 @@ SHORT_FIXTURE_RANGE = ("2024-01-08", "2024-01-21")
 AS_OF_LONG = dt.date(2001, 8, 1)
 
 
-_CTX: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
-
-
 class Ctx:
-    """Declared views for one (session, data folder).
-
-    ``Ctx(spark, dir)`` returns the same object for the same pair, so a view
-    declared once (a lazy plan, like a temp view in the catalog) is reused by
-    every query instead of being re-declared.
-    """
-
-    def __new__(cls, spark: SparkSession, sf_dir: str):
-        per_session = _CTX.setdefault(spark, {})
-        obj = per_session.get(sf_dir)
-        if obj is None:
-            obj = super().__new__(cls)
-            obj.spark = spark
-            obj.sf_dir = sf_dir
-            per_session[sf_dir] = obj
-        return obj
+    """Declared views for one (session, data folder): lazy plans, each declared at most
+    once per query. Nothing is kept between queries, so a table that was
+    written anew in between is listed anew."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        pass
+        self.spark = spark
+        self.sf_dir = sf_dir
 
     # fact views -----------------------------------------------------------
     @cached_property

@@ -107,11 +107,10 @@ def w11_distinct_categories(spark, sf_dir):
 
 
 @query("w06_top_categories", W("""
-SELECT category, count(*) AS count FROM rl WHERE status = 'F' GROUP BY category
+SELECT category, count(*) AS count FROM rl GROUP BY category
 ORDER BY count DESC, category LIMIT 3""", "rl"))
 def w06_top_categories(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
-    return volume.top_k(c.long.where("status = 'F'"), "category", 3)
+    return volume.top_k(Ctx(spark, sf_dir).long, "category", 3)
 
 
 _STATS_SQL = """
@@ -219,6 +218,14 @@ def a17_monthly_trend_rollup(spark, sf_dir):
     return volume.monthly_trend(c.long, c.monthly_long, LS, LE)
 
 
+@query("a17_monthly_trend_rollup_unaligned", W(_MONTHLY_SQL.format(
+    rng="opened >= TIMESTAMP '1996-02-01' AND opened < TIMESTAMP '1998-12-01'"), "rl"))
+def a17_monthly_trend_rollup_unaligned(spark, sf_dir):
+    """A long range inside months is answered by the whole months that it touches."""
+    c = Ctx(spark, sf_dir)
+    return volume.monthly_trend(c.long, c.monthly_long, "1996-02-15", "1998-11-10")
+
+
 @query("a17_monthly_trend_raw", W(_MONTHLY_SQL.format(rng=RAW_RANGE_S), "rl"))
 def a17_monthly_trend_raw(spark, sf_dir):
     c = Ctx(spark, sf_dir)
@@ -256,6 +263,32 @@ def a23_compare_periods(spark, sf_dir):
                                   "1-URGENT")
 
 
+_PERIODS_SQL = """
+SELECT base_total, compare_total,
+       CASE WHEN compare_total > 0 THEN round(CAST(base_total - compare_total AS DOUBLE) / compare_total * 100.0, 1)
+       END AS change_percent
+FROM (SELECT count(*) FILTER (WHERE opened >= TIMESTAMP '{a}' AND opened <= TIMESTAMP '{b} 23:59:59') AS base_total,
+             count(*) FILTER (WHERE opened >= TIMESTAMP '{c}' AND opened <= TIMESTAMP '{d} 23:59:59') AS compare_total
+      FROM rl)"""
+
+
+@query("a23_compare_periods_raw", W(_PERIODS_SQL.format(a="1997-03-03", b="1997-03-09", c="1997-03-10", d="1997-03-16"), "rl"))
+def a23_compare_periods_raw(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return volume.compare_periods(c.long, c.daily_long, "1997-03-03", "1997-03-09", "1997-03-10", "1997-03-16")
+
+
+@query("a23_compare_periods_rollup", W(_PERIODS_SQL.format(a="1997-01-01", b="1997-12-31", c="1996-01-01", d="1996-12-31"), "rl"))
+def a23_compare_periods_rollup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return volume.compare_periods(c.long, c.daily_long, "1997-01-01", "1997-12-31", "1996-01-01", "1996-12-31")
+
+
+@query("a12_top_categories", W("SELECT category, count(*) AS count FROM rl GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "rl"))
+def a12_top_categories(spark, sf_dir):
+    return volume.top_k(Ctx(spark, sf_dir).long, "category", 10)
+
+
 @query("a24_freshness", W("""
 SELECT '311' AS dataset, max(CAST(opened AS DATE)) AS last_date FROM rl
 UNION ALL SELECT 'events', max(date) FROM events_agg

@@ -139,6 +139,37 @@ def m03_fit_metrics(spark, sf_dir):
     return forecast.regression_metrics(pred, ["category"])
 
 
+_HOLDOUT = _VOL + """,
+sp8 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY date)
+                    <= floor(count(*) OVER (PARTITION BY category) * 0.8::DOUBLE) AS train,
+               CAST(date_diff('day', DATE '1970-01-01', date) AS DOUBLE) AS t,
+               CAST(isodow(date) - 1 AS INTEGER) AS day_of_week FROM v),
+tr AS (SELECT category, regr_slope(volume, t) AS slope, regr_intercept(volume, t) AS intercept
+       FROM sp8 WHERE train GROUP BY category),
+r AS (SELECT sp8.*, intercept + slope * t AS base FROM sp8 JOIN tr USING (category)),
+e AS (SELECT category, day_of_week, avg(volume - base) AS effect FROM r WHERE train GROUP BY ALL),
+p AS (SELECT r.category, r.date, r.train, r.volume, base + coalesce(effect, 0.0) AS yhat
+      FROM r LEFT JOIN e USING (category, day_of_week))"""
+
+
+@query("m03_holdout_metrics", W("""
+SELECT category, round(avg(abs(volume - yhat)), 4) AS mae, round(sqrt(avg((volume - yhat) * (volume - yhat))), 4) AS rmse,
+       round(1 - sum((volume - yhat) * (volume - yhat)) / (var_pop(volume) * count(*)), 4) AS r2, count(*) AS n
+FROM p WHERE NOT train GROUP BY category""", "rl", extra=_HOLDOUT))
+def m03_holdout_metrics(spark, sf_dir):
+    """Fitted on the first 80 % of a category's days, scored on the last 20 %."""
+    return forecast.holdout_metrics(forecast.daily_volumes(Ctx(spark, sf_dir).long))
+
+
+@query("m04_yearly_effects", W("""
+SELECT category, CAST(month(date) AS INTEGER) AS month, round(avg(volume - (intercept + slope * t + effect)), 4) AS month_effect
+FROM r JOIN e USING (category, day_of_week) GROUP BY ALL""", "rl", extra=_model_sql()))
+def m04_yearly_effects(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    effects = forecast.yearly_effects(forecast.daily_volumes(c.long), *_model(c))
+    return effects.select("category", "month", rnd("month_effect", 4).alias("month_effect"))
+
+
 @query("m05_forecast", W("""
 SELECT category, prediction_date, predicted_volume, lower_bound, upper_bound FROM fco""", "rl",
                          extra=_fc_sql(FC_START, 30)))
@@ -196,6 +227,26 @@ def m02_gbt_validation_metrics(spark, sf_dir):
     return forecast.regression_metrics(pred, ["category"])
 
 
+@query("m02_gbt_split", W("""
+SELECT category, CAST(sum(CASE WHEN train THEN 1 ELSE 0 END) AS BIGINT) AS train_rows,
+       CAST(sum(CASE WHEN train THEN 0 ELSE 1 END) AS BIGINT) AS validation_rows,
+       min(date) FILTER (WHERE NOT train) AS split_date, count(*) FILTER (WHERE NOT train) AS scored_rows
+FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY date)
+                  <= floor(count(*) OVER (PARTITION BY category) * 0.8::DOUBLE) AS train,
+             count(*) OVER (PARTITION BY category) AS days FROM ff)
+WHERE days >= 100 GROUP BY category""", "rl", extra=_FEAT))
+def m02_gbt_split(spark, sf_dir):
+    """What SQL can state of the boosted trees: their categories, the split, and that
+    every validation day got a finite prediction (a small forest, fitted here)."""
+    c = Ctx(spark, sf_dir)
+    features = forecast.volume_features(c.long)
+    _, pred = forecast.train_gbt(features, max_iter=5, max_depth=3, min_rows=100)
+    scored = pred.where(~F.isnan("prediction") & (F.abs("prediction") < float("inf"))).groupBy("category").agg(
+        F.count(F.lit(1)).alias("scored_rows"))
+    split = forecast.model_metadata("gbt", features, pred, dt.datetime(2001, 8, 1))
+    return split.join(scored, "category").select("category", "train_rows", "validation_rows", "split_date", "scored_rows")
+
+
 @query("m08_predictions_table", W("""
 SELECT sha256(concat_ws('|', category, strftime(prediction_date, '%Y-%m-%d'), 'trend_weekday', 'v1'))
          AS prediction_id,

@@ -118,15 +118,24 @@ def p14_grid_snap(spark, sf_dir):
 
 @query("s11_rollup_metadata", W("""
 SELECT rollup, rows, (SELECT min(CAST(opened AS DATE)) FROM rl) AS start_date,
-       (SELECT max(CAST(opened AS DATE)) FROM rl) AS end_date, (SELECT count(*) FROM rl) AS record_count
+       (SELECT max(CAST(opened AS DATE)) FROM rl) AS end_date, (SELECT count(*) FROM rl) AS record_count,
+       CAST((SELECT max(CAST(opened AS DATE)) FROM rl) - 90 AS DATE) AS recent_cutoff
 FROM (SELECT 'daily_agg' AS rollup, count(*) AS rows FROM (SELECT DISTINCT CAST(opened AS DATE), category, district FROM rl)
       UNION ALL SELECT 'monthly_agg', count(*) FROM (SELECT DISTINCT strftime(opened, '%Y-%m'), category, district FROM rl)
-      UNION ALL SELECT 'hourly_agg', count(*) FROM (SELECT DISTINCT hour(opened), isodow(opened), category FROM rl))""",
-                                "rl"))
+      UNION ALL SELECT 'hourly_agg', count(*) FROM (SELECT DISTINCT hour(opened), isodow(opened), category FROM rl)
+      UNION ALL SELECT 'grid_agg', count(*) FROM (
+          SELECT DISTINCT trunc(latitude / 0.01::DOUBLE), trunc(longitude / 0.01::DOUBLE), category, strftime(opened, '%Y-%m')
+          FROM rs WHERE latitude BETWEEN 37.5::DOUBLE AND 38.0::DOUBLE AND longitude BETWEEN -123.0::DOUBLE AND -122.0::DOUBLE)
+      UNION ALL SELECT 'resolution_agg', count(*) FROM (
+          SELECT DISTINCT category, strftime(opened, '%Y-%m') FROM rl WHERE resolution_hours > 0)
+      UNION ALL SELECT 'recent_raw', count(*) FROM rl
+          WHERE opened >= (SELECT max(opened) FROM rl) - INTERVAL 90 DAY)""", "rl", "rs"))
 def s11_rollup_metadata(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return sinks.rollup_metadata({"daily_agg": c.daily_long, "monthly_agg": c.monthly_long,
-                                  "hourly_agg": rollups.hourly_agg(c.long)}, c.daily_long)
+                                  "hourly_agg": rollups.hourly_agg(c.long), "grid_agg": rollups.grid_agg(c.short),
+                                  "resolution_agg": rollups.resolution_agg(c.long, exact=False),
+                                  "recent_raw": rollups.recent_raw(c.long)}, c.daily_long)
 
 
 @query("s12_validation_report", W("""

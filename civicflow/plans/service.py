@@ -20,6 +20,8 @@ from ..sources import fixtures, sinks
 from ..sources.tables import read_tables
 from . import routing
 
+#: The spans a trend can be asked for.
+TIMEFRAMES = {"7d": 7, "30d": 30, "90d": 90}
 ROLLUP_NAMES = ["daily_agg", "monthly_agg", "grid_agg", "hourly_agg", "resolution_agg", "recent_raw",
                 "events_agg", "events_by_date", "crime_agg", "weather_agg"]
 
@@ -62,7 +64,7 @@ class RequestAnalytics:
 
     def daily_timeseries(self, start: str | None = None, end: str | None = None) -> DataFrame:
         return volume.daily_timeseries(self.requests, self._r("daily_agg"), self._r("events_by_date"),
-                                       self._weather(), start, end, self.as_of)
+                                       self._weather(), start, end, self.as_of, check_empty=True)
 
     def weather(self, start: str | None = None, end: str | None = None) -> DataFrame:   # /api/data/weather
         w = self._weather()
@@ -70,12 +72,11 @@ class RequestAnalytics:
 
     def freshness(self) -> DataFrame:                                    # /api/data/freshness
         named = {"311": "daily_agg", "events": "events_agg", "crime": "crime_agg", "weather": "weather_agg"}
-        present = {k: self._r(v) for k, v in named.items() if self._r(v) is not None}
-        return volume.freshness(present)
+        return volume.freshness({k: self._r(v) for k, v in named.items()}, self.spark)
 
     # -------------------------------------------------------------- analytics
     def day_of_week(self, start: str | None = None, end: str | None = None) -> DataFrame:
-        return volume.day_of_week_profile(self.requests, self._r("daily_agg"), start, end, self.as_of)
+        return volume.day_of_week_profile(self.requests, self._r("daily_agg"), start, end, self.as_of, check_empty=True)
 
     def hourly_pattern(self, start: str | None = None, end: str | None = None) -> DataFrame:
         return volume.hourly_profile(self.requests, start, end, self._r("hourly_agg"))
@@ -85,14 +86,14 @@ class RequestAnalytics:
         return None if w is None else weather.weather_impact(self.requests, w)
 
     def monthly_trends(self, start: str | None = None, end: str | None = None) -> DataFrame:
-        return volume.monthly_trend(self.requests, self._r("monthly_agg"), start, end, self.as_of)
+        return volume.monthly_trend(self.requests, self._r("monthly_agg"), start, end, self.as_of, check_empty=True)
 
     def category_insights(self) -> tuple[DataFrame, DataFrame]:
         return insights.category_growth(self.requests), district.district_concentration(self.requests)
 
     def events_by_date(self, start: str | None = None, end: str | None = None) -> DataFrame:
         e = self._r("events_by_date")
-        return None if e is None else filters.filter_rollup_dates(e, start, end).orderBy("date")
+        return None if e is None else events.names_list(filters.filter_rollup_dates(e, start, end)).orderBy("date")
 
     def event_correlation(self, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
         e = self._r("events_agg")
@@ -108,7 +109,7 @@ class RequestAnalytics:
                                                                   "incident_count", None, start, end)
         if dataset == "events":
             return self.event_correlation(start, end)
-        raise ValueError("dataset must be 'events' or 'crime'")
+        raise ValueError(f"no such dataset to correlate with: {dataset!r}")
 
     def district_breakdown(self) -> DataFrame:
         return district.district_breakdown(self.requests, fixtures.districts(self.spark))
@@ -124,13 +125,19 @@ class RequestAnalytics:
 
     def map_data(self, start: str | None = None, end: str | None = None, fmt: str = "points",
                  category: str | None = None, district_id: int | None = None) -> DataFrame:
-        """Heatmap from the grid rollup when asked for or when the range exceeds
-        90 days (and the rollup exists); otherwise points from raw rows."""
+        """Heatmap from the grid rollup when asked for or when the range exceeds 90 days
+        and the rollup has cells in it; otherwise points, from the clean rows or,
+        where those have none in range, from ``recent_raw``."""
         days = filters.days_in_range(start, end, self.as_of)
         grid = self._r("grid_agg")
         if (fmt == "heatmap" or (days is not None and days > RAW_CUTOFF_DAYS)) and grid is not None:
-            return geo.map_heatmap(grid, start, end, category)
-        return geo.map_points(self.requests, start, end, category, district_id)
+            if not filters.filter_category(filters.filter_rollup_months(grid, start, end), category).isEmpty():
+                return geo.map_heatmap(grid, start, end, category)
+        points = geo.map_points(self.requests, start, end, category, district_id)
+        recent = self._r("recent_raw")
+        if recent is not None and filters.filter_date_range(self.requests, start, end).isEmpty():
+            return geo.map_points(recent, start, end, category, district_id)
+        return points
 
     def compare_periods(self, base_start: str, base_end: str, compare_start: str | None = None,
                         compare_end: str | None = None, category: str | None = None) -> DataFrame:
@@ -144,16 +151,26 @@ class RequestAnalytics:
     def _model(self):
         return forecast.fit_trend_weekday(forecast.daily_volumes(self.requests))
 
-    def predict_volume(self, category: str, days: int = 7, start: dt.date | None = None) -> DataFrame:
+    def predict_volume(self, category: str, days: int = 7, start: dt.date | None = None,
+                       model: str = "trend_weekday", model_path: str | None = None) -> DataFrame:
+        """M-05 from the trend model, or from trees that ``forecast.save_gbt`` wrote to ``model_path``."""
         if not 1 <= int(days) <= 30:
             raise ValueError("days must be between 1 and 30")
-        model, effects = self._model()
         start = start or self.as_of or dt.date.today()
+        if model == "gbt":
+            trees, meta = forecast.load_gbt(self.spark, model_path)
+            return forecast.forecast_gbt(trees, forecast.daily_volumes(self.requests),
+                                         meta.where(F.col("category") == category), start, days)
+        if model != "trend_weekday":
+            raise ValueError(f"no such model: {model!r}")
+        model, effects = self._model()
         return forecast.forecast(model.where(F.col("category") == category), effects, start, days)
 
     def predict_trends(self, category: str = "all", timeframe: str = "30d", start: dt.date | None = None,
                        first: int = 5) -> DataFrame:
-        days = {"7d": 7, "30d": 30, "90d": 90}.get(timeframe, 30)
+        if timeframe not in TIMEFRAMES:
+            raise ValueError(f"timeframe must be one of {', '.join(TIMEFRAMES)}")
+        days = TIMEFRAMES[timeframe]
         model, effects = self._model()
         if category != "all":
             model = model.where(F.col("category") == category)
@@ -163,10 +180,11 @@ class RequestAnalytics:
         start = start or self.as_of or dt.date.today()
         return forecast.trend_summary(forecast.forecast(model, effects, start, days))
 
-    def predict_hotspots(self, top_n: int = 10) -> DataFrame:
+    def predict_hotspots(self, date: str | None = None, top_n: int = 10) -> DataFrame:
+        """The busiest cells, of the month of ``date`` when one is given."""
         grid = self._r("grid_agg")
         from ..operators import rollups
-        return geo.hotspots(grid if grid is not None else rollups.grid_agg(self.requests), None, None, top_n)
+        return geo.hotspots(grid if grid is not None else rollups.grid_agg(self.requests), date, date, top_n)
 
 
 def routes_to_rollup(start: str | None, end: str | None, as_of: dt.date | None = None) -> bool:

@@ -79,8 +79,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Set the session clock, on which results depend, and those other settings that the caller left unset."""
     for k, v in REQUIRED_CONF.items():
-        spark.conf.set(k, v)
+        if k == "spark.sql.session.timeZone" or spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
     return spark
 
 
@@ -109,8 +111,26 @@ def materialize(df):
     Later passes re-read this small columnar projection (with column pruning)
     instead of recomputing upstream joins, and a lost executor never
     recomputes them. Unlike ``Dataset.checkpoint`` this computes the plan once
-    and stores compressed columns rather than serialised rows."""
+    and stores compressed columns rather than serialised rows.
+
+    The job runs here, not when the caller's query does. The table belongs to
+    the session until ``release`` removes it."""
     base = checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/materialized/{uuid.uuid4().hex}"
+    _OWNED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_OWNED: list[str] = []        # tables that ``materialize`` wrote and nobody has released
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that ``materialize`` has written in this process, for
+    callers that are done with every result built on them. Returns how many."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths, _OWNED[:] = list(_OWNED), []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)

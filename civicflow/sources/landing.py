@@ -17,7 +17,7 @@ from ..operators import filters
 # --- fixed values: date columns tried in order, per source -----------------
 EVENT_DATE_COLUMNS = ["event_start_date", "start_date", "start_datetime", "date"]
 CLOSURE_DATE_COLUMNS = ["start_date", "closure_start_date", "closure_date", "date"]
-PERMIT_DATE_COLUMNS = ["permit_creation_date", "filing_date", "issued_date", "date"]
+PERMIT_DATE_COLUMNS = ["permit_creation_date", "Permit Creation Date", "filing_date", "issued_date", "date"]
 CRIME_DATE_COLUMNS = ["incident_date", "report_datetime", "Report Date"]
 EVENT_NAME_COLUMNS = ["event_name", "event_description"]
 CLOSURE_NAME_COLUMNS = ["case_name", "type", "loc_desc"]
@@ -91,7 +91,7 @@ def normalize_crime(df: DataFrame) -> DataFrame:
     """Incidents -> date, district (numeric, null when absent/unparsable)."""
     df = pick_date(df, CRIME_DATE_COLUMNS, "date")
     dcol = first_present(df, CRIME_DISTRICT_COLUMNS)
-    district = (F.col(dcol).cast("string").try_cast("double").cast("int") if dcol
+    district = (F.col(dcol).cast("string").try_cast("double").try_cast("int") if dcol
                 else F.lit(None).cast("int"))
     return df.select("date", district.alias("district"))
 

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import filters, normalize, rollups
 
 
+MOST_REFRESH_DAYS = 31
+
+
 class NoRowsInRange(LookupError):
     """S-07: the requested slice is empty (the HTTP layer maps it to 404)."""
 
@@ -30,8 +34,10 @@ def export_csv(req: DataFrame, path: str, start: str | None = None, end: str | N
     """S-07: CSV (with header) of a date slice; raises NoRowsInRange if empty."""
     df = filters.filter_date_range(req, start, end) if (start or end) else req
     if df.isEmpty():            # one limit-1 probe, not a count
-        raise NoRowsInRange(f"No rows in selected date range {start}..{end}")
-    df.write.mode("overwrite").option("header", True).csv(path)
+        raise NoRowsInRange(f"nothing to export from {start or 'the first day'} to {end or 'the last'}")
+    # CSV has no nested values: they are written as JSON text
+    nested = [f.name for f in df.schema if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").option("header", True).csv(path)
 
 
 def clustered(df: DataFrame, date_col: str, cluster_by: list[str]) -> DataFrame:
@@ -71,17 +77,18 @@ def refresh_partitions(df: DataFrame, path: str, date_col: str = "date", compres
 
 
 def refresh_recent(df: DataFrame, path: str, as_of, days: int = 31, date_col: str = "date") -> None:
-    """S-10 flag: re-land only the last ``days`` (<= 31) days before ``as_of`` and
+    """S-10 flag: re-land only the last ``days`` days (1 to 31) before ``as_of`` and
     overwrite just those day partitions; history stays."""
     import datetime as _dt
-    days = max(1, min(int(days), 31))
+    if not 1 <= int(days) <= MOST_REFRESH_DAYS:
+        raise ValueError(f"days must be between 1 and {MOST_REFRESH_DAYS}")
     since = as_of - _dt.timedelta(days=days)
     refresh_partitions(df.where(F.col(date_col) >= F.lit(since)), path, date_col)
 
 
-def rollup_metadata(tables: dict[str, DataFrame], daily: DataFrame) -> DataFrame:
-    """S-11: one row per rollup (name, rows) plus the date range and the
-    number of request rows covered (from the daily rollup)."""
+def rollup_metadata(tables: dict[str, DataFrame], daily: DataFrame, recent_days: int = 90) -> DataFrame:
+    """S-11: one row per rollup (name, rows) plus the date range and the number of request
+    rows covered (from the daily rollup), and the day from which recent rows are kept."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("rollup"), "rows")
              for name, df in tables.items()]
     out = parts[0]
@@ -92,7 +99,8 @@ def rollup_metadata(tables: dict[str, DataFrame], daily: DataFrame) -> DataFrame
     return out.select("rollup", "rows",
                       span.select("start_date").scalar().alias("start_date"),
                       span.select("end_date").scalar().alias("end_date"),
-                      span.select("record_count").scalar().alias("record_count"))
+                      span.select("record_count").scalar().alias("record_count"),
+                      F.date_sub(span.select("end_date").scalar(), recent_days).alias("recent_cutoff"))
 
 
 def validation_report(tables: dict[str, DataFrame], date_col: str = "date") -> DataFrame:
@@ -135,8 +143,8 @@ def build_rollups(spark: SparkSession, raw: DataFrame, out_dir: str, recent_days
         write_parquet(df, path)
         paths[name] = path
         built[name] = spark.read.parquet(path)
-    meta = rollup_metadata(built, built["daily_agg"])
-    meta.coalesce(1).write.mode("overwrite").json(f"{out_dir}/metadata.json")
+    meta = rollup_metadata(built, built["daily_agg"], recent_days)
+    meta.repartition(1).write.mode("overwrite").json(f"{out_dir}/metadata.json")
     paths["metadata"] = f"{out_dir}/metadata.json"
     return paths
 

@@ -8,8 +8,8 @@ downstream are pushed into the scan by Catalyst (``ReadSchema`` /
 from __future__ import annotations
 
 import os
-import weakref
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -21,32 +21,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# One lazy scan plan per (session, path, schema): DataFrames are immutable, so
-# reusing the plan skips repeated file listing / footer schema inference.
-_SCANS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, schema: StructType | None = None) -> DataFrame:
-    path = table_path(sf_dir, name)
-    key = (path, schema.json() if schema is not None else None)
-    per_session = _SCANS.setdefault(spark, {})
-    df = per_session.get(key)
-    if df is None:
-        reader = spark.read
-        if schema is not None:
-            reader = reader.schema(schema)
-        df = reader.parquet(path)
-        per_session[key] = df
-    return df
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(table_path(sf_dir, name))
 
 
 def read_tables(spark: SparkSession, base_dir: str, names, schema_by_name=None) -> dict[str, DataFrame]:
-    """S-02: load a set of named tables; names whose files are missing are skipped."""
+    """S-02: load a set of named tables; names whose files are missing are skipped.
+
+    Spark itself says whether a path is there, on whatever file system it is."""
     out = {}
     for name in names:
-        path = table_path(base_dir, name)
-        if not os.path.exists(path) and "://" not in path:
-            continue
-        schema = (schema_by_name or {}).get(name)
-        out[name] = read_table(spark, base_dir, name, schema)
+        try:
+            out[name] = read_table(spark, base_dir, name, (schema_by_name or {}).get(name))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return out

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -85,17 +86,23 @@ def merge_daily_batch(batch: DataFrame, table_path: str) -> None:
     overwrite). Re-running an epoch after a failure rewrites the same values.
     """
     spark = batch.sparkSession
+    batch = materialize(batch)                  # computed once, read by every step below
     if batch.isEmpty():
         return
     days = batch.select("date").distinct()      # days touched (inside the watermark span)
     try:
+        table = spark.read.parquet(table_path)
+    except AnalysisException as e:
+        # no table yet; any other failure to read it must not look like an empty one
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        merged = batch
+    else:
         # semi join on the partition column: dynamic partition pruning reads only touched days
-        existing = spark.read.parquet(table_path).join(F.broadcast(days), "date", "left_semi")
+        existing = table.join(days, "date", "left_semi")
         merged = (existing.join(batch, [existing[k].eqNullSafe(batch[k]) for k in DAILY_KEYS], "left_anti")
                   .unionByName(batch.select(*existing.columns)))
-    except Exception:  # noqa: BLE001 -- first batch: no table yet
-        merged = batch
-    merged = materialize(merged)     # cut the read of the partitions about to be overwritten
+        merged = materialize(merged)            # cut the read of the partitions about to be overwritten
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date")
      .parquet(table_path))
 
@@ -149,7 +156,7 @@ def latency_percentiles(rows: DataFrame, width: str = "60 seconds") -> DataFrame
     Latency is scaled to integer hundredths for the skew-safe radix selection."""
     r = rows.select(F.window("ts", width).start.cast("timestamp_ntz").alias("window_start"),
                     F.round(F.col("latency_ms") * 100).cast("long").alias("lat_c"))
-    p = exact_percentiles(materialize(r.where(F.col("lat_c") >= 0)), ["window_start"], "lat_c", [0.5, 0.95, 0.99])
+    p = exact_percentiles(materialize(r), ["window_start"], "lat_c", [0.5, 0.95, 0.99])
     return p.select("window_start", *[(F.col(c) / F.lit(100.0)).alias(f"{c}_ms") for c in ("p50", "p95", "p99")])
 
 
@@ -179,21 +186,24 @@ ALERT_OUT = "key STRING, alert_start_wn LONG, windows LONG"
 
 
 def _alert_fn(key, pdfs, state: GroupState):
-    """Custom stateful operator: carry the current run of breaching windows per key."""
+    """Custom stateful operator: carry the current run of breaching windows per key.
+
+    A key's rows of one micro-batch come in several chunks in no order; they are
+    window numbers (finalised windows, one row each), gathered and sorted once.
+    Windows at or before the last one seen are late and ignored."""
     run, last, start, fired = state.get if state.exists else (0, -2, -1, False)
     out = []
-    for pdf in pdfs:
-        for wn in sorted(pdf["wn"].tolist()):
-            if wn == last:
-                continue
-            if wn == last + 1:
-                run += 1
-            else:
-                run, start, fired = 1, wn, False
-            last = wn
-            if run >= SUSTAINED_WINDOWS and not fired:
-                out.append((key[0], start, run))
-                fired = True
+    for wn in sorted({int(w) for pdf in pdfs for w in pdf["wn"]}):
+        if wn <= last:
+            continue
+        if wn == last + 1:
+            run += 1
+        else:
+            run, start, fired = 1, wn, False
+        last = wn
+        if run >= SUSTAINED_WINDOWS and not fired:
+            out.append((key[0], start, run))
+            fired = True
     state.update((run, last, start, fired))
     yield pd.DataFrame(out, columns=["key", "alert_start_wn", "windows"])
 

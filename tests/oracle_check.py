@@ -57,7 +57,7 @@ def rows_of(columns, rows):
 
 SPARK_TO_DUCK = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
                  "DateType": "DATE", "TimestampNTZType": "TIMESTAMP", "BooleanType": "BOOLEAN",
-                 "TimestampType": "TIMESTAMP WITH TIME ZONE", "ShortType": "SMALLINT", "FloatType": "FLOAT"}
+                 "ArrayType": "VARCHAR[]", "TimestampType": "TIMESTAMP WITH TIME ZONE", "ShortType": "SMALLINT", "FloatType": "FLOAT"}
 
 
 def spark_types(sdf):

@@ -141,3 +141,47 @@ def test_days_in_range_and_routing():
     assert filters.days_in_range("2024-01-01", "2024-03-31") == 90
     assert filters.days_in_range("2024-01-01", None, dt.date(2024, 1, 11)) == 10
     assert filters.days_in_range("garbage", "2024-01-01") is None
+
+
+def test_districts_that_are_no_integers_become_null(spark):
+    raw = spark.createDataFrame([(str(k), "2024-01-02 10:00:00", d) for k, d in enumerate(("5", "NaN", "1e12", "-inf", "3.7", "x"))],
+                                "service_request_id string, requested_datetime string, supervisor_district string")
+    clean = {r["service_request_id"]: r["district"] for r in normalize.normalize_requests(raw).collect()}
+    assert clean == {"0": 5, "1": None, "2": None, "3": None, "4": 3, "5": None}
+    crime = landing.normalize_crime(raw.withColumnRenamed("requested_datetime", "incident_date"))
+    assert [r["district"] for r in crime.collect()] == [5, None, None, None, 3, None]
+    assert len(normalize.recent_rows(raw.withColumnsRenamed({"requested_datetime": "opened", "supervisor_district": "district"})
+                                     .withColumn("closed", F.lit(None).cast("string")), 10).collect()) == 6
+
+
+def test_day_bounds_in_usual_forms():
+    day = dt.date(2024, 1, 5)
+    for s in ("2024-01-05", "2024/01/05", "01/05/2024", "2024-01-05T10:00:00", "20240105", "Jan 5, 2024", "5 January 2024", day):
+        assert filters.parse_day(s) == day
+    assert filters.parse_day(None) is None and filters.parse_day("") is None
+    for s in ("last week", "2024-13-01", "05"):
+        with pytest.raises(ValueError):
+            filters.parse_day(s)
+
+
+def test_names_without_a_sequence_are_settled_by_name(spark):
+    rows = [("2024-01-01", f"name {k:02d}") for k in range(20)]
+    want = "|".join(n for _, n in rows[:8])
+    for order in (rows, rows[::-1]):
+        ev = landing.normalize_events(spark.createDataFrame(order, "date string, event_name string").repartition(3))
+        assert events.events_by_date(ev, None, None).first()["event_names"] == want
+
+
+def test_weather_impact_keeps_its_overall_row_without_dry_days(spark):
+    from civicflow.operators import weather
+    o = T("2024-01-01 10:00:00")
+    df = req(spark, [("1", o, None, "c", None, 1, None, None, None)])
+    wet = spark.createDataFrame([(o.date(), 1)], "date date, rain_day int")
+    assert [tuple(r) for r in weather.weather_impact(df, wet).collect()] == [(None, 1.0, None, 0.0)]
+
+
+def test_load_ids_differ_for_equal_rows(spark):
+    df = spark.createDataFrame([("2024-01-01", "a")] * 3 + [("2024-01-01", "b")], "opened string, category string")
+    ids = [r["case_id"] for r in normalize.load_projection(df).collect()]
+    again = [r["case_id"] for r in normalize.load_projection(df.repartition(3)).collect()]
+    assert len(set(ids)) == 4 and sorted(ids) == sorted(again)

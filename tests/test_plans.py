@@ -121,3 +121,24 @@ def test_windows_only_see_reduced_rows(spark, name):
         if op == "Window":
             assert not _paths_reach_raw_scan(nodes, i, REDUCERS + ("WindowGroupLimit",)), \
                 f"window over raw rows: {body[:100]}"
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("m02")))
+def test_no_final_aggregate_in_one_task(spark, name):
+    """``coalesce(1)`` above an aggregate would merge all partial rows in one task."""
+    assert "Coalesce 1" not in plan(QUERIES[name](spark, SMALL)).replace("Coalesce (", "Coalesce 1 (")
+
+
+def test_medians_read_the_first_histogram_without_a_join(spark):
+    """With broadcasting off, rows are exchanged by digits, never by the group key alone."""
+    from civicflow.operators.selection import exact_median
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).selectExpr("id % 3 AS g", "id AS v")
+        text = plan(exact_median(df, ["g"], "v"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastExchange" not in text and "hashpartitioning(_g0" in text
+    joins = text.count("SortMergeJoin (") // 2
+    assert joins <= 6
