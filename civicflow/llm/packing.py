@@ -9,12 +9,15 @@ cut into sequences whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,9 @@ from .common import written
 
 DIMS, BITS, HASHED = 3, 10, 256
 
+#: Fixed value: where byte-level pre-tokenizers cut (the published pattern of this vocabulary).
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """(n, dims) cell numbers below 2**bits -> place on the Hilbert curve (Skilling 2004, all rows at once)."""
@@ -48,53 +54,90 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as the character of its number where
+    that is printable, and the others, in order, as those from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordCache:
     """Token ids of a text, word by word.
 
     A byte-level pre-tokenizer never lets a piece span the place before a single
     space or line feed that stands between two other characters, so a text's ids
     are those of its words, each with the space or line feed before it. Ids of
-    frequent words are kept; texts with any other white space are encoded whole."""
+    frequent words are kept. A new word is cut into pieces by the pre-tokenizer's
+    pattern and the vocabulary's model encodes each; words with letters beyond
+    the Latin blocks, where pattern libraries may differ, go through the whole
+    tokenizer, and so do texts with other white space and other tokenizers."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    LATIN = "\u0250"
+
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.most, self.known = most, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in got]
-
-    @staticmethod
-    def _plain(word: str) -> bool:
-        body = word[1:] if word[:1] == "\n" else word
-        return body != "" and not body[0].isspace() and not body[-1].isspace()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        known, spare = self.known, {}
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        found = [[known.get(w) for w in words[1:]] for words in split]
-        missing = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words[1:], ids) if i is None}
-        odd = {w for w in missing if not self._plain(w)}
-        fresh = sorted(missing - odd)
-        got = dict(zip(fresh, self._encode([w if w[0] == "\n" else " " + w for w in fresh])))
-        (known if len(known) + len(got) <= self.most else spare).update(got)
-        heads = dict(zip(h := sorted({words[0] for words in split}), self._encode(h)))
-        whole = [k for k, (words, ids) in enumerate(zip(split, found))
-                 if not self._plain(words[0]) or words[0][:1] == "\n"
-                 or (None in ids and any(w in odd for w, i in zip(words[1:], ids) if i is None))]
-        out = []
-        for words, ids in zip(split, found):
-            if None in ids:
-                ids = [i if i is not None else known.get(w) or spare.get(w, b"") for w, i in zip(words[1:], ids)]
-            out.append(heads[words[0]] + b"".join(ids))
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
-            out[k] = ids
-        return out
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.letters = _byte_letters()
+        self.most, self.known, self.pieces = most, {}, {}
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        before = parts.get("pre_tokenizer") or {}
+        self.by_word = (parts.get("normalizer") is None and before.get("type") == "ByteLevel"
+                        and not before.get("add_prefix_space") and before.get("use_regex", True))
+        self.split = regex.compile(PIECE).findall
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self._spelled(piece.encode().decode("latin-1").translate(self.letters))
+            if len(self.pieces) < self.most:
+                self.pieces[piece] = got
+        return got
+
+    def _spelled(self, spelled: str) -> bytes:
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word that follows a space or begins with a line feed; None where it has other white space."""
+        if word.isascii() and word.isalpha():                      # one piece, spelled as it is
+            got = self._spelled(self.letters[32] + word)
+        elif word[-1:] in (",", ".") and word[:-1].isalpha():      # two pieces; not kept, its letters are
+            return (self.known.get(word[:-1]) or self._word(word[:-1])) + self._piece(word[-1])
+        else:
+            got = self._odd(word if word[:1] == "\n" else " " + word, word[1:] if word[:1] == "\n" else word)
+        if got is not None and len(self.known) < self.most:
+            self.known[word] = got
+        return got
+
+    def _odd(self, chunk: str, body: str) -> bytes | None:
+        if len(body.split()) != 1 or body[0].isspace() or body[-1].isspace():
+            return None
+        return b"".join(map(self._piece, self.split(chunk))) if max(chunk) < self.LATIN else self._whole(chunk)
+
+    def ids(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._whole(text)
+        words = text.replace("\n", " \n").split(" ")
+        found = list(map(self.known.get, words))
+        found[0] = None if words[0][:1] == "\n" else self._odd(words[0], words[0])
+        if found[0] is None:
+            return self._whole(text)
+        at = 0
+        for _ in range(found.count(None)):
+            at = found.index(None, at)
+            found[at] = self._word(words[at])
+            if found[at] is None:
+                return self._whole(text)
+        return b"".join(found)
 
 
 def _place(ids: list[np.ndarray], bucket: np.ndarray, axes: np.ndarray) -> np.ndarray:
@@ -119,7 +162,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
             for a, z in zip(cuts, cuts[1:]):                 # about 2 MB of text at a time
                 if a == z:
                     continue
-                ids = [x + end for x in cache.ids([t.as_py() or "" for t in part.column("_text")[a:z]])]
+                ids = [cache.ids(t.as_py() or "") + end for t in part.column("_text")[a:z]]
                 key = _place([np.frombuffer(x, cache.dtype) for x in ids], bucket, axes)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id")[a:z], pa.array(np.arange(row, row + z - a)), pa.array(key),
