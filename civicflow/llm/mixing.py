@@ -148,8 +148,9 @@ def _close_gaps(rows: DataFrame, params: DataFrame, cap: float, rounds: int) ->
         taken = (rows.where("size > 0").join(params.where("lam IS NOT NULL"), "sid")
                  .join(flips, ["sid", "h"], "left")
                  .withColumn("copies", _copies(cap) + F.coalesce("delta", F.lit(0))))
-        gaps = taken.groupBy("sid", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("words")).select(
-            "sid", (F.col("target") - F.col("words")).alias("gap"))
+        # a written table of one row per source: known to be small, it doesn't make the documents move
+        gaps = written(taken.groupBy("sid", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("words")).select(
+            "sid", (F.col("target") - F.col("words")).alias("gap")))
         best = F.max(F.struct("size", "h"))
         more = (taken.join(gaps, "sid").where("delta IS NULL AND size <= abs(gap)")
                 .where(((F.col("gap") > 0) & (F.col("copies") < int(cap))) | ((F.col("gap") < 0) & (F.col("copies") > 0)))
