@@ -57,11 +57,16 @@ def rows_of(columns, rows):
 
 SPARK_TO_DUCK = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
                  "DateType": "DATE", "TimestampNTZType": "TIMESTAMP", "BooleanType": "BOOLEAN",
-                 "ArrayType": "VARCHAR[]", "TimestampType": "TIMESTAMP WITH TIME ZONE", "ShortType": "SMALLINT", "FloatType": "FLOAT"}
+                 "TimestampType": "TIMESTAMP WITH TIME ZONE", "ShortType": "SMALLINT", "FloatType": "FLOAT"}
+
+
+def duck_type(dtype):
+    kind = type(dtype).__name__
+    return duck_type(dtype.elementType) + "[]" if kind == "ArrayType" else SPARK_TO_DUCK.get(kind, kind)
 
 
 def spark_types(sdf):
-    return {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in sdf.schema}
+    return {f.name: duck_type(f.dataType) for f in sdf.schema}
 
 
 def digest(rows):

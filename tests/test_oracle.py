@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from civicflow.plans import catalog
 import oracle_check
 from conftest import SMALL
-from oracle_check import SPARK_TO_DUCK, digest, duck, rows_of
+from oracle_check import digest, duck, rows_of, spark_types
 
 oracle_check.EXACT = True        # compare doubles bit for bit, no tolerance
 
@@ -39,8 +39,7 @@ def test_matches_oracle(spark, con, name):
     assert scols == dcols
     assert len(srows) == len(drows)
     assert digest(srows) == digest(drows)
-    stypes = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__) for f in sdf.schema}
-    assert {d[0]: str(d[1]) for d in desc} == stypes
+    assert {d[0]: str(d[1]) for d in desc} == spark_types(sdf)
 
 
 def test_entry_smoke(spark):
