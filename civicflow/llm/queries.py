@@ -80,7 +80,29 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-@query("op5_line_dedup")
+@query("op5_line_dedup", r"""
+WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+                    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
+     trimmed AS (SELECT *, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM raw),
+     l AS MATERIALIZED (
+       SELECT doc_id, line, t, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k,
+              sum(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY line) AS upto,
+              len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words
+       FROM trimmed WHERE t <> ''),
+     pairs AS (SELECT a.doc_id, a.k AS s, b.k AS e FROM l a JOIN l b
+               ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 49 AND b.upto - a.upto + a.words >= 50),
+     windows AS (SELECT doc_id, s, min(e) AS e FROM pairs GROUP BY ALL UNION SELECT doc_id, max(s), e FROM pairs GROUP BY doc_id, e),
+     named AS (SELECT w.doc_id, w.s, w.e, md5(string_agg(l.t, chr(10) ORDER BY l.k)) AS name
+               FROM windows w JOIN l ON l.doc_id = w.doc_id AND l.k BETWEEN w.s AND w.e GROUP BY ALL),
+     firsts AS (SELECT name, min({'d': doc_id, 's': s}) AS f FROM named GROUP BY name),
+     later AS (SELECT n.* FROM named n JOIN firsts USING (name)
+               WHERE f < {'d': n.doc_id, 's': n.s} AND (f.d <> n.doc_id OR f.s + n.e - n.s < n.s)),
+     gone AS (SELECT DISTINCT l.doc_id, l.line FROM later w JOIN l ON l.doc_id = w.doc_id AND l.k BETWEEN w.s AND w.e)
+SELECT r.doc_id, count(*) AS n_lines, count(g.line) AS n_removed,
+       coalesce(list(CAST(r.line AS INTEGER) ORDER BY r.line) FILTER (WHERE g.line IS NOT NULL), []) AS removed_lines,
+       sha256(coalesce(string_agg(r.x, chr(10) ORDER BY r.line) FILTER (WHERE g.line IS NULL), '')) AS text_sha256
+FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.line = r.line GROUP BY r.doc_id
+""")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its number of lines, the numbers of those deleted, and the digest of what is left."""
     docs = read_table(spark, sf_dir, "documents").select(

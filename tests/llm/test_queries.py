@@ -5,7 +5,7 @@ import corpus_pipeline
 import oracle_check
 import pytest
 from civicflow.llm import queries
-from oracle_check import SPARK_TO_DUCK, digest, duck, rows_of
+from oracle_check import digest, duck, rows_of, spark_types
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -19,7 +19,7 @@ def test_matches_sql(spark, name):
     found = duck(SMALL).execute(queries.ORACLE[name])
     want_cols, want = rows_of([d[0] for d in found.description], found.fetchall())
     assert (cols, digest(rows)) == (want_cols, digest(want))
-    assert {f.name: SPARK_TO_DUCK[type(f.dataType).__name__] for f in df.schema} == {d[0]: str(d[1]) for d in found.description}
+    assert spark_types(df) == {d[0]: str(d[1]) for d in found.description}
 
 
 def test_all_eleven_are_registered():
