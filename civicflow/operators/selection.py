@@ -61,31 +61,25 @@ def order_statistics(values: DataFrame, keys: list[str], value_col: str, ranks:
     v = F.col(value_col)
     rows = values.where(v.isNotNull()).select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], v.alias("_v"),
                                               *[d.alias(n) for d, n in zip(_digits(v, levels), names)])
-    targets = None
+    spots = None         # one row per digit prefix that holds wanted ranks: which, and their ranks in it
     for j, name in enumerate(names):
         own = groups + names[:j]
-        if targets is not None:
+        hit, carried = rows, []
+        if spots is not None:
             same = [F.col(c).eqNullSafe(F.col(f"_t{c}")) for c in groups] + [F.col(c) == F.col(f"_t{c}") for c in names[:j]]
-            spots = targets.select(*[F.col(c).alias(f"_t{c}") for c in own]).distinct()
-            hit = rows.join(spots, reduce(lambda a, b: a & b, same), "left_semi")
-        else:
-            hit = rows
+            hit = rows.join(spots.withColumnsRenamed({c: f"_t{c}" for c in own}), reduce(lambda a, b: a & b, same))
+            carried = [F.any_value("_wanted").alias("_wanted")]
         last = [F.min("_v").alias("_v")] if j == levels - 1 else []     # one value per last digit
-        hist = hit.groupBy(*own, name).agg(F.count(F.lit(1)).alias("_c"), *last)
-        w = Window.partitionBy(*own).orderBy(name)
-        hist = hist.withColumn("_upto", F.sum("_c").over(w))
-        if targets is None:
-            total = F.sum("_c").over(Window.partitionBy(*own))
-            wanted = hist.withColumn("_n", total).select("*", F.explode(ranks).alias("_w")).select(
-                *hist.columns, F.col("_w.kid").alias("kid"), F.col("_w.k").alias("_k"))
-        else:
-            seek = targets.select(*[F.col(c).alias(f"_t{c}") for c in own], "kid", "_k")
-            same = [F.col(c).eqNullSafe(F.col(f"_t{c}")) for c in groups] + [F.col(c) == F.col(f"_t{c}") for c in names[:j]]
-            wanted = hist.join(seek, reduce(lambda a, b: a & b, same))
-        found = wanted.where((F.col("_upto") - F.col("_c") < F.col("_k")) & (F.col("_k") <= F.col("_upto")))
-        targets = found.select(*own, name, "kid", (F.col("_k") - (F.col("_upto") - F.col("_c"))).alias("_k"),
-                               *(["_v"] if last else []))
-    return targets.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], "kid", F.col("_v").alias("value"))
+        hist = hit.groupBy(*own, name).agg(F.count(F.lit(1)).alias("_c"), *carried, *last)
+        hist = hist.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*own).orderBy(name)))
+        if spots is None:
+            hist = hist.withColumn("_n", F.sum("_c").over(Window.partitionBy(*own))).withColumn("_wanted", ranks)
+        below_it = F.col("_upto") - F.col("_c")
+        here = F.filter("_wanted", lambda w: (below_it < w["k"]) & (w["k"] <= F.col("_upto")))
+        inside = F.transform(here, lambda w: F.struct(w["kid"].alias("kid"), (w["k"] - below_it).alias("k")))
+        spots = hist.select(*own, name, inside.alias("_wanted"), *(["_v"] if last else [])).where(F.size("_wanted") > 0)
+    return spots.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], F.explode("_wanted").alias("_w"), "_v").select(
+        *keys, F.col("_w.kid").alias("kid"), F.col("_v").alias("value"))
 
 
 def exact_median(values: DataFrame, keys: list[str], value_col: str, below: int | None = None) -> DataFrame:
