@@ -142,6 +142,10 @@ def _cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd
     for texts, starts, lens in parts:
         out, gone = [], []
         for text, first, length in zip(texts, starts, lens):
+            if first is None:                        # nothing to cut: the text was not even sent
+                out.append(None)
+                gone.append([])
+                continue
             lines = (text or "").split("\n")
             full = np.array([k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")], np.int64)
             hit = np.zeros(len(full) + 1, np.int64)
@@ -170,11 +174,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .groupBy(*DOC).agg(F.collect_list("start").alias("_starts"), F.collect_list("len").alias("_lens")))
     runs = written(runs).withColumnsRenamed({"_id": "_run_id", "_th": "_run_th"})
     own_id, own_th = _documents(docs, id_col, text_col)
-    joined = docs.join(runs, own_id.eqNullSafe(F.col("_run_id")) & (own_th == F.col("_run_th")), "left")
+    # the runs grow with the corpus: a sort-merge join at any size, over which the texts move once
+    joined = docs.join(runs.hint("merge"), own_id.eqNullSafe(F.col("_run_id")) & (own_th == F.col("_run_th")), "left")
+    hit = F.col("_starts").isNotNull()
     cut_lines = F.pandas_udf(_cut, "text string, removed array<int>")
-    touched = joined.where("_starts IS NOT NULL").withColumn("_cut", cut_lines(F.col(text_col), "_starts", "_lens"))
-    columns = [F.col(c) for c in docs.columns]
-    cut = [F.col("_cut.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    nothing = F.array().cast("array<int>")
-    return (joined.where("_starts IS NULL").select(*columns, nothing.alias(removed_col))
-            .unionByName(touched.select(*cut, F.col("_cut.removed").alias(removed_col))))
+    cut = joined.withColumn("_cut", cut_lines(F.when(hit, F.col(text_col)), "_starts", "_lens"))
+    return cut.select(*[F.when(hit, F.col("_cut.text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)
+                        for c in docs.columns], F.col("_cut.removed").alias(removed_col))
