@@ -47,7 +47,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     groups = simhash_groups(docs.select("doc_id", "text"), shingle=3, max_bits=2)
     kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
                    .select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # the ids grow with the corpus: a sort-merge join at any size
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
