@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicflow.session import materialize
 
+T = TypeVar("T")
 WHITE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,3 +49,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, label_co
     chosen = known.where(low).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("label"))
     texts = docs.where(low).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     return written(texts.join(chosen, "_id").select("text", "label"))
+
+
+def worker_state(key: str, make: Callable[[], T]) -> T:
+    """A value kept for the life of the Python worker process, so that a cache serves
+    all tasks that the worker runs. (Functions sent by value bring their own
+    module globals with every task.)"""
+    state = sys.modules.setdefault("_civicflow_worker_state", types.ModuleType("_civicflow_worker_state"))
+    if key not in vars(state):
+        setattr(state, key, make())
+    return getattr(state, key)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import worker_state, written
 
 DIMS, BITS, HASHED = 3, 10, 256
 
@@ -75,7 +75,7 @@ class WordCache:
 
     LATIN = "\u0250"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,19 +98,23 @@ class WordCache:
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = self._spelled(piece.encode().decode("latin-1").translate(self.letters))
-            if len(self.pieces) < self.most:
+            got = self._spelled(self._bytes(piece))
+            if len(self.pieces) < self.most // 8:
                 self.pieces[piece] = got
         return got
 
+    def _bytes(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(self.letters)
+
     def _spelled(self, spelled: str) -> bytes:
         return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
     def _word(self, word: str) -> bytes | None:
         """Ids of a word that follows a space or begins with a line feed; None where it has other white space."""
-        if word.isascii() and word.isalpha():                      # one piece, spelled as it is
-            got = self._spelled(self.letters[32] + word)
-        elif word[-1:] in (",", ".") and word[:-1].isalpha():      # two pieces; not kept, its letters are
+        latin = max(word, default=self.LATIN) < self.LATIN
+        if latin and word.isalpha():                               # one piece
+            got = self._spelled(self.letters[32] + (word if word.isascii() else self._bytes(word)))
+        elif latin and word[-1] in ",." and word[:-1].isalpha():   # two pieces; not kept, its letters are
             return (self.known.get(word[:-1]) or self._word(word[:-1])) + self._piece(word[-1])
         else:
             got = self._odd(word if word[:1] == "\n" else " " + word, word[1:] if word[:1] == "\n" else word)
@@ -148,10 +152,12 @@ def _place(ids: list[np.ndarray], bucket: np.ndarray, axes: np.ndarray) -> np.nd
     return hilbert_key(cells.astype(np.int64))
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int, seed: int = 3) -> DataFrame:
+def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int,
+              cached_words: int, seed: int = 3) -> DataFrame:
     """(id, row, key, ids): token ids with the end mark, and the place on the curve."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, row = WordCache(tokenizer_path), TaskContext.get().partitionId() << 32
+        cache = worker_state(f"{cached_words} word ids of {tokenizer_path}", lambda: WordCache(tokenizer_path, cached_words))
+        row = TaskContext.get().partitionId() << 32
         rng = np.random.default_rng(seed)
         bucket = rng.integers(0, HASHED, max(cache.tokenizer.get_vocab_size(), end_id + 1))
         axes = rng.normal(0, 0.5, (HASHED, DIMS))
@@ -220,21 +226,23 @@ PIECES = "_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_path: str,
-                   size: int = 2048, end_id: int = 1) -> DataFrame:
+                   size: int = 2048, end_id: int = 1, cached_words: int = 250_000) -> DataFrame:
     """One row per piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document's tokens are its text's ids and ``end_id``, so a null or empty
     text has one token. A document is cut where a sequence is full; its tokens
     each lie in one piece. Rows with a null id and repeated rows are packed like
     any other, each on its own. An empty table gives no rows. Other columns are
-    not looked at. ``tokenizer_path`` must exist on every executor.
+    not looked at. ``tokenizer_path`` must exist on every executor. ``cached_words``
+    bounds the words that a Python worker keeps (about 200 bytes each): fewer save
+    memory and cost time, the result is the same.
 
     Equal places on the curve (copies) are ordered by id and row number, which
     the range sort uses too, so a large group of copies spreads over partitions.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
-    rows = written(tokenised(docs, id_col, text_col, tokenizer_path, end_id))
+    rows = written(tokenised(docs, id_col, text_col, tokenizer_path, end_id, cached_words))
     wide = int(WordCache(tokenizer_path).dtype.itemsize)
     order = ["_key", "_id", "_row"]
 

@@ -62,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
-    return pack_documents(docs, tokenizer_path=tokenizer_file(), size=2048)
+    return pack_documents(docs, tokenizer_path=tokenizer_file(), size=2048, cached_words=100_000)
 
 
 STAGES = [
