@@ -23,13 +23,34 @@ from .common import labelled_sample
 
 BUCKETS = 1 << 18
 RUN = re.compile(r"(.)\1+", re.S)
+PIECE = re.compile(r"[Aa0]+[^Aa0]{0,3}|[^Aa0]{1,3}", re.S)
 AGAIN = zlib.crc32(b"=")
+LONG = 64                               # characters from which a word is not kept and a shape counts by its pieces too
+
+
+class Kinds(dict):
+    """Translation table from a character to its kind, filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+KINDS = Kinds()
 
 
 def shape(word: str) -> str:
-    """``Tion,`` -> ``Aa,``; ``the$$$`` -> ``a$``: runs of like characters become one."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-    return RUN.sub(r"\1", kinds)
+    """``Tion,`` -> ``Aa,``; ``the$$$`` -> ``a$``: runs of like characters become one. The whole word, however long."""
+    return RUN.sub(r"\1", word.translate(KINDS))
+
+
+def shape_ids(word: str) -> list[int]:
+    """The id of a word's shape. A long shape (a text without white space) hardly occurs
+    twice; the ids of all its pieces follow, which are those of short words."""
+    whole = shape(word)
+    pieces = PIECE.findall(whole) if len(whole) > LONG else []
+    return [zlib.crc32(s.encode("utf-8", "replace")) for s in (whole, *pieces)]
 
 
 class Shapes:
@@ -49,7 +70,10 @@ class Shapes:
             before = w
             got = known.get(w)
             if got is None:
-                got = zlib.crc32(shape(w).encode("utf-8", "replace"))
+                if len(w) > LONG:
+                    ids += shape_ids(w)
+                    continue
+                got = shape_ids(w)[0]
                 if len(known) < self.most:
                     known[w] = got
             ids.append(got)

@@ -52,3 +52,25 @@ def test_odd_rows(spark, odd_docs, no_docs):
         scores = [r["s"] for r in docs.select(quality_score(model).alias("s")).collect()]
         assert len(scores) == docs.count() and all(0 <= s <= 1 for s in scores)
     assert fit_quality(no_docs, labels, F.lit(True)).score("x") == pytest.approx(0.5)
+
+
+def test_a_text_without_spaces_counts_whole():
+    text = "これは日本語の文章です、空白はありません。" * 5
+    noise = "$$$###%%%" * 100
+    assert shape(text[:70]) != shape(text[:64] + noise)
+    s = Shapes()
+    clean, tail = s(text), s(text + noise)
+    assert set(clean.tolist()) != set(tail.tolist()) and not s.known            # long words are not kept
+    known = set(s("the$$$").tolist())
+    assert known <= set(s(text + "the$$$" * 100).tolist()) and not known & set(clean.tolist())
+    assert shape("Ab1" * 1_000_000) == "Aa0" * 1_000_000
+
+
+def test_noise_after_the_first_characters_lowers_the_score(spark):
+    prose = "これは日本語の文章です、空白はありません。"
+    texts = [(prose * (10 + k % 7) + "終" * k, 1) for k in range(60)] + [(prose * (10 + k % 7) + "$$$###%%%" * (20 + k), 0) for k in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q) for k, (_, q) in enumerate(texts)], "doc_id long, quality int")
+    model = fit_quality(docs, labels, F.col("doc_id") % 60 >= 20)
+    held = [(model.score(t), q) for k, (t, q) in enumerate(texts) if k % 60 < 20]
+    assert min(s for s, q in held if q == 1) > max(s for s, q in held if q == 0)
