@@ -71,7 +71,8 @@ class WordCache:
     frequent words are kept. A new word is cut into pieces by the pre-tokenizer's
     pattern and the vocabulary's model encodes each; words with letters beyond
     the Latin blocks, where pattern libraries may differ, go through the whole
-    tokenizer, and so do texts with other white space and other tokenizers."""
+    tokenizer, and so do texts with other white space, texts that contain an
+    added token (``<|endoftext|>``) and other tokenizers."""
 
     LATIN = "\u0250"
 
@@ -80,7 +81,6 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
@@ -90,6 +90,7 @@ class WordCache:
         before = parts.get("pre_tokenizer") or {}
         self.by_word = (parts.get("normalizer") is None and before.get("type") == "ByteLevel"
                         and not before.get("add_prefix_space") and before.get("use_regex", True))
+        self.added = [t["content"] for t in parts.get("added_tokens") or []]
         self.split = regex.compile(PIECE).findall
 
     def _whole(self, text: str) -> bytes:
@@ -128,7 +129,7 @@ class WordCache:
         return b"".join(map(self._piece, self.split(chunk))) if max(chunk) < self.LATIN else self._whole(chunk)
 
     def ids(self, text: str) -> bytes:
-        if not self.by_word:
+        if not self.by_word or any(token in text for token in self.added):
             return self._whole(text)
         words = text.replace("\n", " \n").split(" ")
         found = list(map(self.known.get, words))

@@ -97,3 +97,22 @@ def test_neighbours_on_the_curve_are_alike(spark):
 
 def test_empty_table(no_docs):
     assert pack_documents(no_docs, tokenizer_path=PATH).collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_added_tokens_get_their_own_ids(most):
+    """The expected ids are those of the tokenizer file as it is."""
+    t, cache = Tokenizer.from_file(PATH), WordCache(PATH, most)
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "end<|endoftext|>", "x\n<|endoftext|>\ny <|endoftext|><|endoftext|>z", "日本 <|endoftext|> é",
+             "<|endoftext", "<|endoftext |>", "<| endoftext|>", "|endoftext|>", "<|ENDOFTEXT|>"]
+    for text in texts + [x for x in ODD if "<|endoftext|>" not in x] + texts[::-1]:
+        assert np.frombuffer(cache.ids(text), cache.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_documents_with_added_tokens_are_packed_by_the_tokenizers_ids(spark):
+    t, text = Tokenizer.from_file(PATH), "one <|endoftext|> two"
+    want = np.array(t.encode(text, add_special_tokens=False).ids + [1], "<u4")
+    rows = pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer_path=PATH, size=2048).collect()
+    assert sum(r["length"] for r in rows) == len(want) == rows[0]["doc_tokens"]
+    assert all(r["ids_crc32"] == zlib.crc32(want[r["start"]:r["start"] + r["length"]].tobytes()) for r in rows)
