@@ -56,10 +56,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """Lines that occur more than once, with their ids ``r0``, in stretches of
-    consecutive such lines (``part``) that have ``min_words`` words at least."""
+    consecutive such lines (``part``) that have ``min_words`` words at least. Rows
+    that share id and text are one document, so each of its lines stays once."""
     repeated = lines.groupBy("digest").count().where("count > 1").select("digest")
     ids = _ordered_ids(repeated, "r0", "digest")
-    own = lines.join(ids, "digest").select(*DOC, "line", "k", "words", "r0")
+    own = lines.join(ids, "digest").select(*DOC, "line", "k", "words", "r0").distinct()
     doc = Window.partitionBy(*DOC).orderBy("k", "line")
     part = Window.partitionBy(*DOC, "part")
     return written(own.withColumn("part", F.col("k") - F.row_number().over(doc))

@@ -84,5 +84,25 @@ def test_copies_lose_everything_but_the_first(spark):
     assert left == {4: text, 9: "", None: ""}
 
 
+def test_equal_rows_are_one_document(spark):
+    """A run of five short lines is found whichever copies are repeated rows."""
+    run = "\n".join(" ".join(f"r{i}x{k}" for k in range(12)) for i in range(5))
+    first, second, bare = f"intro\n{run}\nend", f"other\n{run}\nlast", f"x\n{run}"
+    for rows in ([(1, first)] * 2 + [(2, second)], [(1, first)] + [(2, second)] * 2, [(1, first)] * 3 + [(2, second)] * 2,
+                 [(1, first)] + [(None, second)] * 3, [(None, first)] * 2 + [(2, second)]):
+        got = drop_repeated_lines(spark.createDataFrame(rows + [(None, bare)] * 2, "doc_id long, text string"), min_words=50).collect()
+        keeper = min(rows, key=lambda r: (r[0] is None, r[0] or 0))
+        want = [(i, t if (i, t) == keeper else t.replace(run + "\n", ""), [] if (i, t) == keeper else [1, 2, 3, 4, 5]) for i, t in rows]
+        want += [(None, "x", [1, 2, 3, 4, 5])] * 2
+        assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["text"], r["removed_lines"])) for r in got)
+
+
+def test_equal_rows_alone_keep_their_text(spark):
+    text = "\n".join(" ".join(f"a{i}x{k}" for k in range(12)) for i in range(6))
+    for i in (1, None):
+        got = drop_repeated_lines(spark.createDataFrame([(i, text)] * 3, "doc_id long, text string"), min_words=50).collect()
+        assert [(r["text"], r["removed_lines"]) for r in got] == [(text, [])] * 3
+
+
 def test_empty_table(no_docs):
     assert drop_repeated_lines(no_docs).collect() == []
