@@ -47,14 +47,17 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def _fingerprints(docs: DataFrame, text_col: str, shingle: int, **keys: Column) -> DataFrame:
+    """``keys`` (as longs) and the fingerprint ``fp`` of each row."""
+    names = list(keys)
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             prints = [fingerprint(t.as_py(), shingle) for t in part.column("_text")]
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(prints, pa.int64())], names=["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(prints, pa.int64())], names=[*names, "fp"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    return own.mapInArrow(batches, "_id long, fp long")
+    own = docs.select(*[c.cast("long").alias(n) for n, c in keys.items()], F.col(text_col).cast("binary").alias("_text"))
+    return own.mapInArrow(batches, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def linked_in_list(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -149,10 +152,32 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their fingerprint, null if no row with an id has it. Repeated rows share a
     fingerprint and so a component. Other columns are not looked at.
     """
-    own = written(_fingerprints(docs, id_col, text_col, shingle))
+    own = written(_fingerprints(docs, text_col, shingle, _id=F.col(id_col)))
     prints = written(own.groupBy("fp").agg(F.min("_id").alias("rep")))
     links = link_fingerprints(prints.where("rep IS NOT NULL"), max_bits)
     labels = connected_components(links)
     groups = written(prints.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "fp", F.coalesce("label", "rep").alias("component_id")))
     return own.join(groups, "fp", "left").select(F.col("_id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+                      shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` less near duplicates: exactly one row of each group that links of at most
+    ``max_bits`` bits connect.
+
+    All distinct fingerprints are linked, also those of rows without an id. The row
+    with the smallest id stays; rows without an id come after those with one, and
+    equal ids are told apart by a hash of the text, then by the row's place in
+    ``docs``, which is written with its rows so that it is the same wherever it is read.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    own = written(_fingerprints(rows, text_col, shingle, _row=F.col("_row"), _id=F.col(id_col), _th=F.xxhash64(text_col)))
+    place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_row").alias("row"))
+    first = written(own.groupBy("fp").agg(F.min(place).alias("first")))
+    labels = connected_components(link_fingerprints(first.select("fp", F.col("fp").alias("rep")), max_bits))
+    kept = written(first.join(labels, F.col("fp") == F.col("node"), "left")
+                   .groupBy(F.coalesce("label", "fp").alias("group")).agg(F.min("first").alias("first"))
+                   .select(F.col("first.row").alias("_row")))
+    # the kept rows grow with the corpus: a sort-merge join at any size
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)

@@ -17,7 +17,7 @@ from civicflow.llm.line_dedup import drop_repeated_lines
 from civicflow.llm.mixing import balance, row_hash, with_copies
 from civicflow.llm.packing import pack_documents
 from civicflow.llm.queries import tokenizer_file
-from civicflow.llm.simhash import simhash_groups
+from civicflow.llm.simhash import one_of_each_group
 from civicflow.sources.tables import read_table
 
 LEAST_SCORE = 0.5            # below this, no language is likelier than all others together
@@ -42,13 +42,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates. Documents
-    without an id stay where no document with an id is in their group."""
-    groups = simhash_groups(docs.select("doc_id", "text"), shingle=3, max_bits=2)
-    kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                   .select(F.col("doc_id").alias("_kept")).distinct())
-    # the ids grow with the corpus: a sort-merge join at any size
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each group of near duplicates, that with the smallest id. Rows without
+    an id are linked like any other and stay where no row with an id is in their group."""
+    return one_of_each_group(docs, shingle=3, max_bits=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

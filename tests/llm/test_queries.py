@@ -5,6 +5,7 @@ import corpus_pipeline
 import oracle_check
 import pytest
 from civicflow.llm import queries
+from civicflow.llm.simhash import fingerprint
 from oracle_check import digest, duck, rows_of, spark_types
 from pyspark.sql import functions as F
 
@@ -74,6 +75,27 @@ def test_line_dedup_stage_updates_sizes(spark):
     assert got[1]["n_chars"] == 9 and got[2]["text"] == "y" and got[2]["n_chars"] == 1
 
 
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
+    """Repeated rows, copies without ids, an id with two texts, and a null-id row near a kept one."""
+    words = [f"w{k}" for k in range(1000)]
+    text, near = " ".join(words), " ".join([*words, "more"])
+    fps = [fingerprint(t.encode(), 3) & (1 << 64) - 1 for t in (text, near)]
+    assert 1 <= (fps[0] ^ fps[1]).bit_count() <= 2
+    apart, lone = "something else altogether here", "copies that have no id at all"
+    rows = [(5, text, "a"), (5, text, "a"), (5, text, "b"), (7, text, "c"), (None, text, "d"), (None, near, "e"), (9, near, "f"),
+            (20, apart, "g"), (3, apart, "h"), (3, lone + " and more words", "i"), *[(None, lone, "j")] * 50]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4, "source")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.simhash_near_dedup(spark, docs, SMALL).collect()), key=repr)
+    assert got == sorted([(5, text), (3, apart), (3, lone + " and more words"), (None, lone)], key=repr)
+
+
+def test_near_dedup_stage_links_through_rows_without_an_id(spark):
+    words = [f"w{k}" for k in range(1000)]
+    text, near = " ".join(words), " ".join([*words, "more"])
+    docs = spark.createDataFrame([(None, text), (None, text), (None, near)], "doc_id long, text string")
+    assert corpus_pipeline.simhash_near_dedup(spark, docs, SMALL).count() == 1
+
+
 def test_run_is_the_stages(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
