@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from civicflow.plans import catalog
 import oracle_check
-from conftest import SMALL
+from fixture_tables import SMALL
 from oracle_check import digest, duck, rows_of, spark_types
 
 oracle_check.EXACT = True        # compare doubles bit for bit, no tolerance

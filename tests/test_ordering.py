@@ -1,7 +1,7 @@
 """Result ordering (the oracle compare is order-insensitive, so order is checked here)."""
 
 import __spark_entry__ as E
-from conftest import SMALL
+from fixture_tables import SMALL
 
 Q = E.queries()
 

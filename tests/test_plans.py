@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from civicflow.plans import catalog
-from conftest import SMALL
+from fixture_tables import SMALL
 
 # the library's own queries; those of the llm subpackage are tested in tests/llm
 QUERIES = {n: f for n, f in E.queries().items() if n in catalog.QUERIES}

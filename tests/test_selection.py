@@ -79,7 +79,7 @@ def test_digits_keep_the_order(spark):
 def test_approximate_median_option_is_close(spark):
     from civicflow.operators import resolution
     from civicflow.plans.context import Ctx
-    from conftest import SMALL
+    from fixture_tables import SMALL
     req = Ctx(spark, SMALL).short
     exact = {r["category"]: r["median_hours"] for r in resolution.resolution_by_category(req).collect()}
     approx = {r["category"]: r["median_hours"]

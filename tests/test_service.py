@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civicflow.plans.context import Ctx
 from civicflow.plans.service import RequestAnalytics
 from civicflow.sources import fixtures, sinks
-from conftest import SMALL
+from fixture_tables import SMALL
 
 
 def _rows(df):

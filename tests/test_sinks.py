@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civicflow.sources import fixtures, sinks
-from conftest import SMALL
+from fixture_tables import SMALL
 
 
 def test_build_rollups_job(spark, scratch):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from civicflow.operators import rollups
 from civicflow.plans import routing
 from civicflow.sources import fixtures, landing
-from conftest import SMALL
+from fixture_tables import SMALL
 
 
 def test_portal_json_roundtrip(spark, scratch):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from civicflow.sources import fixtures
 from civicflow.sources.tables import read_table
 from civicflow.streaming import jobs
-from conftest import SMALL
+from fixture_tables import SMALL
 
 
 def _events_stream(spark):
