@@ -14,9 +14,7 @@ ODD = ["", " ", "\n", "  a", "a  b", "a\n\nb", "a\n\n\nb", "a \nb", "a\n b", "a\
 
 
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("most", [0, 5, 10_000])
