@@ -122,15 +122,46 @@ def materialize(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one job, removed when the job is over (``with Scratch(spark) as scratch``)
+    or, one at a time, when the job no longer reads them. For results that are used up or
+    stored elsewhere inside the block; a DataFrame that leaves it must not be built on them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df):
+        out = materialize(df)
+        self.paths[id(out)] = (out, _OWNED[-1])
+        return out
+
+    def drop(self, *tables) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            _remove(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.drop(*[table for table, _ in self.paths.values()])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+    if path in _OWNED:
+        _OWNED.remove(path)
+
+
 _OWNED: list[str] = []        # tables that ``materialize`` wrote and nobody has released
 
 
 def release(spark: SparkSession) -> int:
     """Remove the tables that ``materialize`` has written in this process, for
     callers that are done with every result built on them. Returns how many."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths, _OWNED[:] = list(_OWNED), []
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+    paths = list(_OWNED)
+    for path in paths:
+        _remove(spark, path)
     return len(paths)
