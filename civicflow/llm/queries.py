@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civicflow.sources.tables import read_table
 
+from .align import align_documents, digest
 from .chat import digests, format_conversations, probe, read_back
 from .common import fold
 from .exact_dedup import normalised, progressive_exact_dedup
@@ -164,6 +165,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_back(formatted))
 
 
+@query("op11_align_tokenizers")
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_documents(read_table(spark, sf_dir, "documents"), byte_bpe=tokenizer_file(),
+                              piece_model=tokenizer_file("piece_bpe_32k.model"), show=digest)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
