@@ -18,9 +18,11 @@ from .line_dedup import drop_repeated_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import fit_quality, quality_score
+from .quality_rules import LEAST, MOST, PRIOR_RIGHT, PRIOR_VOTES, ROUNDS, RULES, apply_quality_rules
 from .simhash import simhash_groups
 from .topk import top_inner_products
 from .toxicity import fit_toxicity, toxicity_score
+from .vector_codes import books_digest, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -172,6 +174,75 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.withColumnRenamed("groups", "groups_sha256")
 
 
+def _rules_sql() -> str:
+    """The counts, the votes and the rounds of the estimation written out one after the other."""
+    names = [f"vote_{r}" for r in RULES]
+    vote = ",\n       ".join(f"CASE WHEN n_words > 0 AND ({g}) THEN 1 WHEN n_words > 0 AND ({b}) THEN -1 ELSE 0 END AS vote_{r}"
+                             for r, (g, b) in RULES.items())
+    odds = " + ".join(["ln(g / (1 - g))", *[f"{v} * ln(a{k} / (1 - a{k}))" for k, v in enumerate(names)]])
+    sql = [f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+x AS (SELECT r, i, list_slice(w, i, i + 4) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+twice AS (SELECT r, g FROM x GROUP BY ALL HAVING count(*) > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM x JOIN twice USING (r, g), range(5) AS o(k) GROUP BY r),
+l AS (SELECT r, [y FOR y IN string_split(text, chr(10)) IF regexp_matches(y, '[^\\x20\\x09-\\x0D]')] AS l FROM t),
+c AS MATERIALIZED (SELECT t.r, doc_id, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+       length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+       coalesce(repeats.n, 0) AS n_repeat_words, len(l) AS n_lines,
+       length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g')) AS n_letters,
+       len([y FOR y IN l IF regexp_matches(y, '[.!?][\\x20\\x09-\\x0D]*\\z')]) AS n_ended
+       FROM t JOIN w USING (r) JOIN l USING (r) LEFT JOIN repeats USING (r)),
+v AS MATERIALIZED (SELECT *, {vote} FROM c),
+p AS MATERIALIZED (SELECT {", ".join(names)}, count(*) AS n FROM v GROUP BY ALL),
+m0 AS (SELECT 0.5::DOUBLE AS g, {", ".join(f"{PRIOR_RIGHT / PRIOR_VOTES}::DOUBLE AS a{k}" for k in range(len(names)))})"""]
+    for k in range(ROUNDS):
+        right = ", ".join(f"least({MOST}, greatest({LEAST}, ({PRIOR_RIGHT} + sum(n * CASE {v} WHEN 1 THEN post WHEN -1 THEN 1 - post ELSE 0.0 END))"
+                          f" / ({PRIOR_VOTES} + sum(n * abs({v})))))::DOUBLE AS a{i}" for i, v in enumerate(names))
+        sql.append(f"""m{k + 1} AS MATERIALIZED (SELECT least(0.95, greatest(0.05, sum(n * post) / sum(n)))::DOUBLE AS g, {right}
+      FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS post FROM p, m{k}))""")
+    return ",\n".join(sql) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 1 / (1 + exp(-({odds}))) >= 0.5 AS kept
+FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v), m{ROUNDS}"""
+
+
+@query("op12_quality_rules", _rules_sql())
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = apply_quality_rules(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """The rounds of op13 written out one after the other."""
+    sql = ["""WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+      FROM embeddings WHERE embedding IS NOT NULL
+        AND len([1 FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+c AS MATERIALIZED (SELECT r, (j - 1) // (n // 8) AS part, j, x FROM (
+      SELECT r, len(q) AS n, unnest(q) AS x, generate_subscripts(q, 1) AS j FROM v)),
+seed AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS e FROM v),
+b0 AS MATERIALIZED (SELECT part, e, j, x FROM c JOIN seed USING (r) WHERE e < 16)"""]
+    for k in range(rounds + 1):
+        sql.append(f"""a{k} AS MATERIALIZED (SELECT r, part, min({{'d': d, 'e': e}}) AS m FROM (
+      SELECT r, part, e, sum((c.x - b.x) * (c.x - b.x)) AS d FROM c JOIN b{k} b USING (part, j) GROUP BY ALL) GROUP BY ALL)""")
+        if k < rounds:
+            sql.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, b.j,
+      CAST(coalesce((s - ((s % n) + n) % n) // n, b.x) AS BIGINT) AS x FROM b{k} b LEFT JOIN (
+        SELECT part, a.m.e AS e, j, sum(x) AS s, count(*) AS n FROM a{k} a JOIN c USING (r, part) GROUP BY ALL) t USING (part, e, j))""")
+    sql.append(f"""o AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error
+      FROM a{rounds} GROUP BY r)""")
+    return ",\n".join(sql) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, e, j)) FROM b{rounds}) AS codebooks_sha256
+FROM v JOIN o USING (r)"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes(read_table(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6)
+    return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+                        F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
