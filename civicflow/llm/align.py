@@ -15,7 +15,6 @@ back is one row per block, so no shuffle carries a row per document and pair.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import worker_state, written
-from .packing import PIECE, _byte_letters
+from .packing import byte_letters, ranked_encoder
 
 SPACE = "▁"             # fixed value: how piece vocabularies write a space
 NARROW = 4096                # id pairs of a group up to which all its links are laid out one by one
@@ -52,7 +51,7 @@ class TwoTokenizers:
 
         self.a, self.b = Tokenizer.from_file(byte_bpe), SentencePieceProcessor(model_file=piece_model)
         self.a.encode_special_tokens = True            # their strings in a text are plain text
-        bytes_of = {letter: bytes([byte]) for byte, letter in _byte_letters().items()}
+        bytes_of = {letter: bytes([byte]) for byte, letter in byte_letters().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_a = [b"".join(bytes_of.get(c, c.encode()) for c in self.a.id_to_token(i) or "")
                         for i in range(self.a.get_vocab_size())]
@@ -124,27 +123,6 @@ class TwoTokenizers:
         return out
 
 
-def ranked_encoder(byte_bpe: str) -> Callable[[str], list[int]] | None:
-    """A faster encoder of the same vocabulary: byte pairs are merged by rank, which the
-    ids are where the file lists its merges in the order of the ids they make. None for other files."""
-    import tiktoken
-
-    with open(byte_bpe, encoding="utf-8") as f:
-        parts = json.load(f)
-    before, model = parts.get("pre_tokenizer") or {}, parts["model"]
-    if (parts.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space")
-            or not before.get("use_regex", True) or model.get("type") != "BPE"):
-        return None
-    vocab, bytes_of = model["vocab"], {letter: bytes([byte]) for byte, letter in _byte_letters().items()}
-    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" ", 1)), -1) for m in model["merges"]]
-    added = {t["content"] for t in parts.get("added_tokens") or []}
-    plain = {token: i for token, i in vocab.items() if token not in added}
-    if any(x >= y for x, y in zip(made, made[1:])) or len(made) + 256 != len(plain) or min(made, default=0) < 256:
-        return None
-    ranks = {b"".join(map(bytes_of.__getitem__, token)): i for token, i in plain.items()}
-    return tiktoken.Encoding("ranks", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-
 def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``first[k], first[k] + 1, ...`` (``count[k]`` of them) for every k in a row, and where each k begins."""
     begin = np.cumsum(count) - count
@@ -328,8 +306,8 @@ def pair_counts(blocks: DataFrame, ids_b: int) -> DataFrame:
 
 
 def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, byte_bpe: str, piece_model: str,
-                    show: Callable[[bytes], str] = bytes.decode, block_bytes: int = 4 << 20,
-                    cached_words: int = 250_000) -> DataFrame:
+                    show: Callable[[bytes], str] = bytes.decode, block_bytes: int = 1 << 20,
+                    cached_words: int = 150_000) -> DataFrame:
     """One row per input row: ``id_col, groups, n_a, n_b, n_groups, n_links, n_best, count_sum``.
 
     ``groups`` is ``show`` of the document's groups as ``a1,a2|b1;a3|b2,b3`` (ids of A, ids

@@ -33,6 +33,13 @@ def n_words(text_col: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that is not among ``columns``."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def slot(buckets: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(buckets))
 

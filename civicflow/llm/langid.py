@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 256
 LETTER = r"\p{L}"
 UNKNOWN = "und"
@@ -118,32 +120,40 @@ def predict(model: ByteCnn, tables, texts: list[bytes]) -> tuple[np.ndarray, np.
     return prob.argmax(axis=1), prob.max(axis=1)
 
 
-def fit_language_model(docs: DataFrame, usable: Column, *, text_col: str = "text", lang_col: str = "lang",
-                       per_lang: int = 1500, max_langs: int = 256) -> ByteCnn | None:
-    """Train on about ``per_lang`` windows of each of the ``max_langs`` most
-    frequent languages among the ``usable`` rows (both bounds hold at any corpus
-    size). A row takes part when the hash of its text is low enough, so the
-    sample is the same in every run, and equal texts count once. None when no
-    row is usable."""
+def language_sample(docs: DataFrame, usable: Column, *, text_col: str = "text", lang_col: str = "lang",
+                    per_lang: int = 1500, most: int = 400_000) -> DataFrame:
+    """(lang, h, cut): a window of each text with the ``per_lang`` lowest hashes of its language, equal
+    texts once; fewer a language, at least one, where all would be more than ``most``."""
+    place = F.pmod("h", F.lit(1 << 30))
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER)).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    counts = [(r["lang"], r["count"]) for r in
-              rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, per_lang / n))])
-    chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    # distinct texts by language, so that copies don't count; one row per language
+    texts = written(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("texts")))
+    each = max(1, min(per_lang, most // max(1, texts.count())))
+    # twice as many as needed pass this filter, all of a small language; the window takes the lowest
+    low = rows.join(texts, "lang").where(place < F.least(F.lit(1.0), 2.0 * each / F.col("texts")) * (1 << 30))
     spare = F.greatest(F.octet_length("text") - WINDOW, F.lit(0)) + 1
     start = (F.pmod(F.xxhash64("h"), spare.cast("long")) + 1).cast("int")
     cut = F.substring(F.col("text").cast("binary"), start, F.lit(WINDOW))
-    sample = (chosen.select("lang", "h", cut.alias("cut")).groupBy("lang", "h").agg(F.min("cut").alias("cut"))
-              .orderBy("h", "lang").limit(2 * per_lang * len(counts)).collect())
-    langs = sorted({r["lang"] for r in sample})
-    if not langs:
+    once = low.select("lang", "h", cut.alias("cut")).groupBy("lang", "h").agg(F.min("cut").alias("cut"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "h", "cut")
+
+
+def fit_language_model(docs: DataFrame, usable: Column, *, text_col: str = "text", lang_col: str = "lang",
+                       per_lang: int = 1500, most: int = 400_000) -> ByteCnn | None:
+    """Train on a window of ``per_lang`` distinct texts of each language among the ``usable``
+    rows (fewer a language where there are very many, see ``language_sample``: ``most`` bounds the
+    sample at any corpus size). Every language is learned. Texts are chosen by their hash, so the sample is
+    the same in every run. None when no row is usable."""
+    sample = language_sample(docs, usable, text_col=text_col, lang_col=lang_col, per_lang=per_lang, most=most)
+    rows = sample.orderBy("h", "lang").collect()
+    if not rows:
         return None
-    windows = np.frombuffer(b"".join(bytes(r["cut"]).ljust(WINDOW, b"\0") for r in sample), np.uint8)
-    labels = np.array([langs.index(r["lang"]) for r in sample])
-    return train(windows.reshape(-1, WINDOW), labels, langs)
+    langs = sorted({r["lang"] for r in rows})
+    place = {lang: k for k, lang in enumerate(langs)}
+    windows = np.frombuffer(b"".join(bytes(r["cut"]).ljust(WINDOW, b"\0") for r in rows), np.uint8)
+    return train(windows.reshape(-1, WINDOW), np.array([place[r["lang"]] for r in rows]), langs)
 
 
 def language_of(model: ByteCnn | None, text_col: str = "text") -> Column:

@@ -165,7 +165,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with ``text_col`` less its repeated lines, and ``removed_col``:
     the numbers (from 0) of the lines that went, an empty array for most rows.
 
-    All columns and rows are kept, texts without a repeated run unchanged (null
+    All columns and rows are kept, whatever the columns are called, texts without a repeated run unchanged (null
     stays null). Blank lines are not part of a run and stay. The first copy by
     id stays; documents without an id count as last. Rows that share id and text
     are one document and lose the same lines. A document whose every line
@@ -174,11 +174,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = (repeated_runs(docs, id_col, text_col, min_words=min_words)
             .groupBy(*DOC).agg(F.collect_list("start").alias("_starts"), F.collect_list("len").alias("_lens")))
     runs = written(runs).withColumnsRenamed({"_id": "_run_id", "_th": "_run_th"})
-    own_id, own_th = _documents(docs, id_col, text_col)
+    own = docs.select(F.struct("*").alias("_doc"), *_documents(docs, id_col, text_col), F.col(text_col).alias("_text"))
     # the runs grow with the corpus: a sort-merge join at any size, over which the texts move once
-    joined = docs.join(runs.hint("merge"), own_id.eqNullSafe(F.col("_run_id")) & (own_th == F.col("_run_th")), "left")
+    joined = own.join(runs.hint("merge"), F.col("_id").eqNullSafe(F.col("_run_id")) & (F.col("_th") == F.col("_run_th")), "left")
     hit = F.col("_starts").isNotNull()
     cut_lines = F.pandas_udf(_cut, "text string, removed array<int>")
-    cut = joined.withColumn("_cut", cut_lines(F.when(hit, F.col(text_col)), "_starts", "_lens"))
-    return cut.select(*[F.when(hit, F.col("_cut.text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)
-                        for c in docs.columns], F.col("_cut.removed").alias(removed_col))
+    cut = joined.select("_doc", "_text", hit.alias("_hit"), cut_lines(F.when(hit, F.col("_text")), "_starts", "_lens").alias("_cut"))
+    text = F.when(F.col("_hit"), F.col("_cut.text")).otherwise(F.col("_text"))
+    return cut.select(*[text.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns],
+                      F.col("_cut.removed").alias(removed_col))

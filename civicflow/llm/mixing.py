@@ -8,7 +8,8 @@ by safeguarded Newton steps, all sources at once, on the distributed table of
 (source, size) counts, which holds all that the dual depends on.
 
 Rates become copies by one threshold per source: a document is taken
-floor(rate + u + tau) times, u being a hash of the document. tau is found by
+floor(rate + u + tau) times, u being a hash of the document; rows equal in id and
+text are numbered and draw one after the other, evenly spread. tau is found by
 narrowing a histogram of the values at which a document gains a copy, and then
 single documents are added or left out to close what is left of the gap.
 """
@@ -25,13 +26,16 @@ from .common import n_words, written
 SEED = 20
 BINS = 1024
 LOW, SPAN = -3.0, 6.0            # every threshold lies inside
+GOLDEN = (5 ** 0.5 - 1) / 2
 EXACT = "decimal(38,6)"          # sums that don't depend on the order of addition, so that reruns agree
 
 
 @dataclass
 class Mix:
-    """``rows(id, source, size, h)``, ``params`` per source, ``flips(h, source, delta)``: at most a few per source."""
+    """``rows(id, source, size, h, row, nth)``, ``numbers(row, nth)`` of repeated rows, ``params`` per source,
+    ``flips(sid, h, nth, delta)``: at most a few per source."""
     rows: DataFrame
+    numbers: DataFrame
     params: DataFrame
     flips: DataFrame
     cap: float
@@ -105,7 +109,29 @@ def _rate(cap: float) -> Column:
 
 
 def _u() -> Column:
-    return F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    """A row's draw in [0, 1): by its hash, and the golden section further for each equal row before it."""
+    u = F.pmod("h", F.lit(1 << 40)) / float(1 << 40) + F.col("nth") * GOLDEN
+    return u - F.floor(u)
+
+
+def repeated_numbers(rows: DataFrame) -> DataFrame:
+    """``rows(h, row)`` -> ``(row, nth)`` of the rows whose ``h`` is not theirs alone, numbered from 0. A large
+    group of equal rows is numbered by partitions of the table, and each partition starts where those before end."""
+    same = written(rows.groupBy("h").count().where("count > 1").select("h"))
+    own = rows.join(same, "h").select("h", "row", F.shiftrightunsigned("row", 33).alias("part"))
+    before = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.groupBy("h", "part").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("h", "part").orderBy("row")) - 1
+    return written(own.withColumn("place", place).join(starts, ["h", "part"]).select(
+        "row", (F.col("start") + F.col("place")).alias("nth")))
+
+
+def with_numbers(rows: DataFrame, numbers: DataFrame, row_col: str = "row") -> DataFrame:
+    """``rows`` with ``nth``, 0 for a row that no other equals. Only repeated rows have a number; Spark broadcasts
+    them while they are few."""
+    other = numbers.withColumnRenamed("row", "_numbered")
+    return rows.join(other, F.col(row_col) == F.col("_numbered"), "left").drop("_numbered").withColumn(
+        "nth", F.coalesce("nth", F.lit(0).cast("long")))
 
 
 def _copies(cap: float) -> Column:
@@ -143,29 +169,34 @@ def _close_gaps(rows: DataFrame, params: DataFrame, cap: float, rounds: int) ->
     """At most ``rounds`` documents per source that are taken once more or once
     less: each time the largest that is not larger than what is left of the gap."""
     spark = rows.sparkSession
-    flips = spark.createDataFrame([], "sid long, h long, delta int")
+    flips = spark.createDataFrame([], "sid long, h long, nth long, delta int")
     for _ in range(rounds):
         taken = (rows.where("size > 0").join(params.where("lam IS NOT NULL"), "sid")
-                 .join(flips, ["sid", "h"], "left")
+                 .join(flips, ["sid", "h", "nth"], "left")
                  .withColumn("copies", _copies(cap) + F.coalesce("delta", F.lit(0))))
         # a written table of one row per source: known to be small, it doesn't make the documents move
         gaps = written(taken.groupBy("sid", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("words")).select(
             "sid", (F.col("target") - F.col("words")).alias("gap")))
-        best = F.max(F.struct("size", "h"))
+        best = F.max(F.struct("size", "h", "nth"))
         more = (taken.join(gaps, "sid").where("delta IS NULL AND size <= abs(gap)")
                 .where(((F.col("gap") > 0) & (F.col("copies") < int(cap))) | ((F.col("gap") < 0) & (F.col("copies") > 0)))
                 .groupBy("sid", F.signum("gap").cast("int").alias("delta")).agg(best.alias("best"))
-                .select("sid", F.col("best.h").alias("h"), "delta"))
+                .select("sid", F.col("best.h").alias("h"), F.col("best.nth").alias("nth"), "delta"))
         flips = written(flips.unionByName(more))
     return flips
 
 
 def balance(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *,
             weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget: float = 1.5, cap: int = 2,
-            newton_rounds: int = 60, passes: int = 3, flip_rounds: int = 4) -> Mix:
-    """Solve the mix of ``docs``; see the module text. Null text has size 0."""
-    own = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                              n_words(text_col).alias("size"), row_hash(id_col, text_col).alias("h")))
+            newton_rounds: int = 60, passes: int = 3, flip_rounds: int = 4, row: Column | None = None) -> Mix:
+    """Solve the mix of ``docs``; see the module text. Null text has size 0. ``row`` is the number of
+    a row as ``monotonically_increasing_id`` gave it, for callers that number their rows themselves."""
+    if row is None:
+        row = F.monotonically_increasing_id()
+    found = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                                n_words(text_col).alias("size"), row_hash(id_col, text_col).alias("h"), row.alias("row")))
+    numbers = repeated_numbers(found)
+    own = with_numbers(found, numbers)
     counts = written(own.groupBy("source", "size").agg(F.count("*").alias("n")))
     sizes = counts.groupBy("source").agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"),
@@ -178,16 +209,16 @@ def balance(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     rows = own.join(names, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     params = _thresholds(rows, written(solved), float(cap), passes)
     flips = _close_gaps(rows, params, float(cap), flip_rounds)
-    return Mix(own, params, flips, float(cap))
+    return Mix(own, numbers, params, flips, float(cap))
 
 
 def with_copies(rows: DataFrame, mix: Mix) -> DataFrame:
-    """``rows(source, size, h, ...)`` with ``source_size``, ``target``, ``rate`` and ``copies``. Both
+    """``rows(source, size, h, nth, ...)`` with ``source_size``, ``target``, ``rate`` and ``copies``. Both
     joined tables have a few rows per source; Spark broadcasts them while they are small."""
     params = mix.params.withColumnRenamed("source", "_source")
-    flips = mix.flips.select(F.col("sid").alias("_sid"), F.col("h").alias("_h"), "delta")
+    flips = mix.flips.select(F.col("sid").alias("_sid"), F.col("h").alias("_h"), F.col("nth").alias("_nth"), "delta")
     return (rows.join(params, F.col("source").eqNullSafe(F.col("_source")), "left")
-            .join(flips, (F.col("sid") == F.col("_sid")) & (F.col("h") == F.col("_h")), "left")
+            .join(flips, (F.col("sid") == F.col("_sid")) & (F.col("h") == F.col("_h")) & (F.col("nth") == F.col("_nth")), "left")
             .withColumns({"rate": _rate(mix.cap), "copies": _copies(mix.cap) + F.coalesce("delta", F.lit(0))}))
 
 
@@ -197,9 +228,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     ``taken`` is copies times size. Null and empty texts have size 0 and are
     taken 0 words at any number of copies. A null source is a source of its own,
-    after all others. Null ids and repeated rows take part like any row; rows
-    equal in id and text get the same copies. An empty table gives no rows.
-    Other columns are not looked at.
+    after all others. Null ids and repeated rows take part like any row, each
+    with a draw of its own. An empty table gives no rows. Other columns are not
+    looked at.
     """
     mix = balance(docs, id_col, source_col, text_col, **options)
     return with_copies(mix.rows, mix).select(

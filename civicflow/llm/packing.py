@@ -13,11 +13,10 @@ import json
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +53,7 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write a byte as the character of its number where
     that is printable, and the others, in order, as those from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,17 +61,37 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def ranked_encoder(byte_bpe: str) -> Callable[[str], list[int]] | None:
+    """A faster encoder of the same vocabulary: byte pairs are merged by rank, which the
+    ids are where the file lists its merges in the order of the ids they make. None for other files."""
+    import tiktoken
+
+    with open(byte_bpe, encoding="utf-8") as f:
+        parts = json.load(f)
+    before, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    if (parts.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space")
+            or not before.get("use_regex", True) or model.get("type") != "BPE"):
+        return None
+    vocab, bytes_of = model["vocab"], {letter: bytes([byte]) for byte, letter in byte_letters().items()}
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" ", 1)), -1) for m in model["merges"]]
+    added = {t["content"] for t in parts.get("added_tokens") or []}
+    plain = {token: i for token, i in vocab.items() if token not in added}
+    if any(x >= y for x, y in zip(made, made[1:])) or len(made) + 256 != len(plain) or min(made, default=0) < 256:
+        return None
+    ranks = {b"".join(map(bytes_of.__getitem__, token)): i for token, i in plain.items()}
+    return tiktoken.Encoding("ranks", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class WordCache:
     """Token ids of a text, word by word.
 
     A byte-level pre-tokenizer never lets a piece span the place before a single
     space or line feed that stands between two other characters, so a text's ids
     are those of its words, each with the space or line feed before it. Ids of
-    frequent words are kept. A new word is cut into pieces by the pre-tokenizer's
-    pattern and the vocabulary's model encodes each; words with letters beyond
-    the Latin blocks, where pattern libraries may differ, go through the whole
-    tokenizer, and so do texts with other white space, texts that contain an
-    added token (``<|endoftext|>``) and other tokenizers."""
+    frequent words are kept. New words with letters of the Latin blocks go through the
+    vocabulary's ranks; those with other letters, where pattern libraries may differ, go
+    through the whole tokenizer, and so do texts with other white space, texts
+    that contain an added token (``<|endoftext|>``) and other tokenizers."""
 
     LATIN = "\u0250"
 
@@ -83,57 +102,39 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
-        self.letters = _byte_letters()
-        self.most, self.known, self.pieces = most, {}, {}
+        self.most, self.known = most, {}
         with open(path, encoding="utf-8") as f:
-            parts = json.load(f)
-        before = parts.get("pre_tokenizer") or {}
-        self.by_word = (parts.get("normalizer") is None and before.get("type") == "ByteLevel"
-                        and not before.get("add_prefix_space") and before.get("use_regex", True))
-        self.added = [t["content"] for t in parts.get("added_tokens") or []]
-        self.split = regex.compile(PIECE).findall
+            self.added = [t["content"] for t in json.load(f).get("added_tokens") or []]
+        self.fast = ranked_encoder(path)
+        self.ends = {sign: self._ranked(sign) for sign in ",."} if self.fast else {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = self._spelled(self._bytes(piece))
-            if len(self.pieces) < self.most // 8:
-                self.pieces[piece] = got
-        return got
-
-    def _bytes(self, piece: str) -> str:
-        return piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _spelled(self, spelled: str) -> bytes:
-        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+    def _ranked(self, chunk: str) -> bytes:
+        return array(self.kind, self.fast(chunk)).tobytes()
 
     def _word(self, word: str) -> bytes | None:
         """Ids of a word that follows a space or begins with a line feed; None where it has other white space."""
-        latin = max(word, default=self.LATIN) < self.LATIN
-        if latin and word.isalpha():                               # one piece
-            got = self._spelled(self.letters[32] + (word if word.isascii() else self._bytes(word)))
-        elif latin and word[-1] in ",." and word[:-1].isalpha():   # two pieces; not kept, its letters are
-            return (self.known.get(word[:-1]) or self._word(word[:-1])) + self._piece(word[-1])
-        else:
-            got = self._odd(word if word[:1] == "\n" else " " + word, word[1:] if word[:1] == "\n" else word)
+        if word[-1:] in self.ends and word[:-1].isalpha() and max(word) < self.LATIN:    # not kept: its letters are
+            return (self.known.get(word[:-1]) or self._word(word[:-1])) + self.ends[word[-1]]
+        feed = word[:1] == "\n"
+        got = self._chunk(word if feed else " " + word, word[1:] if feed else word)
         if got is not None and len(self.known) < self.most:
             self.known[word] = got
         return got
 
-    def _odd(self, chunk: str, body: str) -> bytes | None:
-        if len(body.split()) != 1 or body[0].isspace() or body[-1].isspace():
+    def _chunk(self, chunk: str, body: str) -> bytes | None:
+        if body.split() != [body]:
             return None
-        return b"".join(map(self._piece, self.split(chunk))) if max(chunk) < self.LATIN else self._whole(chunk)
+        return self._ranked(chunk) if max(chunk) < self.LATIN else self._whole(chunk)
 
     def ids(self, text: str) -> bytes:
-        if not self.by_word or any(token in text for token in self.added):
+        if self.fast is None or any(token in text for token in self.added):
             return self._whole(text)
         words = text.replace("\n", " \n").split(" ")
         found = list(map(self.known.get, words))
-        found[0] = None if words[0][:1] == "\n" else self._odd(words[0], words[0])
+        found[0] = None if words[0][:1] == "\n" else self._chunk(words[0], words[0])
         if found[0] is None:
             return self._whole(text)
         at = 0

@@ -42,9 +42,10 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS cp,
                   sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
            FROM documents),
      w AS (SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
-                  first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY cp DESC, doc_id NULLS LAST) AS keep_id
+                  first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY cp DESC, doc_id NULLS LAST) AS keep_id,
+                  row_number() OVER (PARTITION BY text_sha256 ORDER BY cp DESC, doc_id NULLS LAST) AS place
            FROM t)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM w
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM w
 """)
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")

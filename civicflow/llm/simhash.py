@@ -148,16 +148,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the smallest id reachable over links of at most ``max_bits`` bits).
 
     Null, empty and blank texts have fingerprint zero, which links like any
-    other. Rows without an id are no nodes of a component: they get that of
-    their fingerprint, null if no row with an id has it. Repeated rows share a
-    fingerprint and so a component. Other columns are not looked at.
+    other. All distinct fingerprints are linked, also those of rows without an id, so
+    that such a row connects others; ``component_id`` is null where no row of a component
+    has an id. Repeated rows share a fingerprint and so a component. Other columns are
+    not looked at.
     """
     own = written(_fingerprints(docs, text_col, shingle, _id=F.col(id_col)))
-    prints = written(own.groupBy("fp").agg(F.min("_id").alias("rep")))
-    links = link_fingerprints(prints.where("rep IS NOT NULL"), max_bits)
-    labels = connected_components(links)
-    groups = written(prints.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "fp", F.coalesce("label", "rep").alias("component_id")))
+    prints = written(own.groupBy("fp").agg(F.min("_id").alias("least")))
+    labels = connected_components(link_fingerprints(prints.select("fp", F.col("fp").alias("rep")), max_bits))
+    named = written(prints.join(labels, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("label", "fp").alias("group")))
+    # one row per component: ids of linked fingerprints meet in their smallest
+    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    groups = written(named.join(least, "group").select("fp", "component_id"))
     return own.join(groups, "fp", "left").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
@@ -171,8 +174,9 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     equal ids are told apart by a hash of the text, then by the row's place in
     ``docs``, which is written with its rows so that it is the same wherever it is read.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    own = written(_fingerprints(rows, text_col, shingle, _row=F.col("_row"), _id=F.col(id_col), _th=F.xxhash64(text_col)))
+    rows = written(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")))
+    own = written(_fingerprints(rows, f"_doc.{text_col}", shingle, _row=F.col("_row"), _id=F.col(f"_doc.{id_col}"),
+                                _th=F.xxhash64(f"_doc.{text_col}")))
     place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_row").alias("row"))
     first = written(own.groupBy("fp").agg(F.min(place).alias("first")))
     labels = connected_components(link_fingerprints(first.select("fp", F.col("fp").alias("rep")), max_bits))
@@ -180,4 +184,4 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                    .groupBy(F.coalesce("label", "fp").alias("group")).agg(F.min("first").alias("first"))
                    .select(F.col("first.row").alias("_row")))
     # the kept rows grow with the corpus: a sort-merge join at any size
-    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select("_doc.*")

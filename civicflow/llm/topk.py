@@ -14,6 +14,7 @@ indexed, and the result is exact whatever they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 PACK = 256                   # vectors in a row of the index
-MOST = 1 << 28               # quantised components are held within +-MOST
 
 
 @dataclass
@@ -82,6 +82,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> t
     own = vectors.where(F.col(id_col).isNotNull()).where(_usable(vector_col)).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     dim = max(1, own.agg(F.max(F.size("x"))).first()[0] or 0)
+    most = min((1 << 31) - 1, math.isqrt((1 << 62) // dim))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -89,7 +90,10 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> t
             sizes, flat = np.diff(x.offsets.to_numpy()), x.flatten().to_numpy(zero_copy_only=False)
             full = np.zeros((len(x), dim), "<i4")
             where = np.arange(dim) < sizes[:, None]
-            full[where] = np.clip(np.floor(scale * flat), -MOST, MOST)
+            whole = np.floor(scale * flat)
+            if np.abs(whole).max(initial=0) > most:
+                raise OverflowError(f"a component leaves +-{most} after scaling: scores could leave the 64-bit range")
+            full[where] = whole
             yield pa.RecordBatch.from_arrays(
                 [part.column("vec_id"), pa.array([r.tobytes() for r in full], pa.binary())], names=["vec_id", "v"])
 
@@ -198,7 +202,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, id_col: str = "vec_
 
     Rows with a null id take no part, nor do vectors that are null or hold null
     or non-finite components. A shorter vector counts as filled up with zeros
-    (an empty one as all zeros). Components stop at +-2**20 before scaling. Rows
+    (an empty one as all zeros). Components so large that a score
+    could leave the 64-bit range (beyond 2**28 after scaling in 64 dimensions) raise. Rows
     equal in id and vector count once. An empty table, or a single row, gives no
     rows. Other columns are not looked at.
 

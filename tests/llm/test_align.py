@@ -5,7 +5,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 from civicflow.llm import queries
-from civicflow.llm.align import Block, TwoTokenizers, align_documents, digest, ranked_encoder, shared_cuts
+from civicflow.llm.align import Block, TwoTokenizers, align_documents, digest, shared_cuts
+from civicflow.llm.packing import ranked_encoder
 from tokenizers import Tokenizer
 
 A, B = (str(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))

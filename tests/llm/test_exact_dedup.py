@@ -11,8 +11,8 @@ def brute(rows):
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r["text"] or ""), []).append(r)
     out = []
     for norm, rs in groups.items():
-        best = min(rs, key=lambda r: (-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"] or 0))["doc_id"]
-        out += [(r["doc_id"], best, len(rs), r["doc_id"] == best, hashlib.sha256(norm.encode()).hexdigest()) for r in rs]
+        rs = sorted(rs, key=lambda r: (-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"] or 0))
+        out += [(r["doc_id"], rs[0]["doc_id"], len(rs), k == 0, hashlib.sha256(norm.encode()).hexdigest()) for k, r in enumerate(rs)]
     return sorted(out, key=repr)
 
 
@@ -32,6 +32,14 @@ def test_same_length_and_prefix_but_other_text(spark):
     assert result(df) == brute(df.collect())
 
 
+def test_one_row_of_a_group_stays(spark):
+    rows = [(1, "a b c"), (1, "a  b   c"), (2, "abc"), (None, "x y"), (None, "x y"), (None, "xy"), (5, "q"), (5, "q"), (5, "q"), (None, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(df) == brute(df.collect())
+    kept = progressive_exact_dedup(df).where("kept").select("keep_id", "group_size").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, 3), (None, 3), (5, 4)], key=repr)
+
+
 def test_empty_table(no_docs):
     assert result(no_docs) == []
 

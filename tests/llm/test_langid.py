@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 from civicflow.llm.common import fold
-from civicflow.llm.langid import WINDOW, fit_language_model, language_of, predict, train
+from civicflow.llm.langid import WINDOW, fit_language_model, language_of, language_sample, predict, train
 from pyspark.sql import functions as F
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -65,3 +65,22 @@ def test_no_labels_and_empty_table(spark, no_docs):
     docs = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert docs.select(language_of(fitted(docs)).alias("f")).first()["f"]["lang"] == "und"
     assert no_docs.select(language_of(None).alias("f")).collect() == []
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    copies = spark.range(6000).selectExpr("id AS doc_id", "'eki boku copied text of the second kind' AS text", "'bb' AS lang")
+    few = spark.range(20).selectExpr("id + 6000 AS doc_id", "concat('eki boku ', id, ' zuki naku taru') AS text", "'bb' AS lang")
+    many = spark.range(500).selectExpr("id + 7000 AS doc_id", "concat('the cat and ', id, ' more dogs went home') AS text", "'aa' AS lang")
+    docs = copies.union(few).union(many)
+    sample = language_sample(docs, F.lit(True), per_lang=50).groupBy("lang").count()
+    assert {r["lang"]: r["count"] for r in sample.collect()} == {"aa": 50, "bb": 21}
+    model = fit_language_model(docs, F.lit(True), per_lang=50)
+    found = docs.select("lang", language_of(model).alias("f")).where("lang <> f.lang").count()
+    assert model.langs == ["aa", "bb"] and found < 20
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "concat('word', id, ' text') AS text", "concat('l', id % 300) AS lang")
+    sample = language_sample(docs, F.lit(True), per_lang=1500, most=450).groupBy("lang").count().collect()
+    assert len(sample) == 300 and {r["count"] for r in sample} == {1}
+    assert len(fit_language_model(docs, F.lit(True)).langs) == 300

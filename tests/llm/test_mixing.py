@@ -89,3 +89,15 @@ def test_odd_rows(odd_docs):
 
 def test_empty_table(no_docs):
     assert mix_sources(no_docs).collect() == []
+
+
+def test_repeated_rows_draw_one_after_the_other(spark):
+    """900 equal rows without an id and 100 others: the target is met within a document's size, and reruns agree."""
+    rows = [(None, "w " * 10, "a")] * 900 + [(k, "v " * (5 + k % 11), "a") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    first = check(docs, 10)
+    target, words = first[0]["target"], sum(r["taken"] for r in first)
+    assert abs(words - target) <= 15
+    assert sorted(tuple(r) for r in mix_sources(docs.coalesce(2)).collect() if r["doc_id"] is not None) == sorted(
+        tuple(r) for r in first if r["doc_id"] is not None)
+    assert sorted(r["taken"] for r in mix_sources(docs.coalesce(2)).collect()) == sorted(r["taken"] for r in first)

@@ -72,6 +72,27 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs):
     assert out.agg(F.sum("length")).first()[0] > 0
 
 
+INNER = ["found", "doc", "removed", "row", "_found", "_doc", "_removed", "_row", "_starts", "_lens", "_cut", "_run_id", "_run_th", "_id", "_th",
+         "_text", "_hit", "h", "size", "nth", "sid", "copies", "delta", "rate", "tau", "lam", "target", "_source", "_sid", "_h", "_nth", "_numbered",
+         "fp", "key", "node", "label", "first", "group", "h2", "texts", "cut", "rank", "source_size", "mean"]
+
+
+def test_columns_called_like_inner_ones_keep_their_values(spark):
+    """Every stage passes columns of any name on unchanged, and decides as it does without them."""
+    line = " ".join(f"p{k}" for k in range(60))
+    texts = [f"the cat and the dog number{k} went on their way home" for k in range(25)] + [f"{line}\nthe end of it", f"the start of it\n{line}"]
+    plain = spark.createDataFrame([(k, t, "en", f"s{k % 2}", len(t)) for k, t in enumerate(texts)],
+                                  "doc_id long, text string, lang string, source string, n_chars long")
+    extra = plain.select("*", *[F.concat(F.lit(f"{c} of "), "doc_id").alias(c) for c in INNER])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        want = sorted(tuple(r) for r in stage(spark, plain, SMALL).collect())
+        out = stage(spark, extra, SMALL)
+        assert out.columns == extra.columns
+        rows = out.collect()
+        assert sorted(tuple(r)[:5] for r in rows) == want and want
+        assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in INNER)
+
+
 def test_line_dedup_stage_updates_sizes(spark):
     line = " ".join(f"p{k}" for k in range(60))
     docs = spark.createDataFrame([(1, f"{line}\nx", 9), (2, f"y\n{line}", 9)], "doc_id long, text string, n_chars int")

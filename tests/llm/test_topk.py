@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from civicflow.llm.topk import fit_pivots, top_inner_products
 from pyspark.sql import functions as F
 
@@ -54,6 +55,13 @@ def test_large_components_are_exact(spark):
     assert result(table(spark, rows), 10) == brute(rows, 10, 5)
 
 
+def test_components_past_a_million_are_exact_or_raise(spark):
+    rows = [(0, [3_000_000.0, 1.0]), (1, [3_000_000.0, 2.0]), (2, [3_000_000.5, -1.0]), (3, [-2.5e6, 7.0])]
+    assert result(table(spark, rows), 10) == brute(rows, 10, 5)
+    with pytest.raises(Exception, match="64-bit range"):
+        result(table(spark, [(0, [1e9, 1.0]), (1, [1.0, 1.0])]), 10)
+
+
 def test_bound_holds_for_every_vector():
     """The triangle inequality on lifted vectors: no score exceeds its annulus's bound."""
     rng = np.random.default_rng(2)
