@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import fold, n_words, written
+from civicflow.llm.common import fold, n_words, unused, written
 from civicflow.llm.langid import UNKNOWN, fit_language_model, language_of
 from civicflow.llm.line_dedup import drop_repeated_lines
-from civicflow.llm.mixing import balance, row_hash, with_copies
+from civicflow.llm.mixing import balance, row_hash, with_copies, with_numbers
 from civicflow.llm.packing import pack_documents
 from civicflow.llm.queries import tokenizer_file
 from civicflow.llm.simhash import one_of_each_group
@@ -27,17 +27,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the byte network knows: texts without a letter
     (null and empty ones too) and texts of which it is not sure go."""
     usable = F.coalesce(fold("doc_id", 4) != 2, F.lit(False))
-    found = docs.withColumn("_found", language_of(fit_language_model(docs, usable)))
-    return found.where((F.col("_found.lang") != UNKNOWN) & (F.col("_found.score") >= LEAST_SCORE)).drop("_found")
+    found = docs.select(F.struct("*").alias("doc"), language_of(fit_language_model(docs, usable)).alias("found"))
+    return found.where((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)).select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, later copies of repeated line runs of 50 words or more deleted from
     their texts; ``n_chars`` follows the text where it is there."""
-    cut = drop_repeated_lines(docs, min_words=50, removed_col="_removed")
+    removed = unused("removed", docs.columns)
+    cut = drop_repeated_lines(docs, min_words=50, removed_col=removed)
     if "n_chars" in docs.columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", F.when(F.size("_removed") > 0, size).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.size(removed) > 0, size).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
@@ -49,11 +50,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: 0 to 2 rows for each."""
-    mix = balance(docs, weights=(5.0, 2.0, 1.0), budget=1.5, cap=2)
-    keys = docs.select(F.struct(*docs.columns).alias("_doc"), "source", n_words("text").alias("size"),
-                       row_hash("doc_id", "text").alias("h"))
-    taken = with_copies(keys, mix).where("copies > 0")
-    return taken.select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_doc.*")
+    rows = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    mix = balance(rows, "doc.doc_id", "doc.source", "doc.text", weights=(5.0, 2.0, 1.0), budget=1.5, cap=2, row=F.col("row"))
+    keys = rows.select("doc", "row", F.col("doc.source").alias("source"), n_words("doc.text").alias("size"),
+                       row_hash("doc.doc_id", "doc.text").alias("h"))
+    taken = with_copies(with_numbers(keys, mix.numbers), mix).where("copies > 0")
+    return taken.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
