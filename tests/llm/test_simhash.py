@@ -96,14 +96,17 @@ def test_very_long_text_is_hashed_whole():
 
 def test_rows_without_an_id_connect_others(spark):
     """Documents 7 and 9 are too far apart, a row without an id is near both; another such row is near 7 alone."""
-    words = [f"w{k}" for k in range(1500)]
     rng = random.Random(4)
-    chain = [" ".join(words)]
-    while len(chain) < 3:                              # each text within two bits of the one before, the third not of the first
-        more = chain[-1] + f" x{rng.randrange(10**6)}"
-        prints = [fingerprint(t.encode(), 3) & (1 << 64) - 1 for t in (*chain, more)]
-        if 1 <= (prints[-1] ^ prints[-2]).bit_count() <= 2 and (len(chain) < 2 or (prints[-1] ^ prints[0]).bit_count() > 2):
-            chain.append(more)
+
+    def bits(x, y):
+        a, b = (fingerprint(t.encode(), 3) & (1 << 64) - 1 for t in (x, y))
+        return (a ^ b).bit_count()
+
+    chain = []
+    while len(chain) < 3:                              # two steps of one or two bits that lead out of reach of the start
+        start = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150))
+        near = [t for t in (f"{start} x{k}" for k in range(40)) if 1 <= bits(start, t) <= 2]
+        chain = next(([x, start, y] for x in near for y in near if bits(x, y) > 2), [])
     far = "nothing like the others at all in any way"
     docs = spark.createDataFrame([(7, chain[0]), (None, chain[1]), (9, chain[2]), (None, far), (None, far)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash_groups(docs).collect()), key=repr)
