@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from ..session import materialize
 from pyspark.sql import types as T
 
 from ..functions.calendar import calendar_features
@@ -148,6 +150,24 @@ def recent_rows(req: DataFrame, limit: int = 100) -> DataFrame:
         F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"))
 
 
+def numbered_copies(df: DataFrame) -> DataFrame:
+    """``row`` (all columns as a struct), ``hash`` of its content and ``copy``, a running number from 1 among equal rows.
+
+    The rows are written once with their place, so that a retried task sees the same places. Equal rows
+    are numbered inside each written partition, and each partition starts where those before it ended, so
+    that not even a table of equal rows puts more than a partition's rows into one task."""
+    every = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    rows = materialize(df.select(F.struct("*").alias("row"), F.sha2(every, 256).alias("hash"),
+                                 F.monotonically_increasing_id().alias("place")))
+    rows = rows.withColumn("part", F.shiftrightunsigned("place", 33))
+    before = Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("hash", "part").count().select(
+        "hash", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    here = F.row_number().over(Window.partitionBy("hash", "part").orderBy("place"))
+    return rows.withColumn("here", here).join(starts, ["hash", "part"]).select(
+        "row", "hash", (F.col("start") + F.col("here")).alias("copy"))
+
+
 def load_projection(df: DataFrame) -> DataFrame:
     """P-17: the known warehouse columns present in ``df`` plus ``case_id``.
 
@@ -161,10 +181,10 @@ def load_projection(df: DataFrame) -> DataFrame:
     elif "caseid" in cols:
         cid = F.col("caseid").cast("string")
     else:
-        row = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
-        copy = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
-        df = df.withColumn("_row", F.sha2(row, 256)).withColumn("_copy", copy)
-        cid = F.concat_ws("-", "_row", F.col("_copy").cast("string"))
+        df = numbered_copies(df)
+        cid = F.concat_ws("-", F.col("hash"), F.col("copy").cast("string"))
+        df = df.select("row.*", cid.alias("case_id"))
+        cid = F.col("case_id")
     keep = [c for c in LOAD_COLUMNS if c in cols]
     out = df.select(*keep, cid.alias("case_id"))
     for t in ("opened", "closed"):

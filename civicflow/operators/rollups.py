@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import sort_small
@@ -119,6 +119,42 @@ def daily_aggregates(req: DataFrame) -> DataFrame:
     ).withColumn("weekend", F.weekday("date") >= 5)
 
 
+# ------------------------------------------------ A-01, A-02, A-04 and A-07 from one scan
+def hour_cube(req: DataFrame) -> DataFrame:
+    """The finest grain that the calendar rollups share: (date, hour, category, district, area) -> count and the sum
+    and number of resolution hours. One partial aggregate over the requests; each rollup is an aggregate
+    of it, so the requests are read once however many rollups there are."""
+    area = F.col("neighborhood" if "neighborhood" in req.columns else "district")
+    return (req.groupBy(F.to_date("opened").alias("date"), F.hour("opened").alias("hour"), "category", "district", area.alias("area"))
+            .agg(F.count(F.lit(1)).alias("count"), F.sum("resolution_hours").alias("hours"),
+                 F.count("resolution_hours").alias("resolved")))
+
+
+def _mean_hours() -> Column:
+    return rnd(F.try_divide(F.sum("hours"), F.sum("resolved").cast("double")), 2).alias("avg_resolution_hours")
+
+
+def daily_of_cube(cube: DataFrame) -> DataFrame:
+    return cube.groupBy("date", "category", "district").agg(F.sum("count").alias("count"), _mean_hours())
+
+
+def monthly_of_cube(cube: DataFrame) -> DataFrame:
+    return cube.groupBy(year_month("date").alias("year_month"), "category", "district").agg(F.sum("count").alias("count"))
+
+
+def hourly_of_cube(cube: DataFrame) -> DataFrame:
+    return cube.groupBy("hour", F.weekday("date").alias("day_of_week"), "category").agg(F.sum("count").alias("count"))
+
+
+def daily_aggregates_of_cube(cube: DataFrame) -> DataFrame:
+    return cube.groupBy("date", "category").agg(
+        F.sum("count").alias("total_requests"), _mean_hours(), F.count_distinct("area").alias("neighborhood_count"),
+    ).withColumn("weekend", F.weekday("date") >= 5)
+
+
+OF_CUBE = {"daily_agg": daily_of_cube, "monthly_agg": monthly_of_cube, "hourly_agg": hourly_of_cube,
+           "daily_aggregates": daily_aggregates_of_cube}
+
 ROLLUPS = {
     "daily_agg": daily_agg,
     "monthly_agg": monthly_agg,

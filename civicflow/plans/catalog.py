@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_core, q_io, q_model, q_more, q_side, q_stream  # noqa: F401
+    from . import q_core, q_io, q_model, q_more, q_season, q_side, q_stream  # noqa: F401

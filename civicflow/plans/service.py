@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from ..constants import RAW_CUTOFF_DAYS
 from ..operators import (anomaly, correlation, district, events, filters, forecast, geo, insights, normalize,
-                         resolution, volume, weather)
+                         resolution, rollups, seasonal, volume, weather)
 from ..sources import fixtures, sinks
 from ..sources.tables import read_tables
-from . import routing
+from . import ranges, routing
 
 #: The spans a trend can be asked for.
 TIMEFRAMES = {"7d": 7, "30d": 30, "90d": 90}
@@ -46,6 +46,15 @@ class RequestAnalytics:
     def _weather(self) -> DataFrame | None:
         return self._r("weather_agg")
 
+    def range_counts(self, start: ranges.Bound, end: ranges.Bound, keys: tuple[str, ...] = ("category",)) -> DataFrame:
+        """P-08: requests in any range by category or district, inside months and days from the rollups."""
+        daily, monthly = self._r("daily_agg"), self._r("monthly_agg")
+        if daily is None:
+            daily = rollups.daily_agg(self.requests)
+        if monthly is None:
+            monthly = rollups.monthly_agg(self.requests)
+        return ranges.range_counts(self.requests, daily, monthly, start, end, keys)
+
     # -------------------------------------------------------------- data
     def categories(self) -> DataFrame:                                   # /api/categories
         return volume.category_counts(self.requests)
@@ -153,7 +162,7 @@ class RequestAnalytics:
 
     def predict_volume(self, category: str, days: int = 7, start: dt.date | None = None,
                        model: str = "trend_weekday", model_path: str | None = None) -> DataFrame:
-        """M-05 from the trend model, or from trees that ``forecast.save_gbt`` wrote to ``model_path``."""
+        """M-05 from the trend model, from the regression with a yearly season, or from trees that ``forecast.save_gbt`` wrote to ``model_path``."""
         if not 1 <= int(days) <= 30:
             raise ValueError("days must be between 1 and 30")
         start = start or self.as_of or dt.date.today()
@@ -161,6 +170,9 @@ class RequestAnalytics:
             trees, meta = forecast.load_gbt(self.spark, model_path)
             return forecast.forecast_gbt(trees, forecast.daily_volumes(self.requests),
                                          meta.where(F.col("category") == category), start, days)
+        if model == "seasonal":
+            own = forecast.daily_volumes(filters.filter_category(self.requests, category))
+            return seasonal.forecast_seasonal(seasonal.fit_seasonal(own), start, days)
         if model != "trend_weekday":
             raise ValueError(f"no such model: {model!r}")
         model, effects = self._model()

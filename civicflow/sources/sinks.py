@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import filters, normalize, rollups
+from ..session import Scratch
 
 
 MOST_REFRESH_DAYS = 31
@@ -137,12 +138,15 @@ def build_rollups(spark: SparkSession, raw: DataFrame, out_dir: str, recent_days
     req = spark.read.parquet(clean_path)
     paths = {"requests_clean": clean_path}
     built = {}
-    for name, fn in rollups.ROLLUPS.items():
-        df = fn(req, recent_days) if name == "recent_raw" else fn(req)
-        path = f"{out_dir}/{name}.parquet"
-        write_parquet(df, path)
-        paths[name] = path
-        built[name] = spark.read.parquet(path)
+    with Scratch(spark) as scratch:
+        cube = scratch.write(rollups.hour_cube(req))       # one scan for all rollups of the calendar
+        of_cube = {name: fn(cube) for name, fn in rollups.OF_CUBE.items()}
+        others = {name: fn(req, recent_days) if name == "recent_raw" else fn(req)
+                  for name, fn in rollups.ROLLUPS.items() if name not in of_cube}
+        for name, df in (of_cube | others).items():
+            paths[name] = f"{out_dir}/{name}.parquet"
+            write_parquet(df, paths[name])
+            built[name] = spark.read.parquet(paths[name])
     meta = rollup_metadata(built, built["daily_agg"], recent_days)
     meta.repartition(1).write.mode("overwrite").json(f"{out_dir}/metadata.json")
     paths["metadata"] = f"{out_dir}/metadata.json"
