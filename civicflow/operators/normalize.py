@@ -73,7 +73,7 @@ def normalize_requests(df: DataFrame) -> DataFrame:
     elif "requested_datetime" in cols:
         df = df.withColumn("opened", to_ts(df, "requested_datetime"))
     else:
-        raise ValueError("No date column (opened or requested_datetime) found")
+        raise ValueError("request rows need an opened or requested_datetime column")
     df = df.where(F.col("opened").isNotNull())
     df = _coords(df, allow_existing=True)
     if "category" in cols:

@@ -1,5 +1,5 @@
 """Registered queries: yearly season, rolling origins, ranges cut into months, days and edges, rollups of one
-scan, quantile sketches and numbered copies."""
+scan, quantile and distinct-count sketches, numbered copies, neighbourhoods and reports from writes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import forecast, normalize, rollups, seasonal
+from ..operators import forecast, geo, normalize, rollups, seasonal
+from ..sources import sinks
 from ..session import materialize
 from ..sources.tables import read_table
 from ..streaming import jobs
@@ -15,7 +16,10 @@ from . import ranges
 from .catalog import ORACLE, query
 from .context import Ctx
 from .oracle_views import with_views as W
-from .q_model import _VOL, _FEAT, FC_START
+from .q_io import _folder as folder
+from .q_model import _FEAT, _VOL, FC_START
+from .q_more import s11_rollup_metadata  # noqa: F401  (its SQL is used here)
+from .q_side import _GRID
 
 SIZE = 8 + 2 * seasonal.TERMS
 
@@ -219,3 +223,62 @@ def m05_forecast_gbt(spark, sf_dir):
     order = (F.col("lower_bound") >= 0) & (F.col("lower_bound") <= F.col("predicted_volume")) & (
         F.col("predicted_volume") <= F.col("upper_bound"))
     return fc.select("category", "prediction_date", order.alias("in_order"))
+
+
+@query("m07_neighbourhoods", W("""
+SELECT a.lat_id, a.lon_id, a.volume, CAST(sum(b.volume) AS BIGINT) AS around, count(*) AS cells,
+       round((sum(b.volume) - any_value(s) / any_value(n) * count(*)) / nullif(sqrt(greatest(any_value(n * q - s * s), 0.0)) / any_value(n)
+             * sqrt((any_value(n) * count(*) - count(*) * count(*)) / (any_value(n) - 1)), 0), 4) AS z
+FROM cells a JOIN cells b ON abs(a.lat_id - b.lat_id) <= 1 AND abs(a.lon_id - b.lon_id) <= 1,
+     (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(volume) AS DOUBLE) AS s, CAST(sum(volume * volume) AS DOUBLE) AS q FROM cells)
+GROUP BY a.lat_id, a.lon_id, a.volume""", "rs", extra=_GRID + """,
+cells AS (SELECT lat_id, lon_id, CAST(sum(count) AS BIGINT) AS volume FROM g GROUP BY ALL)"""))
+def m07_neighbourhoods(spark, sf_dir):
+    """Each grid cell against its neighbours: the local z-score."""
+    return geo.neighbourhood_hotspots(rollups.grid_agg(Ctx(spark, sf_dir).short))
+
+
+@query("s11_observed_metadata", ORACLE["s11_rollup_metadata"])
+def s11_observed_metadata(spark, sf_dir):
+    """Metadata of the rollups from the writes that store them."""
+    c = Ctx(spark, sf_dir)
+    return sinks.write_with_metadata({
+        "daily_agg": c.daily_long, "monthly_agg": c.monthly_long, "hourly_agg": rollups.hourly_agg(c.long),
+        "grid_agg": rollups.grid_agg(c.short), "resolution_agg": rollups.resolution_agg(c.long, exact=False),
+        "recent_raw": rollups.recent_raw(c.long)}, folder(spark))
+
+
+@query("s12_observed_report", ORACLE["s12_validation_report"])
+def s12_observed_report(spark, sf_dir):
+    """The validation report from the writes that store the side tables."""
+    c = Ctx(spark, sf_dir)
+    return sinks.write_with_report({
+        "events": c.events.withColumnRenamed("event_date", "date"), "closures": c.closures.withColumnRenamed("closure_date", "date"),
+        "permits": c.permits, "crime": c.crime, "weather": c.weather}, folder(spark))
+
+
+@query("a07_span_areas", W("""
+SELECT category, count(*) AS count, count(DISTINCT district) AS district_distinct FROM rl
+WHERE opened >= TIMESTAMP '1996-02-10' AND opened < TIMESTAMP '1997-05-04' GROUP BY category""", "rl"))
+def a07_span_areas(spark, sf_dir):
+    """Distinct districts over 15 months from daily sketches."""
+    daily = materialize(rollups.daily_sketches(Ctx(spark, sf_dir).long, "district"))
+    return rollups.span_distinct(daily, ("district",), start="1996-02-10", end="1997-05-03")
+
+
+@query("a12_span_cases", W("""
+SELECT date, count(*) AS count, true AS merged_is_direct, true AS within FROM (SELECT CAST(opened AS DATE) AS date FROM rs) GROUP BY date
+UNION ALL SELECT NULL, count(*), true, true FROM rs""", "rs"))
+def a12_span_cases(spark, sf_dir):
+    """Distinct cases by day and over all days from sketches by day and category: equal to a sketch of the rows,
+    and within four standard errors of the exact number."""
+    req = Ctx(spark, sf_dir).short
+    daily = materialize(rollups.daily_sketches(req, "case_id"))
+    merged = rollups.span_distinct(daily, ("case_id",), ("date",)).unionByName(
+        rollups.span_distinct(daily, ("case_id",), ()).withColumn("date", F.lit(None).cast("date")))
+    rows = req.select(F.explode(F.array(F.to_date("opened"), F.lit(None).cast("date"))).alias("date"), "case_id")
+    direct = rows.groupBy("date").agg(F.hll_sketch_estimate(F.hll_sketch_agg("case_id", F.lit(rollups.SKETCH_LG))).alias("direct"),
+                                      F.count_distinct("case_id").alias("exact")).withColumnRenamed("date", "day")
+    j = merged.join(direct, F.col("date").eqNullSafe(F.col("day")))
+    return j.select("date", "count", (F.abs(F.col("case_id_distinct") - F.col("direct")) <= 0.02 * F.col("exact")).alias("merged_is_direct"),
+                    (F.abs(F.col("case_id_distinct") - F.col("exact")) <= 4 * 0.0163 * F.col("exact")).alias("within"))

@@ -7,7 +7,9 @@ machine-local folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +129,54 @@ def validation_report(tables: dict[str, DataFrame], date_col: str = "date") -> D
     return out
 
 
+# ------------------------------------------------ S-11 / S-12 from the writes themselves
+def write_observed(df: DataFrame, path: str, metrics: dict[str, Column], **options) -> dict:
+    """Write ``df`` (see ``write_parquet``) and return ``metrics`` over the rows written: they are aggregated
+    while the rows pass, so nothing is read a second time."""
+    seen = Observation(f"write of {path}")
+    write_parquet(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), path, **options)
+    return seen.get
+
+
+def table_metrics(df: DataFrame, date_col: str = "date") -> dict[str, Column]:
+    """Rows and, where there is a date column, null dates and the first and last date."""
+    out = {"rows": F.count(F.lit(1))}
+    if date_col in df.columns:
+        d = F.col(date_col)
+        out |= {"null_dates": F.count_if(d.isNull()), "min_date": F.min(d).cast("date"), "max_date": F.max(d).cast("date")}
+    return out
+
+
+def write_with_report(tables: dict[str, DataFrame], folder: str, date_col: str = "date") -> DataFrame:
+    """S-12 while writing: every table goes to ``folder/<name>.parquet``; the validation report (one row
+    per table) comes from the writes."""
+    rows = []
+    for name, df in tables.items():
+        seen = write_observed(df, f"{folder}/{name}.parquet", table_metrics(df, date_col))
+        dated = date_col in df.columns
+        rows.append((name, seen["rows"], seen.get("null_dates"), seen.get("min_date"), seen.get("max_date"), dated and seen["rows"] > 0))
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table string, rows long, null_dates long, min_date date, max_date date, ok boolean")
+
+
+def write_with_metadata(tables: dict[str, DataFrame], folder: str, recent_days: int = 90) -> DataFrame:
+    """S-11 while writing: every rollup goes to ``folder/<name>.parquet``; the metadata rows come from the writes,
+    date range and number of requests from that of ``daily_agg``."""
+    rows, span = [], {}
+    for name, df in tables.items():
+        metrics = {"rows": F.count(F.lit(1))}
+        if name == "daily_agg":
+            metrics |= {"start_date": F.min("date"), "end_date": F.max("date"), "record_count": F.sum("count").cast("long")}
+        seen = write_observed(df, f"{folder}/{name}.parquet", metrics)
+        rows.append((name, seen["rows"]))
+        span |= {k: seen[k] for k in ("start_date", "end_date", "record_count") if k in seen}
+    spark = next(iter(tables.values())).sparkSession
+    last = span.get("end_date")
+    cutoff = last - dt.timedelta(days=recent_days) if last else None
+    return spark.createDataFrame([(*r, span.get("start_date"), last, span.get("record_count"), cutoff) for r in rows],
+                                 "rollup string, rows long, start_date date, end_date date, record_count long, recent_cutoff date")
+
+
 def build_rollups(spark: SparkSession, raw: DataFrame, out_dir: str, recent_days: int = 90) -> dict[str, str]:
     """E2: normalise once, write the clean table (this cuts lineage: the
     rollups re-read a written table, so a lost executor never recomputes the
@@ -137,17 +187,13 @@ def build_rollups(spark: SparkSession, raw: DataFrame, out_dir: str, recent_days
      .write.mode("overwrite").option("compression", "gzip").partitionBy("opened_date").parquet(clean_path))
     req = spark.read.parquet(clean_path)
     paths = {"requests_clean": clean_path}
-    built = {}
     with Scratch(spark) as scratch:
         cube = scratch.write(rollups.hour_cube(req))       # one scan for all rollups of the calendar
-        of_cube = {name: fn(cube) for name, fn in rollups.OF_CUBE.items()}
-        others = {name: fn(req, recent_days) if name == "recent_raw" else fn(req)
-                  for name, fn in rollups.ROLLUPS.items() if name not in of_cube}
-        for name, df in (of_cube | others).items():
-            paths[name] = f"{out_dir}/{name}.parquet"
-            write_parquet(df, paths[name])
-            built[name] = spark.read.parquet(paths[name])
-    meta = rollup_metadata(built, built["daily_agg"], recent_days)
+        tables = {name: rollups.OF_CUBE[name](cube) if name in rollups.OF_CUBE else
+                  fn(req, recent_days) if name == "recent_raw" else fn(req) for name, fn in rollups.ROLLUPS.items()}
+        meta = write_with_metadata(tables, out_dir, recent_days)
+        write_parquet(rollups.daily_aggregates_of_cube(cube), f"{out_dir}/daily_aggregates.parquet")
+    paths |= {name: f"{out_dir}/{name}.parquet" for name in (*rollups.ROLLUPS, "daily_aggregates")}
     meta.repartition(1).write.mode("overwrite").json(f"{out_dir}/metadata.json")
     paths["metadata"] = f"{out_dir}/metadata.json"
     return paths

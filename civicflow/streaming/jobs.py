@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.calendar import ts_lit
@@ -283,6 +283,60 @@ def alert_stream(metrics_stream: DataFrame, threshold: float = ERROR_RATE_THRESH
                                                      GroupStateTimeout.NoTimeout)
 
 
+class AlertRuns(StatefulProcessor):
+    """T-02 with late windows: the breaching windows of a key wait in a map until the watermark has passed the end of
+    the window after a run's last; then no window can join the run any more and it is emitted, if long enough.
+    State holds the windows of the open runs only, which the watermark bounds."""
+
+    def __init__(self, min_windows: int, width_ms: int):
+        self.min_windows, self.width_ms = min_windows, width_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("windows", "wn LONG", "rate DOUBLE")
+
+    def handleInputRows(self, key, rows, timerValues):
+        ends = set()
+        for pdf in rows:
+            for wn, rate in zip(pdf["wn"], pdf["error_rate"]):
+                self.open.updateValue((int(wn),), (float(rate),))
+                ends.add((int(wn) + 2) * self.width_ms)
+        for end in ends:                               # when the next window is over
+            self.handle.registerTimer(end)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        over = timerValues.getCurrentWatermarkInMs()
+        rates = {int(k[0]): float(v[0]) for k, v in self.open.iterator()}
+        run: list[int] = []
+        out = []
+        for wn in [*sorted(rates), None]:
+            if run and wn != run[-1] + 1:
+                if (run[-1] + 2) * self.width_ms <= over:
+                    if len(run) >= self.min_windows:
+                        out.append((key[0], run[0], run[-1], len(run), max(rates[w] for w in run)))
+                    for w in run:
+                        self.open.removeKey((w,))
+                run = []
+            run.append(wn)
+        yield pd.DataFrame(out, columns=["key", "first_wn", "last_wn", "windows", "peak_rate"])
+
+
+def alert_runs(metrics_stream: DataFrame, threshold: float = ERROR_RATE_THRESHOLD, min_windows: int = SUSTAINED_WINDOWS,
+               width_s: int = 60, watermark: str = "10 minutes", key: str | None = None) -> DataFrame:
+    """T-02 stream on event-time timers: ``key, alert_start, last_window, windows, peak_rate``, the columns of
+    ``sustained_alerts``, whatever the order in which windows arrive inside the ``watermark``. Needs the RocksDB state
+    store (``spark.sql.streaming.stateStore.providerClass``)."""
+    at = F.col("window_start").cast("timestamp")
+    hot = metrics_stream.where(F.col("error_rate") > threshold).select(
+        (F.lit("all") if key is None else F.col(key).cast("string")).alias("key"), at.alias("at"), "error_rate",
+        (F.unix_micros(at) / F.lit(width_s * 1_000_000)).cast("long").alias("wn")).withWatermark("at", watermark)
+    runs = hot.groupBy("key").transformWithStateInPandas(
+        AlertRuns(min_windows, width_s * 1000), "key string, first_wn long, last_wn long, windows long, peak_rate double", "append", "EventTime")
+    start = [F.timestamp_seconds(F.col(c) * width_s).cast("timestamp_ntz") for c in ("first_wn", "last_wn")]
+    return runs.select("key", start[0].alias("alert_start"), start[1].alias("last_window"), "windows", "peak_rate")
+
+
 # ---------------------------------------------------------------- T-04 / T-05 / T-06
 def rolling_slo(rows: DataFrame, good_ms: float = LATENCY_GOOD_MS, days: int = SLO_DAYS) -> DataFrame:
     """T-04: per day, rolling ``days``-day share of requests under ``good_ms`` and

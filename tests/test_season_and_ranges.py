@@ -182,3 +182,32 @@ def test_merges_leave_no_tables(spark, scratch):
         jobs.merge_daily_batch(jobs.daily_windows(req.where(F.dayofmonth("opened") % 10 == k)), path)
     assert session._OWNED == before and count() == tables
     assert spark.read.parquet(path).agg(F.sum("count")).first()[0] == req.count()
+
+
+def test_alert_runs_on_timers_equal_the_batch_in_any_order(spark, scratch):
+    """Windows of two keys in shuffled micro-batches, each inside the watermark of those before it."""
+    rng = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(minutes=k), 0.01 if rng.random() < 0.25 else 0.05 + rng.randrange(1, 90) / 100, c) for c in "ab" for k in range(300)]
+    schema = "window_start timestamp_ntz, error_rate double, node string"
+    batch = jobs.sustained_alerts(spark.createDataFrame(rows, schema), keys=["node"], min_windows=4)
+    want = sorted((r["node"], r["alert_start"], r["last_window"], r["windows"], r["peak_rate"]) for r in batch.collect())
+    assert len(want) > 10
+    rows.sort(key=lambda r: r[0] + dt.timedelta(minutes=rng.randrange(25)))                  # late by up to 25 minutes
+    landed = os.path.join(scratch, "windows")
+    far = [(base + dt.timedelta(days=9 + k), 0.9, c) for k in range(2) for c in "ab"]        # closes the last runs
+    cuts = [rows[k:k + 150] for k in range(0, len(rows), 150)] + [far]
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = os.path.join(scratch, "alerts")
+        for part in cuts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landed)
+            runs = jobs.alert_runs(spark.readStream.schema(schema).parquet(landed), min_windows=4, watermark="30 minutes", key="node")
+            q = runs.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "ckpt")).trigger(
+                availableNow=True).start(out)
+            q.awaitTermination(200)
+    finally:
+        spark.conf.set(conf, before)
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == want
