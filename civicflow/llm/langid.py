@@ -130,8 +130,8 @@ def language_sample(docs: DataFrame, usable: Column, *, text_col: str = "text",
     # distinct texts by language, so that copies don't count; one row per language
     texts = written(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("texts")))
     each = max(1, min(per_lang, most // max(1, texts.count())))
-    # twice as many as needed pass this filter, all of a small language; the window takes the lowest
-    low = rows.join(texts, "lang").where(place < F.least(F.lit(1.0), 2.0 * each / F.col("texts")) * (1 << 30))
+    # far more than needed pass this filter, all of a small language; the window takes the lowest
+    low = rows.join(texts, "lang").where(place < F.least(F.lit(1.0), (2.0 * each + 40) / F.col("texts")) * (1 << 30))
     spare = F.greatest(F.octet_length("text") - WINDOW, F.lit(0)) + 1
     start = (F.pmod(F.xxhash64("h"), spare.cast("long")) + 1).cast("int")
     cut = F.substring(F.col("text").cast("binary"), start, F.lit(WINDOW))
