@@ -153,19 +153,21 @@ def recent_rows(req: DataFrame, limit: int = 100) -> DataFrame:
 def numbered_copies(df: DataFrame) -> DataFrame:
     """``row`` (all columns as a struct), ``hash`` of its content and ``copy``, a running number from 1 among equal rows.
 
-    The rows are written once with their place, so that a retried task sees the same places. Equal rows
-    are numbered inside each written partition, and each partition starts where those before it ended, so
-    that not even a table of equal rows puts more than a partition's rows into one task."""
+    The rows are written once with their place, so that a retried task sees the same places. Only rows
+    that have an equal are numbered, by their places: those of a written partition are gathered as a list of
+    longs, and each partition's list starts where those before it ended. So not even a table of equal rows puts
+    more than the places of one partition into one task, and rows without an equal are not moved."""
     every = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
     rows = materialize(df.select(F.struct("*").alias("row"), F.sha2(every, 256).alias("hash"),
                                  F.monotonically_increasing_id().alias("place")))
-    rows = rows.withColumn("part", F.shiftrightunsigned("place", 33))
+    same = rows.groupBy("hash").count().where("count > 1").select("hash")
+    lists = rows.join(same, "hash").groupBy("hash", F.shiftrightunsigned("place", 33).alias("part")).agg(
+        F.sort_array(F.collect_list("place")).alias("places"))
     before = Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("hash", "part").count().select(
-        "hash", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    here = F.row_number().over(Window.partitionBy("hash", "part").orderBy("place"))
-    return rows.withColumn("here", here).join(starts, ["hash", "part"]).select(
-        "row", "hash", (F.col("start") + F.col("here")).alias("copy"))
+    starts = lists.withColumn("start", F.coalesce(F.sum(F.size("places")).over(before), F.lit(0)))
+    numbers = starts.select("start", F.posexplode("places").alias("at", "place")).select(
+        "place", (F.col("start") + F.col("at") + 1).alias("copy"))
+    return rows.join(numbers, "place", "left").select("row", "hash", F.coalesce("copy", F.lit(1).cast("long")).alias("copy"))
 
 
 def load_projection(df: DataFrame) -> DataFrame:

@@ -146,8 +146,7 @@ def test_copies_are_numbered_without_a_hot_task(spark):
         groups.setdefault(r["hash"], []).append(r["copy"])
     assert sorted(len(g) for g in groups.values()) == [1, 1, 1, 3997] and all(sorted(g) == list(range(1, len(g) + 1)) for g in groups.values())
     assert normalize.load_projection(df).select("case_id").distinct().count() == 4000
-    plan = out._jdf.queryExecution().toString()
-    assert "windowspecdefinition(hash" in plan and "row_number() windowspecdefinition(hash#" in plan and ", part#" in plan
+    assert "row_number" not in out._jdf.queryExecution().toString()
 
 
 def test_sketch_stream_is_the_batch(spark, scratch):
