@@ -50,7 +50,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: 0 to 2 rows for each."""
-    rows = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    # the stored documents, so that a row has the same number in every scan; they need not be written again
+    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
     mix = balance(rows, "doc.doc_id", "doc.source", "doc.text", weights=(5.0, 2.0, 1.0), budget=1.5, cap=2, row=F.col("row"))
     keys = rows.select("doc", "row", F.col("doc.source").alias("source"), n_words("doc.text").alias("size"),
                        row_hash("doc.doc_id", "doc.text").alias("h"))
