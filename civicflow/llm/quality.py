@@ -1,8 +1,8 @@
-"""Quality: naive Bayes support vectors over word-shape n-grams.
+"""Quality: naive Bayes support vectors over n-grams of words and word shapes.
 
 A word's shape says of which kinds of characters it consists, in order, and
-whether it repeats the word before. The indicators of a text's shape n-grams are
-scaled by the log ratio of their counts in the two classes, and a linear model
+whether it repeats the word before. The indicators of a text's n-grams, of shapes and
+of the words themselves, are scaled by the log ratio of their counts in the two classes, and a linear model
 with hinge loss is fitted to them by dual coordinate descent. A logistic curve
 over the margin turns it into a score.
 """
@@ -25,7 +25,7 @@ BUCKETS = 1 << 18
 RUN = re.compile(r"(.)\1+", re.S)
 PIECE = re.compile(r"[Aa0]+[^Aa0]{0,3}|[^Aa0]{1,3}", re.S)
 AGAIN = zlib.crc32(b"=")
-LONG = 64                               # characters from which a word is not kept and a shape counts by its pieces too
+KEPT = 64                               # characters of the longest word whose ids are kept; longer ones are made anew
 
 
 class Kinds(dict):
@@ -46,43 +46,63 @@ def shape(word: str) -> str:
 
 
 def shape_ids(word: str) -> list[int]:
-    """The id of a word's shape. A long shape (a text without white space) hardly occurs
-    twice; the ids of all its pieces follow, which are those of short words."""
+    """The id of a word's shape, then those of its pieces where it has more than one: a long
+    shape (a text without white space) hardly occurs twice, its pieces do."""
     whole = shape(word)
-    pieces = PIECE.findall(whole) if len(whole) > LONG else []
-    return [zlib.crc32(s.encode("utf-8", "replace")) for s in (whole, *pieces)]
+    pieces = PIECE.findall(whole)
+    return [zlib.crc32(s.encode("utf-8", "replace")) for s in (whole, *(pieces if len(pieces) > 1 else ()))]
+
+
+def buckets(ids: list[int], longest: int) -> np.ndarray:
+    """Distinct buckets of the 1- to ``longest``-grams (3 at most) of a sequence of ids."""
+    x = np.array(ids, np.uint64)
+    grams = [x * np.uint64(0x9E3779B97F4A7C15)]
+    two = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    grams.append(two)
+    if longest > 2 and len(x) > 2:
+        grams.append(two[:-1] * np.uint64(0x165667B19E3779F9) + x[2:])
+    every = np.concatenate(grams)
+    every ^= every >> np.uint64(29)
+    return np.unique((every * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 18)).astype(np.int64)
 
 
 class Shapes:
-    """Buckets of a text's shape 1- to 3-grams; shapes of frequent words are kept."""
+    """Buckets of a text's shape 1- to 3-grams; ids of frequent words are kept."""
 
     def __init__(self, most: int = 300_000):
         self.most, self.known = most, {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        known, ids = self.known, []
-        before = None
-        for w in words:
+    def ids(self, word: str) -> tuple[int, list[int]]:
+        """A word's own id (without case) and those of its shape."""
+        got = self.known.get(word)
+        if got is None:
+            got = zlib.crc32(word.lower().encode("utf-8", "replace")), shape_ids(word)
+            if len(word) <= KEPT and len(self.known) < self.most:
+                self.known[word] = got
+        return got
+
+    def sequences(self, text: str | None) -> tuple[list[int], list[int]]:
+        words, shapes, before = [], [], None
+        for w in (text or "").split():
+            own, kinds = self.ids(w)
+            words.append(own)
             if w == before:
-                ids.append(AGAIN)
-                continue
+                shapes.append(AGAIN)
+            else:
+                shapes += kinds
             before = w
-            got = known.get(w)
-            if got is None:
-                if len(w) > LONG:
-                    ids += shape_ids(w)
-                    continue
-                got = shape_ids(w)[0]
-                if len(known) < self.most:
-                    known[w] = got
-            ids.append(got)
-        x = np.array(ids, np.uint64)
-        two = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        three = two[:-1] * np.uint64(0x165667B19E3779F9) + x[2:] if len(x) > 2 else x[:0]
-        grams = np.concatenate([x * np.uint64(0x9E3779B97F4A7C15), two, three])
-        grams ^= grams >> np.uint64(29)
-        return np.unique((grams * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 18)).astype(np.int64)
+        return words, shapes
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return buckets(self.sequences(text)[1], 3)
+
+
+class Features(Shapes):
+    """Buckets of shape 1- to 3-grams and, after those, of word 1- and 2-grams."""
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words, shapes = self.sequences(text)
+        return np.concatenate([buckets(shapes, 3), BUCKETS + buckets(words, 2)])
 
 
 @dataclass
@@ -91,10 +111,10 @@ class QualityModel:
     bias: float
     slope: float                        # of the logistic curve over the margin
     shift: float
-    shapes: Shapes = field(default_factory=Shapes)
+    features: Shapes = field(default_factory=Features)
 
     def margin(self, text: str | None) -> float:
-        return float(self.weights[self.shapes(text)].sum()) + self.bias
+        return float(self.weights[self.features(text)].sum()) + self.bias
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(text) + self.shift, -60, 60))))
@@ -138,34 +158,35 @@ def logistic_curve(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, *, label_col: str = "quality",
-                text_col: str = "text", id_col: str = "doc_id", most_rows: int = 20_000) -> QualityModel:
+                text_col: str = "text", id_col: str = "doc_id", most_rows: int = 20_000,
+                features: type[Shapes] = Features) -> QualityModel:
     """Fit on about ``most_rows`` labelled ``usable`` rows at any corpus size. The last fifth
     of them (by a hash of their features) is left out of the hinge fit and fits
     the logistic curve. Without labelled rows every text scores 0.5; with one
-    class only, near that class."""
+    class only, near that class. ``features=Shapes`` leaves the words out."""
     sample = labelled_sample(docs, labels, usable, label_col, most=most_rows, id_col=id_col, text_col=text_col)
 
     @F.pandas_udf("array<int>")
     def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shapes = Shapes()
+        found = features()
         for texts in batches:
-            yield pd.Series([shapes(t).astype(np.int32) for t in texts])
+            yield pd.Series([found(t).astype(np.int32) for t in texts])
 
     got = sample.select("label", grams("text").alias("f")).orderBy(F.xxhash64("f"), "label").collect()
     if not got:
-        return QualityModel(np.zeros(BUCKETS), 0.0, 1.0, 0.0)
+        return QualityModel(np.zeros(2 * BUCKETS), 0.0, 1.0, 0.0, features())
     rows = [np.array(r["f"], np.int64) for r in got]
     y = np.array([1.0 if r["label"] == 1 else -1.0 for r in got])
     last = len(rows) * 4 // 5 if len(rows) >= 50 else len(rows)
     fit, calib = range(last), range(last, len(rows)) if last < len(rows) else range(len(rows))
-    counts = {s: np.ones(BUCKETS) for s in (1.0, -1.0)}
+    counts = {s: np.ones(2 * BUCKETS) for s in (1.0, -1.0)}
     for i in fit:
         counts[y[i]][rows[i]] += 1
     ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
     weights, bias = dual_descent([rows[i] for i in fit], ratio, y[:last])
     margin = np.array([weights[rows[i]].sum() + bias for i in calib])
     slope, shift = logistic_curve(margin, y[list(calib)])
-    return QualityModel(weights.astype(np.float32), bias, slope, shift)
+    return QualityModel(weights.astype(np.float32), bias, slope, shift, features())
 
 
 def quality_score(model: QualityModel, text_col: str = "text") -> Column:

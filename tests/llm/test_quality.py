@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from civicflow.llm.common import fold
-from civicflow.llm.quality import Shapes, dual_descent, fit_quality, logistic_curve, quality_score, shape
+from civicflow.llm.quality import Features, Shapes, dual_descent, fit_quality, logistic_curve, quality_score, shape
 from pyspark.sql import functions as F
 
 LARGE = "/root/testdata/sf0.1"
@@ -24,6 +24,26 @@ def test_shapes():
     assert s("").tolist() == s(None).tolist() == []
 
 
+def test_pieces_count_at_every_length():
+    s = Shapes()
+    part = set(s("a-").tolist())
+    for pairs in (2, 31, 32, 33, 60):                                   # shapes of 4, 62, 64, 66 and 120 characters
+        assert part <= set(s("ab-" * pairs).tolist()), pairs
+
+
+def test_words_decide_where_shapes_cannot(spark):
+    good, bad = "solid tidy clear sound".split(), "shoddy sloppy vague wrong".split()
+    texts = [(" ".join((good if k % 2 else bad)[(k // 2 + j) % 4] for j in range(3 + k % 5)), k % 2) for k in range(240)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q) for k, (_, q) in enumerate(texts)], "doc_id long, quality int")
+    hits = {}
+    for kind in (Shapes, Features):
+        model = fit_quality(docs, labels, F.col("doc_id") % 240 >= 60, features=kind)
+        hits[kind] = np.mean([(model.score(t) >= 0.5) == (q == 1) for t, q in texts[:60]])
+    assert hits[Features] == 1.0 and hits[Shapes] < 0.7
+    assert Features()("").tolist() == Features()(None).tolist() == []
+
+
 def test_dual_descent_reaches_the_primal_optimum():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 30, 6)) for _ in range(200)]
