@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell_id, cell_origin, in_box
 from ..operators import filters, normalize, rollups
+from ..session import checkpoint_dir
 from ..sources import fixtures, landing, sinks
+from ..sources.landed_records import read_landed
 from .catalog import query
 from .context import Ctx
 from .oracle_views import with_views as W
@@ -221,3 +225,27 @@ ORDER BY count DESC, district LIMIT 10""", "rs"))
 def a13_top_districts(spark, sf_dir):
     from ..operators import volume
     return volume.top_k(Ctx(spark, sf_dir).short.where(F.col("district").isNotNull()), "district", 10)
+
+
+# Every 29th record lands cut off in its middle.
+@query("s03_landed_days", W("""
+SELECT CAST(CAST(requested_datetime AS TIMESTAMP) AS DATE) AS day, count(*) AS lines,
+       count(*) FILTER (CAST(service_request_id AS BIGINT) % 29 = 0) AS unreadable,
+       max(CASE WHEN CAST(service_request_id AS BIGINT) % 29 <> 0 THEN requested_datetime END) AS latest,
+       count(*) FILTER (CAST(service_request_id AS BIGINT) % 29 <> 0 AND service_name IS NULL) AS unnamed
+FROM portal
+WHERE CAST(CAST(requested_datetime AS TIMESTAMP) AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'
+GROUP BY ALL""", "portal"))
+def s03_landed_days(spark, sf_dir):
+    portal = _portal(Ctx(spark, sf_dir))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/landed/{uuid.uuid4().hex}"
+    line = F.to_json(F.struct(*portal.columns))
+    cut = F.col("service_request_id").cast("long") % 29 == 0
+    (portal.select(F.left("requested_datetime", F.lit(10)).alias("day"),
+                   F.when(cut, F.left(line, F.lit(25))).otherwise(line).alias("line"))
+     .write.partitionBy("day").text(path))
+    days = F.col("day").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-12").cast("date"))
+    return (read_landed(spark, path, portal.schema).where(days).groupBy("day")
+            .agg(F.count(F.lit(1)).alias("lines"), F.count("unreadable").alias("unreadable"),
+                 F.max(F.when(F.col("unreadable").isNull(), F.col("requested_datetime"))).alias("latest"),
+                 F.count_if(F.col("unreadable").isNull() & F.col("service_name").isNull()).alias("unnamed")))
