@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, tasks_for
 from pyspark.sql import types as T
 
 from ..functions.calendar import calendar_features
@@ -24,6 +24,7 @@ STATUS_COLUMNS = ["status", "status_description"]
 LOAD_COLUMNS = ["opened", "closed", "category", "supervisor_district", "neighborhood", "latitude", "longitude",
                 "resolution_hours", "year", "month", "day", "hour", "day_of_week", "week_of_year"]
 MOST_RECENT_ROWS = 1000
+BLOCK_BITS = 16              # numbered copies: 65,536 places of a written partition are one block
 
 
 def to_ts(df: DataFrame, name: str) -> Column:
@@ -153,21 +154,22 @@ def recent_rows(req: DataFrame, limit: int = 100) -> DataFrame:
 def numbered_copies(df: DataFrame) -> DataFrame:
     """``row`` (all columns as a struct), ``hash`` of its content and ``copy``, a running number from 1 among equal rows.
 
-    The rows are written once with their place, so that a retried task sees the same places. Only rows
-    that have an equal are numbered, by their places: those of a written partition are gathered as a list of
-    longs, and each partition's list starts where those before it ended. So not even a table of equal rows puts
-    more than the places of one partition into one task, and rows without an equal are not moved."""
+    The rows are written once with their place, so that a retried task sees the same places. Places are cut into
+    blocks; a row's number is its rank among the equal rows of its block, after those of the blocks before. So
+    a table of equal rows is dealt by blocks, and a task sorts about ``ROWS_PER_TASK`` rows whatever the input: their
+    number, not their shuffled size, sets the tasks, as equal rows shrink to next to nothing in a shuffle and
+    would be put into few tasks. For the same reason the starts of the blocks are merged and never broadcast."""
     every = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
     rows = materialize(df.select(F.struct("*").alias("row"), F.sha2(every, 256).alias("hash"),
                                  F.monotonically_increasing_id().alias("place")))
-    same = rows.groupBy("hash").count().where("count > 1").select("hash")
-    lists = rows.join(same, "hash").groupBy("hash", F.shiftrightunsigned("place", 33).alias("part")).agg(
-        F.sort_array(F.collect_list("place")).alias("places"))
-    before = Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = lists.withColumn("start", F.coalesce(F.sum(F.size("places")).over(before), F.lit(0)))
-    numbers = starts.select("start", F.posexplode("places").alias("at", "place")).select(
-        "place", (F.col("start") + F.col("at") + 1).alias("copy"))
-    return rows.join(numbers, "place", "left").select("row", "hash", F.coalesce("copy", F.lit(1).cast("long")).alias("copy"))
+    rows, tasks = rows.withColumn("block", F.shiftrightunsigned("place", BLOCK_BITS)), tasks_for(rows)
+    before = Window.partitionBy("hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("hash", "block").count().withColumn("start", F.sum("count").over(before)).where(
+        "start > 0").drop("count").repartition(tasks, "hash", "block")
+    here = Window.partitionBy("hash", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.repartition(tasks, "hash", "block").withColumn("rank", F.count(F.lit(1)).over(here))
+    return ranked.join(starts.hint("merge"), ["hash", "block"], "left").select(
+        "row", "hash", (F.coalesce("start", F.lit(0)) + F.col("rank")).alias("copy"))
 
 
 def load_projection(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast, geo, normalize, rollups, seasonal
 from ..sources import sinks
-from ..session import materialize
+from ..session import materialize, tasks_for
 from ..sources.tables import read_table
 from ..streaming import jobs
 from . import ranges
@@ -203,8 +203,11 @@ def t03_latency_sketch_merged(spark, sf_dir):
 @query("p17_equal_rows", W("""
 SELECT category, count(*) AS rows, count(*) AS ids, count(*) AS last_copy FROM rs GROUP BY category""", "rs"))
 def p17_equal_rows(spark, sf_dir):
-    """A load without ids in which all rows of a category are equal: each gets an id of its own."""
-    loaded = normalize.load_projection(Ctx(spark, sf_dir).short.select("category", F.lit("Open").alias("status")))
+    """A load without ids in which all rows of a category are equal: each gets an id of its own.
+
+    The ids are told apart in tasks of a bounded number of rows (ids of equal rows shrink in a shuffle)."""
+    rows = Ctx(spark, sf_dir).short.select("category", F.lit("Open").alias("status"))
+    loaded = normalize.load_projection(rows).repartition(tasks_for(rows), "case_id")
     copy = F.element_at(F.split("case_id", "-"), -1).cast("long")
     return loaded.groupBy("category").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("case_id").alias("ids"),
                                           F.max(copy).alias("last_copy"))

@@ -149,6 +149,22 @@ def test_copies_are_numbered_without_a_hot_task(spark):
     assert "row_number" not in out._jdf.queryExecution().toString()
 
 
+def test_copies_are_dealt_by_rows_not_by_shuffled_bytes(spark, monkeypatch):
+    """Equal rows shrink to next to nothing when shuffled or estimated: neither may fill a task or a broadcast."""
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 500, raising=False)
+    monkeypatch.setattr(normalize, "BLOCK_BITS", 6, raising=False)
+    df = spark.range(0, 8000, 1, 2).selectExpr("CASE id % 4 WHEN 0 THEN 'a' WHEN 1 THEN concat('u', id) ELSE 'b' END AS category")
+    out = normalize.numbered_copies(df)
+    rows = out.select("row.category", "copy", F.spark_partition_id().alias("task")).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["category"], []).append(r["copy"])
+    assert sorted(len(g) for g in groups.values()) == [1] * 2000 + [2000, 4000]
+    assert all(sorted(g) == list(range(1, len(g) + 1)) for g in groups.values())
+    assert max(Counter(r["task"] for r in rows).values()) < 1000
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sketch_stream_is_the_batch(spark, scratch):
     events = read_table(spark, SMALL, "events")
     landed = os.path.join(scratch, "landed")
