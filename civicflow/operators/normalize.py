@@ -24,7 +24,7 @@ STATUS_COLUMNS = ["status", "status_description"]
 LOAD_COLUMNS = ["opened", "closed", "category", "supervisor_district", "neighborhood", "latitude", "longitude",
                 "resolution_hours", "year", "month", "day", "hour", "day_of_week", "week_of_year"]
 MOST_RECENT_ROWS = 1000
-BLOCK_BITS = 16              # numbered copies: 65,536 places of a written partition are one block
+BLOCK_BITS = 12              # numbered copies: 4,096 places of a written partition are one block
 
 
 def to_ts(df: DataFrame, name: str) -> Column:
@@ -166,10 +166,12 @@ def numbered_copies(df: DataFrame) -> DataFrame:
     before = Window.partitionBy("hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("hash", "block").count().withColumn("start", F.sum("count").over(before)).where(
         "start > 0").drop("count").repartition(tasks, "hash", "block")
-    here = Window.partitionBy("hash", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.repartition(tasks, "hash", "block").withColumn("rank", F.count(F.lit(1)).over(here))
-    return ranked.join(starts.hint("merge"), ["hash", "block"], "left").select(
-        "row", "hash", (F.coalesce("start", F.lit(0)) + F.col("rank")).alias("copy"))
+    place = F.struct("place", "row")
+    lists = rows.repartition(tasks, "hash", "block").groupBy("hash", "block").agg(F.array_sort(
+        F.collect_list(place), lambda x, y: F.signum(x["place"] - y["place"]).cast("int")).alias("list"))
+    return lists.join(starts.hint("merge"), ["hash", "block"], "left").select(
+        "hash", "start", F.posexplode("list").alias("at", "x")).select(
+        "x.row", "hash", (F.coalesce("start", F.lit(0)) + F.col("at") + 1).alias("copy"))
 
 
 def load_projection(df: DataFrame) -> DataFrame:
